@@ -12,6 +12,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def int_div(a: Column | str, n: int) -> Column:
+    """Integer division, exact for every long."""
+    return F.call_function("div", as_col(a), F.lit(n))
+
+
 def parse_u32(c: Column | str) -> Column:
     """Unsigned 32-bit parse: digits with an optional plus sign, no blanks, else null."""
     c = as_col(c)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 1_000_000
 
@@ -25,6 +28,14 @@ def local_session(cores: int | str = 8, app: str = "zygospark") -> SparkSession:
     )
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """Driver-side rows as a local relation: exact statistics, no Python workers."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder of the cluster; lineage is cut, data is replicated.
 
