@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from zygospark.schema import U32_MAX
-
 
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -18,10 +16,15 @@ def int_div(a: Column | str, n: int) -> Column:
 
 
 def parse_u32(c: Column | str) -> Column:
-    """Unsigned 32-bit parse: digits with an optional plus sign, no blanks, else null."""
+    """Unsigned 32-bit parse: digits with an optional plus sign, no blanks, else null.
+
+    The range check goes through a failing int cast, so the number is written
+    once; repeated arguments would multiply in nested expressions.
+    """
     c = as_col(c)
+    half = F.lit(1 << 31)
     n = F.when(c.rlike(r"^\+?[0-9]+$"), c.try_cast("bigint"))
-    return F.when(n <= U32_MAX, n)
+    return F.try_subtract(n, half).try_cast("int").cast("bigint") + half
 
 
 def parse_decimal(c: Column | str) -> Column:

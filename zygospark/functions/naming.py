@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from zygospark.functions.common import as_col, parse_decimal, parse_u32
 from zygospark.schema import (
-    AUTOSOMES,
     CHR1_LENGTH,
     GRCH37,
     GRCH38,
@@ -76,35 +75,35 @@ def build_from_text(s: Column | str) -> Column:
     return out
 
 
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
 def normalize_chrom(raw: Column | str) -> Column:
     """Contig name without `chr`, array codes mapped, RefSeq accessions mapped.
 
-    The common names leave the CASE on its first branch, so the regular
-    expressions only run for unusual contigs.
+    Plain primary names leave the CASE on its first branch, so the regular
+    expressions only run for other spellings.
     """
     raw = as_col(raw)
-    base = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), "^(chr|Chr|CHR)", "")
-    acc = F.regexp_extract(base, r"^NC_0000(\+?[0-9]+)(\..*)?$", 1).try_cast("int")
-    rest = F.when(acc.between(1, AUTOSOMES), acc.cast("string"))
-    rest = rest.when(acc == 23, F.lit("X")).when(acc == 24, F.lit("Y"))
-    rest = rest.when(acc.isNull() & ((base == "NC_012920") | base.startswith("NC_012920.")), F.lit("MT"))
-    named = F.when(base.isin(PRIMARY_CHROMS), base)
-    for target, names in CONTIG_ALIASES.items():
-        named = named.when(base.isin(names), F.lit(target))
-    named = named.when(base.startswith("NC_"), F.coalesce(rest, base)).otherwise(base)
+    base = F.regexp_replace(raw, r"^\s*(?:chr|Chr|CHR)?|\s+$", "")
+    aliases = {name: target for target, names in CONTIG_ALIASES.items() for name in names}
+    numbers = {str(i): c for i, c in enumerate(PRIMARY_CHROMS[:24], 1)}
+    number = F.regexp_extract(base, r"^NC_0000\+?0*([0-9]+)(\..*)?$", 1)
+    accession = F.coalesce(
+        F.try_element_at(_map(numbers), number), F.when(base.rlike(r"^NC_012920(\.|$)"), F.lit("MT"))
+    )
+    named = F.coalesce(
+        F.try_element_at(_map(aliases), base), F.when(base.startswith("NC_"), accession), base
+    )
     return F.when(raw.isin(PRIMARY_CHROMS), raw).otherwise(named)
 
 
 def contig_ord(chrom: Column | str) -> Column:
     """1..22, X=23, Y=24, MT=25, null for every other contig."""
-    c = as_col(chrom)
-    n = F.when(c.rlike(r"^\+?[0-9]+$"), c.try_cast("int"))
-    return (
-        F.when(c == "X", F.lit(23))
-        .when(c == "Y", F.lit(24))
-        .when(c == "MT", F.lit(25))
-        .when(n.between(1, AUTOSOMES), n)
-    )
+    plain = F.regexp_replace(as_col(chrom), r"^\+?0*([1-9])", "$1")
+    at = F.array_position(F.array(*[F.lit(c) for c in PRIMARY_CHROMS]), plain)
+    return F.nullif(at, F.lit(0)).cast("int")
 
 
 def is_primary(chrom: Column | str) -> Column:

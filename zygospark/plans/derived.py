@@ -205,7 +205,7 @@ def fasta_lines(spark: SparkSession, sf: str) -> DataFrame:
     cm = pk % 27
     slot = int_div(pk - cm, 27)
     letters = F.concat(*[base_at(pk * (i + 3) + i) for i in range(20)])
-    p = table(spark, sf, "part").withColumn("two", F.explode(F.when(slot == F.when(cm == 0, 1).otherwise(0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    p = table(spark, sf, "part").withColumn("two", F.explode(F.when(slot == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
     file = F.concat(F.lit("c"), cm.cast("string"))
     text = F.when(F.col("two") == 0, F.concat(F.lit(">"), file, F.lit(" synthetic"))).otherwise(F.lower(letters))
     return lines(p, file, slot * 2 + F.col("two"), text)
