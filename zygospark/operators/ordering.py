@@ -70,21 +70,21 @@ def records_between(calls: DataFrame, ranges: DataFrame) -> DataFrame:
     Counts are prefix sums over record positions: first inside slices of 1024
     positions, then over one total per slice, so no window grows with the data.
     """
-    ends = ranges.select("id", "kit", "chrom", (F.col("lo") + 1).alias("lo"), "hi")
-    probes = ends.select("kit", "chrom", F.explode(F.array("lo", "hi")).alias("pos"))
-    touched = ends.select("kit", "chrom").distinct()
-    counted = calls.join(touched, ["kit", "chrom"], "left_semi").groupBy("kit", "chrom", "pos").agg(F.count("*").alias("n"))
-    both = counted.unionByName(probes.withColumn("n", F.lit(0).cast("bigint")))
-    both = both.groupBy("kit", "chrom", "pos").agg(F.sum("n").alias("n"))
+    ends = F.array(
+        F.struct((F.col("lo") + 1).alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("hi").alias("pos"), F.lit(1).alias("sign"))
+    )
+    probes = ranges.select("id", "kit", "chrom", F.explode(ends).alias("e")).select("id", "kit", "chrom", "e.pos", "e.sign")
+    counted = calls.groupBy("kit", "chrom", "pos").agg(F.count("*").alias("n"))
+    asked = probes.select("kit", "chrom", "pos", F.lit(0).cast("bigint").alias("n"))
+    both = counted.unionByName(asked).groupBy("kit", "chrom", "pos").agg(F.sum("n").alias("n"))
     both = both.withColumn("slice", int_div("pos", SLICE))
     inside = W.partitionBy("kit", "chrom", "slice").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     local = both.withColumn("local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     ahead = W.partitionBy("kit", "chrom").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     slices = both.groupBy("kit", "chrom", "slice").agg(F.sum("n").alias("total"))
     slices = slices.select("kit", "chrom", "slice", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("pre"))
-    before = local.join(slices, ["kit", "chrom", "slice"]).select("kit", "chrom", "pos", (F.col("pre") + F.col("local")).alias("n"))
-    lo = before.select("kit", "chrom", F.col("pos").alias("lo"), F.col("n").alias("n_lo"))
-    hi = before.select("kit", "chrom", F.col("pos").alias("hi"), F.col("n").alias("n_hi"))
-    return ends.join(lo, ["kit", "chrom", "lo"]).join(hi, ["kit", "chrom", "hi"]).select(
-        "id", F.greatest(F.col("n_hi") - F.col("n_lo"), F.lit(0)).alias("n")
+    before = local.join(slices, ["kit", "chrom", "slice"]).select(
+        "kit", "chrom", "pos", (F.col("pre") + F.col("local")).alias("before")
     )
+    signed = probes.join(before, ["kit", "chrom", "pos"])
+    return signed.groupBy("id").agg(F.greatest(F.sum(F.col("sign") * F.col("before")), F.lit(0)).alias("n"))

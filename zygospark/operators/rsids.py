@@ -40,10 +40,13 @@ def _coord(rsid: Column, chrom: Column, pos: Column, ref: Column, alt: Column, s
     )
 
 
-def resolve_rsids(queries: DataFrame, coords: DataFrame | None, build: str = "build", into: str = "coord") -> DataFrame:
+def resolve_rsids(
+    queries: DataFrame, coords: DataFrame | None, build: str = "build", into: str = "coord", small: bool = False
+) -> DataFrame:
     """Queries (rsid, build, ...) plus a coordinate struct, null when unknown.
 
-    Curated ids win and are matched by text; others resolve by rs number.
+    Curated ids win and are matched by text; others resolve by rs number.  With
+    `small` queries the coordinate table is cut down to their numbers first.
     """
     keep = queries.columns
     cur = _curated(queries, "build", "rsid", "chrom", "pos", "ref", "alt").alias("k")
@@ -61,6 +64,8 @@ def resolve_rsids(queries: DataFrame, coords: DataFrame | None, build: str = "bu
     # keeps them from piling up on one null key.
     number = F.when(~F.col("rsid").isin(CURATED_IDS), rs_number("rsid"))
     out = out.withColumn("_rs", F.coalesce(number, -1 - F.abs(F.xxhash64("rsid") % (1 << 40))))
+    if small:
+        coords = coords.join(F.broadcast(out.select(F.col("_rs").alias("rs_num")).distinct()), "rs_num", "left_semi")
     db = first_per_rs(coords).alias("d")
     out = out.alias("q").join(db, (F.col(f"q.{build}") == F.col("d.build")) & (F.col("q._rs") == F.col("d.rs_num")), "left")
     found = F.when(
@@ -78,7 +83,7 @@ def resolve_rsids(queries: DataFrame, coords: DataFrame | None, build: str = "bu
 
 
 def resolve_across_builds(
-    queries: DataFrame, coords: DataFrame | None, blocks: DataFrame | None, build: str = "build"
+    queries: DataFrame, coords: DataFrame | None, blocks: DataFrame | None, build: str = "build", small: bool = False
 ) -> DataFrame:
     """resolve_rsids with fallback to the other build's entry, lifted over.
 
@@ -86,9 +91,9 @@ def resolve_across_builds(
     coordinate has no reference and keeps its alts as listed (not complemented).
     """
     keep = queries.columns
-    out = resolve_rsids(queries, coords, build)
+    out = resolve_rsids(queries, coords, build, small=small)
     out = out.withColumn("_other", other_build(build))
-    out = resolve_rsids(out, coords, "_other", "_far")
+    out = resolve_rsids(out, coords, "_other", "_far", small)
     known = F.col(build) != UNKNOWN_BUILD
     far = F.when(F.col("coord").isNull() & known, F.col("_far"))
     if blocks is None:
@@ -129,7 +134,9 @@ def resolve_across_builds(
     )
 
 
-def name_positions(points: DataFrame, coords: DataFrame | None, build: str = "build", into: str = "named") -> DataFrame:
+def name_positions(
+    points: DataFrame, coords: DataFrame | None, build: str = "build", into: str = "named", small: bool = False
+) -> DataFrame:
     """Points (chrom, pos, build, ...) plus the coordinate known at that place, null when none."""
     keep = points.columns
     cur = _curated(points, "build", "rsid", "chrom", "pos", "ref", "alt").alias("k")
@@ -148,6 +155,9 @@ def name_positions(points: DataFrame, coords: DataFrame | None, build: str = "bu
     if coords is None:
         return out.withColumnRenamed("_cur", into)
     out = out.withColumn("_ord", F.coalesce(contig_ord("chrom"), F.lit(-1)))
+    if small:
+        places = out.select(F.col("_ord").alias("contig_ord"), "pos").distinct()
+        coords = coords.join(F.broadcast(places), ["contig_ord", "pos"], "left_semi")
     db = first_per_position(coords).alias("d")
     out = out.alias("q").join(
         db,

@@ -133,10 +133,10 @@ def rsid_answer_sql(asked: str) -> str:
     """Answers for a CTE of (qid, kit, rsid) queries against GRCh37 and GRCh38 kits."""
     return f"""
 q AS (SELECT a.*, k.build, k.ref_calls, a.kit <> 'k2' AS indexed FROM {asked} a JOIN g_kits k USING (kit)),
-own AS MATERIALIZED (
+own_hits AS MATERIALIZED (
   SELECT q.qid, q.kit, e.rsid, e.chrom, e.pos, q.build, e.ref, e.alt, e.genotype, e.zygosity, e.filter, e.quality, e.depth
   FROM q JOIN enriched e ON q.indexed AND e.kit = q.kit AND e.rsid = q.rsid),
-rest AS (SELECT * FROM q WHERE qid NOT IN (SELECT qid FROM own)),
+rest AS (SELECT * FROM q WHERE qid NOT IN (SELECT qid FROM own_hits)),
 near AS (SELECT r.*, k.chrom, k.pos, k.ref, k.alt FROM rest r JOIN known k ON k.rsid = r.rsid AND k.build = r.build),
 far AS (SELECT r.qid AS pid, r.kit, r.rsid, r.build, r.ref_calls, k.build AS o_build, k.chrom, k.pos, k.alt
         FROM rest r JOIN known k ON k.rsid = r.rsid AND k.build <> r.build WHERE r.qid NOT IN (SELECT qid FROM near)),
@@ -150,7 +150,7 @@ sites AS (
 
 RSID_TAIL = f"""{ANSWER_SELECT}
 UNION ALL SELECT qid, kit, rsid, chrom, pos, build, ref, alt, genotype, zygosity, 'observed', filter,
-  floor(quality::DOUBLE * 100 + 0.5) / 100, depth, NULL, NULL FROM own
+  floor(quality::DOUBLE * 100 + 0.5) / 100, depth, NULL, NULL FROM own_hits
 UNION ALL SELECT qid, kit, rsid, NULL, NULL, build, NULL, NULL, NULL, 'no_call', 'missing', NULL, NULL, NULL, NULL, NULL
 FROM rest WHERE qid NOT IN (SELECT sid FROM sites)"""
 CALL_IDS = """

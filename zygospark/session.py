@@ -52,6 +52,16 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a count proves that a table has at most max_rows rows."""
+    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+
+
+def when_small(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast hint for a table already known to be small."""
+    return F.broadcast(df) if small else df
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when a count proves the side small.
 
@@ -59,6 +69,4 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     execution splits skewed partitions.  Meant for reference tables (kits,
     chain segments, query lists), whose count is cheap next to a scan of calls.
     """
-    if df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return when_small(df, is_small(df, max_rows))
