@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def int_div(a: Column | str, n: int) -> Column:
     return F.call_function("div", as_col(a), F.lit(n))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once; for short texts such as loci, not for hot columns."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_u32(c: Column | str) -> Column:
     """Unsigned 32-bit parse: digits with an optional plus sign, no blanks, else null.
 

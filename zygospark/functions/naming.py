@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from zygospark.functions.common import as_col, parse_decimal, parse_u32
+from zygospark.functions.common import as_col, let, parse_decimal, parse_u32
 from zygospark.schema import (
     CHR1_LENGTH,
     GRCH37,
@@ -132,29 +132,35 @@ def parse_locus(s: Column | str) -> Column:
     return F.when(s.rlike(pattern) & (pos > 0), F.struct(chrom.alias("chrom"), pos.alias("pos")))
 
 
-def _scaled(s: Column) -> Column:
-    s = F.regexp_replace(s, "[,_]", "")
-    mult = F.when(s.rlike("[kK]$"), F.lit(1e3)).when(s.rlike("[mM]$"), F.lit(1e6)).otherwise(F.lit(1.0))
-    v = F.floor(parse_decimal(F.regexp_replace(s, "[kKmM]$", "")) * mult + 0.5)
-    return F.when(v.between(0, U32_MAX), v)
+def _scaled(text: Column) -> Column:
+    def value(s: Column) -> Column:
+        mult = F.when(s.rlike("[kK]$"), F.lit(1e3)).when(s.rlike("[mM]$"), F.lit(1e6)).otherwise(F.lit(1.0))
+        return F.floor(parse_decimal(F.regexp_replace(s, "[kKmM]$", "")) * mult + 0.5)
+
+    return let(let(F.regexp_replace(text, "[,_]", ""), value), lambda v: F.when(v.between(0, U32_MAX), v))
 
 
 def parse_region(s: Column | str) -> Column:
     """`CHR[:START[-END]]` with k/M suffixes to struct(chrom, start, end); null when malformed."""
     s = as_col(s)
     pattern = r"(?s)^([^:]*)(:(.*))?$"
-    chrom = F.regexp_extract(s, pattern, 1)
-    has_range = F.contains(s, F.lit(":"))
-    span = F.regexp_extract(s, pattern, 3)
-    paired = F.contains(span, F.lit("-"))
-    first = _scaled(F.substring_index(span, "-", 1))
-    second = _scaled(F.regexp_extract(span, r"(?s)^[^-]*-(.*)$", 1))
-    start = F.when(~has_range, F.lit(1)).when(paired, F.when(first < 1, F.lit(1)).otherwise(first)).otherwise(first)
-    end = F.when(~has_range, F.lit(U32_MAX)).when(paired, second).otherwise(first)
-    start, end = start.cast("bigint"), end.cast("bigint")
-    return F.when(
-        (chrom != "") & (start <= end),
-        F.struct(normalize_chrom(chrom).alias("chrom"), start.alias("start"), end.alias("end")),
+
+    def bounds(span: Column) -> Column:
+        first, second = _scaled(F.substring_index(span, "-", 1)), _scaled(F.regexp_extract(span, r"(?s)^[^-]*-(.*)$", 1))
+        paired = F.contains(span, F.lit("-"))
+        both = let(first, lambda v: F.struct(F.when(v < 1, F.lit(1)).otherwise(v).alias("start"), second.alias("end")))
+        one = let(first, lambda v: F.struct(v.alias("start"), v.alias("end")))
+        return F.when(paired, both).otherwise(one)
+
+    whole = F.struct(F.lit(1).cast("bigint").alias("start"), F.lit(U32_MAX).cast("bigint").alias("end"))
+    span = F.when(F.contains(s, F.lit(":")), let(F.regexp_extract(s, pattern, 3), bounds)).otherwise(whole)
+    parts = F.struct(F.regexp_extract(s, pattern, 1).alias("c"), span.alias("b"))
+    return let(
+        parts,
+        lambda x: F.when(
+            (x.c != "") & (x.b.start <= x.b.end),
+            F.struct(normalize_chrom(x.c).alias("chrom"), x.b.start.alias("start"), x.b.end.alias("end")),
+        ),
     )
 
 

@@ -193,9 +193,13 @@ def rsid_coords(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines(rows: DataFrame, file: Column, at: Column, value: Column, block: int = 4096) -> DataFrame:
-    """Text lines from rows: `at` is the dense line number inside the file."""
+    """Text lines from rows: `at` is the line number inside the file.
+
+    The line comes out of a generator, so predicates on it stay above, as they
+    do for lines read from a file.
+    """
     return rows.select(
-        file.alias("file"), int_div(at, block).alias("block"), at.cast("bigint").alias("ord"), value.alias("value")
+        file.alias("file"), int_div(at, block).alias("block"), at.cast("bigint").alias("ord"), F.explode(F.array(value)).alias("value")
     )
 
 
