@@ -77,7 +77,7 @@ def test_genotype_letters(spark):
         ("", "A", "G", "-", "no_call"), ("0|0", "T", ".", "TT", "hom_ref"),
     ]
     got = evaluate(spark, rows, "gt string, r string, a string, l string, z string",
-                   G.genotype_letters("gt", "r", G.split_alts("a")), G.vcf_zygosity("gt"))
+                   G.genotype_letters("gt", "r", "a"), G.vcf_zygosity("gt"))
     assert got == [(r[3], r[4]) for r in rows]
 
 
@@ -90,7 +90,7 @@ def test_alts_and_info(spark):
     assert strings(spark, info, G.info_get("s", "END")) == ["9", None, "1", None, ""]
     rows = [("GT:DP", "0/1:7", "DP=9"), ("GT:MIN_DP", "0/1:3", "DP=9"), ("GT", "0/1", "DP=9"), ("GT:DP", "0/1:.", "DP=9"),
             ("GT:DP", "0/1", "DP=9")]
-    depth = G.call_depth(F.split("f", ":"), F.split("v", ":"), "i")
+    depth = G.call_depth("f", "v", "i")
     assert evaluate(spark, rows, "f string, v string, i string", depth) == [7, 3, 9, None, 9]
     assert strings(spark, ["rs5", "x;rs7;rs8", ".", "i3;RS2"], G.pick_rsid("s")) == ["rs5", "rs7", None, None]
     assert strings(spark, ["rs12", "RS7", "rs0", "i3", "rs4294967296"], G.rs_number("s")) == [12, 7, 0, None, None]

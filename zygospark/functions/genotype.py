@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from zygospark.functions.common import as_col, blank_to_null, parse_u32, round_places
+from zygospark.functions.common import as_col, blank_to_null, let, parse_u32, round_places
 
 from zygospark.schema import HEMI, HET, HOM, HOM_ALT, HOM_REF, NO_CALL
 
 EMPTY_STRINGS = "array<string>"
+BASES = ["A", "C", "G", "T"]
+PLAIN_GTS = [a + sep + b for a in "01" for sep in "/|" for b in "01"] + ["0", "1"]
+MISSING_ALLELE = r"(^|[/|])\.?([/|]|$)"
 
 
 def no_strings() -> Column:
@@ -57,48 +60,51 @@ def only_symbolic(alt_text: Column | str) -> Column:
     """True when every ALT allele is symbolic; also true for `.`."""
     one = r"(<[^,]*|\*|[^,]*[\[\]][^,]*)"
     a = as_col(alt_text)
-    return (a == ".") | a.rlike(f"^{one}(,{one})*$")
+    return ~a.isin(BASES) & ((a == ".") | a.rlike(f"^{one}(,{one})*$"))
 
 
-def _allele(idx: Column, ref: Column, alts: Column) -> Column:
-    k = F.when(idx.rlike(r"^\+?[0-9]+$"), idx.try_cast("int"))
-    alt = F.when(k > 0, F.get(alts, k - 1))
-    return F.when(k == 0, ref).when(alt.isNull() | is_symbolic(alt), F.lit("N")).otherwise(alt)
+def genotype_letters(gt: Column | str, ref: Column | str, alt_text: Column | str) -> Column:
+    """Allele letters of a GT string, from the REF and ALT columns.
 
-
-def genotype_letters(gt: Column | str, ref: Column | str, alts: Column) -> Column:
-    """Allele letters of a GT string.
-
-    Diploid single-digit GTs take a branch without lambdas, which covers nearly
-    all rows of a real file; other ploidies use the general array form.
+    Nearly all rows of a real file are a single-base REF and ALT with a plain
+    diploid GT: those are one character translation.  Everything else takes the
+    general array form.  Arguments are read several times: pass stored columns.
     """
-    gt, ref = as_col(gt), as_col(ref)
-    left = _allele(F.substring(gt, 1, 1), ref, alts)
-    right = _allele(F.substring(gt, 3, 1), ref, alts)
-    short = (F.length(left) == 1) & (F.length(right) == 1)
-    diploid = F.when(short, F.concat(left, right)).otherwise(F.concat(left, F.lit("/"), right))
-    parts = F.split(gt, r"[/|]")
-    letters = F.transform(parts, lambda i: _allele(i, ref, alts))
-    joined = F.when(
-        F.forall(letters, lambda x: F.length(x) == 1), F.array_join(letters, "")
-    ).otherwise(F.array_join(letters, "/"))
+    gt, ref, alt = as_col(gt), as_col(ref), as_col(alt_text)
+    snv = gt.isin(PLAIN_GTS) & ref.isin(BASES) & alt.isin(BASES)
+    letters = F.call_function("translate", gt, F.lit("01/|"), F.concat(ref, alt))
+
+    def allele(idx: Column) -> Column:
+        k = F.when(idx.rlike(r"^\+?[0-9]+$"), idx.try_cast("int"))
+        text = F.split_part(alt, F.lit(","), F.greatest(k, F.lit(1)))
+        named = F.regexp_replace(text, r"^(<.*|\*|.*[\[\]].*|)$", "N")
+        return F.when(k.isNull(), F.lit("N")).when(k == 0, ref).when(alt == ".", F.lit("N")).otherwise(named)
+
+    joined = F.array_join(F.transform(F.split(gt, r"[/|]"), allele), "/")
+    # Single letters stand together, longer alleles keep the slash.
+    general = let(joined, lambda j: F.when(j.rlike(r"^[^/](/[^/])*$"), F.translate(j, "/", "")).otherwise(j))
     return (
-        F.when(gt.rlike(r"^[0-9][/|][0-9]$"), diploid)
+        F.when(snv, letters)
         .when(gt.isin("./.", ".|."), F.lit("--"))
         .when(gt.rlike(r"^\.?$"), F.lit("-"))
-        .when(gt.rlike(r"(^|[/|])\.?([/|]|$)"), F.lit("--"))
-        .otherwise(joined)
+        .when(gt.rlike(MISSING_ALLELE), F.lit("--"))
+        .otherwise(general)
     )
 
 
 def vcf_zygosity(gt: Column | str) -> Column:
     """Zygosity from the GT index texts (`01` and `1` count as different)."""
     gt = as_col(gt)
-    parts = F.split(gt, r"[/|]")
     return (
-        F.when(gt.rlike(r"(^|[/|])\.?([/|]|$)"), F.lit(NO_CALL))
+        F.when(gt.isin("0/1", "1/0", "0|1", "1|0"), F.lit(HET))
+        .when(gt.isin("1/1", "1|1"), F.lit(HOM_ALT))
+        .when(gt.isin("0/0", "0|0"), F.lit(HOM_REF))
+        .when(gt.isin("./.", ".|."), F.lit(NO_CALL))
+        .when(gt.isin("0", "1"), F.lit(HEMI))
+        .when(gt.rlike(MISSING_ALLELE), F.lit(NO_CALL))
         .when(~gt.rlike(r"[/|]"), F.lit(HEMI))
-        .when(gt.rlike(r"^([^/|]*)([/|]\1)+$"), F.when(F.get(parts, F.lit(0)) == "0", F.lit(HOM_REF)).otherwise(F.lit(HOM_ALT)))
+        .when(gt.rlike(r"^0([/|]0)+$"), F.lit(HOM_REF))
+        .when(gt.rlike(r"^([^/|]*)([/|]\1)+$"), F.lit(HOM_ALT))
         .otherwise(F.lit(HET))
     )
 
@@ -107,7 +113,8 @@ def info_get(info: Column | str, key: str) -> Column:
     """Value of the first `key=value` entry of an INFO string, else null."""
     info = as_col(info)
     pattern = f"(?:^|;){key}=([^;]*)"
-    return F.when(info.rlike(pattern), F.regexp_extract(info, pattern, 1))
+    there = F.contains(info, F.lit(f"{key}=")) & info.rlike(pattern)
+    return F.when(there, F.regexp_extract(info, pattern, 1))
 
 
 def format_get(fmt: Column, values: Column, key: str) -> Column:
@@ -116,11 +123,14 @@ def format_get(fmt: Column, values: Column, key: str) -> Column:
     return F.when(at > 0, F.get(values, (at - 1).cast("int")))
 
 
-def call_depth(fmt: Column, values: Column, info: Column | str) -> Column:
+def call_depth(fmt_text: Column | str, sample: Column | str, info: Column | str) -> Column:
     """First present of FORMAT DP, FORMAT MIN_DP, INFO DP; a present `.` stops the search."""
-    return parse_u32(
-        F.coalesce(format_get(fmt, values, "DP"), format_get(fmt, values, "MIN_DP"), info_get(info, "DP"))
-    )
+    fmt_text, sample = as_col(fmt_text), as_col(sample)
+    fmt, vals = F.split(fmt_text, ":"), F.split(sample, ":")
+    second = F.split_part(sample, F.lit(":"), F.lit(2))
+    usual = ((fmt_text == "GT:DP") | fmt_text.startswith("GT:DP:")) & (second != "")
+    searched = F.coalesce(format_get(fmt, vals, "DP"), format_get(fmt, vals, "MIN_DP"), info_get(info, "DP"))
+    return parse_u32(F.when(usual, second).otherwise(searched))
 
 
 def call_end(pos: Column, ref: Column, info_end: Column) -> Column:

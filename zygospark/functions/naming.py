@@ -82,10 +82,11 @@ def _map(pairs: dict[str, str]) -> Column:
 def normalize_chrom(raw: Column | str) -> Column:
     """Contig name without `chr`, array codes mapped, RefSeq accessions mapped.
 
-    Plain primary names leave the CASE on its first branch, so the regular
-    expressions only run for other spellings.
+    `1` and `chr1` style names leave the CASE on its first branches, so the
+    regular expressions only run for other spellings.
     """
     raw = as_col(raw)
+    bare = F.substring(raw, 4, 1 << 30)
     base = F.regexp_replace(raw, r"^\s*(?:chr|Chr|CHR)?|\s+$", "")
     aliases = {name: target for target, names in CONTIG_ALIASES.items() for name in names}
     numbers = {str(i): c for i, c in enumerate(PRIMARY_CHROMS[:24], 1)}
@@ -96,14 +97,20 @@ def normalize_chrom(raw: Column | str) -> Column:
     named = F.coalesce(
         F.try_element_at(_map(aliases), base), F.when(base.startswith("NC_"), accession), base
     )
-    return F.when(raw.isin(PRIMARY_CHROMS), raw).otherwise(named)
+    return (
+        F.when(raw.isin(PRIMARY_CHROMS), raw)
+        .when(raw.startswith("chr") & bare.isin(PRIMARY_CHROMS), bare)
+        .otherwise(named)
+    )
 
 
 def contig_ord(chrom: Column | str) -> Column:
     """1..22, X=23, Y=24, MT=25, null for every other contig."""
-    plain = F.regexp_replace(as_col(chrom), r"^\+?0*([1-9])", "$1")
-    at = F.array_position(F.array(*[F.lit(c) for c in PRIMARY_CHROMS]), plain)
-    return F.nullif(at, F.lit(0)).cast("int")
+    c = as_col(chrom)
+    names = F.array(*[F.lit(n) for n in PRIMARY_CHROMS])
+    odd = c.startswith("0") | c.startswith("+")  # `05` and `+5` count as 5
+    plain = F.when(odd, F.regexp_replace(c, r"^\+?0*([1-9])", "$1")).otherwise(c)
+    return F.nullif(F.array_position(names, plain), F.lit(0)).cast("int")
 
 
 def is_primary(chrom: Column | str) -> Column:

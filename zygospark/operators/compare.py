@@ -10,14 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zygospark.functions.common import round_places
-from zygospark.functions.genotype import hom_ref_letters, is_called, snv_key
-from zygospark.functions.naming import is_primary
+from zygospark.functions.genotype import hom_ref_letters, is_called, lifted, lifted_alts, snv_key
+from zygospark.functions.naming import contig_ord, is_primary
 from zygospark.operators.enrich import enrich_arrays
 from zygospark.operators.liftover import apply_lift, lift_best
 from zygospark.operators.lookup import INFERRED_WARNING, LIFT_TYPE
 from zygospark.operators.rsids import site_reference
 from zygospark.schema import ABSENT_MEANS_REF, HOM_REF, INFERRED_REF, OBSERVED, UNKNOWN_BUILD
-from zygospark.session import BROADCAST_ROWS
+from zygospark.session import BROADCAST_ROWS, reliable
 
 MAX_DISCORDANT = 50
 AFTER_PRIMARY = 1 << 30
@@ -91,7 +91,7 @@ def _single(ref: Column) -> Column:
 def _order() -> Column:
     return F.struct(
         F.coalesce("contig_ord", F.lit(AFTER_PRIMARY)).alias("c"),
-        F.when(F.col("contig_ord").isNull(), F.col("chrom")).alias("name"),
+        F.col("chrom").alias("name"),
         F.col("pos").alias("p"),
         F.col("end").alias("e"),
         F.col("src_ord").alias("s"),
@@ -110,11 +110,11 @@ def _with_reference(rows, coords, reference, wanted: bool) -> DataFrame:
     return site_reference(rows, coords, reference, F.col("infer") & is_primary("chrom"), own, "a_build")
 
 
-def _a_rows(calls, kits, plan: Plan, coords, reference, region, detail) -> DataFrame:
+def _a_rows(calls, kits, plan: Plan, coords, reference, region) -> DataFrame:
     """Called A records with their order, key and the verdict against an inferred B."""
     who = plan.pairs.groupBy(F.col("a").alias("kit"), F.col("a_build")).agg(F.bool_or("b_absent").alias("infer"))
     rows = calls.filter(is_called() & ~F.col("ref_block") & _in_region(region)).join(plan.hint(who), "kit")
-    if plan.arrays and (detail or plan.a_infer):
+    if plan.arrays and plan.a_infer:
         rows = enrich_arrays(rows, kits, coords, reference)
     rows = rows.withColumn("at", _order())
     rows = _with_reference(rows, coords, reference, plan.a_infer)
@@ -122,19 +122,19 @@ def _a_rows(calls, kits, plan: Plan, coords, reference, region, detail) -> DataF
     return rows.select(
         "kit", "chrom", "pos", "at", "key", "site_ref",
         verdict(F.col("key"), _ref_key("site_ref")).alias("inf"),
-        *(DETAIL if detail else []),
     )
 
 
-def _b_rows(calls, plan: Plan, blocks, coords, reference, region, detail) -> DataFrame:
+def _b_rows(calls, plan: Plan, blocks, coords, reference, region) -> DataFrame:
     """Called B records in A's build; rows that do not lift have a null chrom."""
     who = plan.pairs.groupBy(F.col("b").alias("kit"), "b_build", "a_build").agg(F.bool_or("a_absent").alias("infer"))
     rows = calls.filter(is_called() & ~F.col("ref_block")).join(plan.hint(who), "kit")
-    rows = rows.withColumns({"at": _order(), "lifted_from": F.lit(None).cast(LIFT_TYPE)})
+    rows = rows.withColumn("at", _order())
     differ = F.col("a_build") != F.col("b_build")
     branches = []
     if plan.same:
-        branches.append(rows.filter(~differ) if plan.lift else rows)
+        near = rows.filter(~differ) if plan.lift else rows
+        branches.append(near.withColumn("turned", F.lit(False)))
     if plan.lift:
         far = rows.filter(differ) if plan.same else rows
         if blocks is None:
@@ -144,16 +144,13 @@ def _b_rows(calls, plan: Plan, blocks, coords, reference, region, detail) -> Dat
             )
         else:
             far = lift_best(far, blocks, F.col("b_build"), F.col("a_build"))
-        origin = F.struct(F.col("b_build").alias("build"), F.col("pos").alias("pos"))
-        far = apply_lift(far.withColumn("lifted_from", F.when(F.col("lifted_pos").isNotNull(), origin)))
-        branches.append(far)
+        branches.append(apply_lift(far.withColumn("turned", F.col("reverse"))))
     rows = reduce(DataFrame.unionByName, branches).filter(F.col("chrom").isNull() | _in_region(region))
     rows = _with_reference(rows, coords, reference, plan.b_infer)
     rows = rows.withColumn("key", snv_key("genotype", "zygosity"))
     return rows.select(
-        "kit", "a_build", "chrom", "pos", "at", "key", "site_ref",
+        "kit", "a_build", "chrom", "pos", "at", "key", "site_ref", "turned",
         verdict(_ref_key("site_ref"), F.col("key")).alias("inf"),
-        *([*DETAIL, "lifted_from"] if detail else []),
     )
 
 
@@ -234,17 +231,21 @@ def compare_tallies(
 ) -> DataFrame:
     """One row of concordance counts per pair (a, b), in A's build."""
     plan = describe_pairs(pairs, kits)
-    a = _a_rows(calls, kits, plan, coords, reference, region, False)
-    b = _b_rows(calls, plan, chain_blocks, coords, reference, region, False)
+    a = _a_rows(calls, kits, plan, coords, reference, region)
+    b = _b_rows(calls, plan, chain_blocks, coords, reference, region)
     return _tally(_sites(a, b, plan), plan.pairs)
 
 
-def _listed(rsid: Column, order: Column, a: list[Column], b: list[Column], a_src: str, b_src: str, lift: Column) -> list[Column]:
-    return [
-        F.col("a"), F.col("b"), F.col("chrom"), F.col("pos"), rsid.alias("rsid"), order.alias("place"),
-        F.struct(*a).alias("call_a"), F.lit(a_src).alias("source_a"),
-        F.struct(*b).alias("call_b"), F.lit(b_src).alias("source_b"), lift.alias("lifted_from_b"),
-    ]
+def _more_a_records(a_rows: DataFrame, sites: DataFrame, plan: Plan) -> DataFrame | None:
+    """A records beyond the first at a place that disagree with B's implied reference."""
+    repeated = a_rows.groupBy("kit", "chrom", "pos").agg(F.count("*").alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return None
+    places = sites.filter((F.col("n_a") > 1) & (F.col("left_disc") > 0)).select(*SITE, F.col("a1.at").alias("first_at"))
+    rows = a_rows.withColumnRenamed("kit", "a").join(plan.hint(plan.pairs.select("a", "b")), "a").join(places, SITE)
+    rows = rows.filter(F.when(F.col("at") != F.col("first_at"), F.col("inf")) == DISCORDANT)
+    return rows.select(*SITE, F.col("at").alias("a_at"), F.lit(None).cast(rows.schema["at"].dataType).alias("b_at"),
+                       F.col("site_ref").alias("letter"), F.lit(False).alias("turned"))
 
 
 def discordant_sites(
@@ -253,58 +254,93 @@ def discordant_sites(
 ) -> DataFrame:
     """Discordant sites per pair, A's sites first in coordinate order, then B-only sites.
 
-    The per-pair cap is a top-k report; its filter runs before the shuffle.
+    Sites are found and ranked on narrow rows (the per-pair cap is a top-k report
+    whose filter runs before the shuffle); only the listed ones fetch their calls.
     """
     plan = describe_pairs(pairs, kits)
-    a_rows = _a_rows(calls, kits, plan, coords, reference, region, True)
-    b_rows = _b_rows(calls, plan, chain_blocks, coords, reference, region, True)
+    a_rows = _a_rows(calls, kits, plan, coords, reference, region)
+    b_rows = _b_rows(calls, plan, chain_blocks, coords, reference, region)
     sites = _sites(a_rows, b_rows, plan)
+    met = F.col("met") == DISCORDANT
+    alone = F.col("met").isNull() & (F.col("left_n") > 0) & (F.col("a1.inf") == DISCORDANT)
+    only_b = F.col("b_only") == DISCORDANT
+    picks = sites.filter(F.coalesce(met, F.lit(False)) | F.coalesce(alone, F.lit(False)) | F.coalesce(only_b, F.lit(False)))
+    picks = picks.select(
+        *SITE,
+        F.col("a1.at").alias("a_at"),
+        F.when(~alone | F.col("a1").isNull(), F.col("b1.at")).alias("b_at"),
+        F.coalesce("a1.site_ref", "b1.site_ref").alias("letter"),
+        F.coalesce("b1.turned", F.lit(False)).alias("turned"),
+    )
+    more = _more_a_records(a_rows, sites, plan)
+    if more is not None:
+        picks = picks.unionByName(more)
+    b_place = F.struct(
+        F.coalesce(contig_ord("chrom"), F.lit(AFTER_PRIMARY)).alias("c"), F.col("chrom").alias("name"),
+        F.col("pos").alias("p"), F.col("pos").alias("e"), F.lit(0).cast("bigint").alias("s"),
+    )
+    place = F.struct(F.col("a_at").isNull().alias("b_side"), F.coalesce("a_at", b_place).alias("at"))
+    rank = F.row_number().over(W.partitionBy("a", "b").orderBy(place))
+    picks = picks.withColumn("n", rank)
+    if max_discordant is not None:
+        picks = picks.filter(F.col("n") <= max_discordant)
+    return _with_calls(picks, calls, kits, plan, coords, reference, max_discordant is not None and plan.small)
+
+
+def _with_calls(picks: DataFrame, calls, kits, plan: Plan, coords, reference, few: bool) -> DataFrame:
+    """Listed sites with both genotypes as structs; absent sides are implied by the reference."""
+
+    def fetch(side: str, wanted: DataFrame) -> DataFrame:
+        keys = wanted.select(
+            F.col(side).alias("kit"), F.col(f"{side}_at.name").alias("chrom"), F.col(f"{side}_at.p").alias("pos"),
+            F.col(f"{side}_at.e").alias("end"), F.col(f"{side}_at.s").alias("src_ord"),
+        ).filter("src_ord is not null").distinct()
+        found = calls.join(F.broadcast(keys) if few else keys, keys.columns, "left_semi")
+        return found
+
+    if few:
+        picks = reliable(picks)  # at most cap rows per pair, read three times
+    key = ["kit", "chrom", "pos", "end", "src_ord"]
+    a = enrich_arrays(fetch("a", picks), kits, coords, reference, split=not few)
+    out = picks.join(F.broadcast(plan.pairs.select("a", "b", "a_build", "b_build")) if plan.small else plan.pairs.select("a", "b", "a_build", "b_build"), ["a", "b"])
+    for side, rows in (("a", a), ("b", fetch("b", picks))):
+        r = rows.select(
+            F.struct(*[F.col(k) for k in key]).alias(f"_{side}_key"),
+            F.struct(*[F.col(c) for c in DETAIL]).alias(f"_{side}"),
+        )
+        at = F.struct(
+            F.col(side).alias("kit"), F.col(f"{side}_at.name").alias("chrom"), F.col(f"{side}_at.p").alias("pos"),
+            F.col(f"{side}_at.e").alias("end"), F.col(f"{side}_at.s").alias("src_ord"),
+        )
+        out = out.withColumn(f"_{side}_key", F.when(F.col(f"{side}_at").isNotNull(), at)).join(r, f"_{side}_key", "left")
 
-    def call(side: str) -> list[Column]:
-        return [F.col(f"{side}.{c}").alias(c) for c in DETAIL]
+    def moved(c: Column) -> Column:
+        return lifted(c, F.col("turned"))
 
-    def implied(side: str) -> list[Column]:
-        r = F.col(f"{side}.site_ref")
-        fields = {
-            "rsid": F.col(f"{side}.rsid"), "ref": r, "alt": F.array().cast("array<string>"),
-            "genotype": hom_ref_letters(r), "zygosity": F.lit(HOM_REF), "filter": F.lit(None).cast("string"),
-            "quality": F.lit(None).cast("float"), "depth": F.lit(None).cast("bigint"),
-        }
-        return [fields[c].alias(c) for c in DETAIL]
+    fields = {c: F.col(f"_b.{c}") for c in DETAIL}
+    fields |= {"ref": moved(fields["ref"]), "genotype": moved(fields["genotype"]), "alt": lifted_alts(fields["alt"], F.col("turned"))}
+    b_call = F.struct(*[fields[c].alias(c) for c in DETAIL])
 
-    no_lift = F.lit(None).cast(LIFT_TYPE)
-    a_place = F.struct(F.lit(0).alias("side"), F.col("a1.at").alias("at"))
-    b_place = F.struct(
-        F.lit(1).alias("side"),
-        F.struct(
-            F.coalesce(F.col("b1.at.c"), F.lit(AFTER_PRIMARY)).alias("c"), F.col("chrom").alias("name"),
-            F.col("pos").alias("p"), F.col("pos").alias("e"), F.lit(0).cast("bigint").alias("s"),
-        ).alias("at"),
-    )
-    met = sites.filter(F.col("met") == DISCORDANT).select(
-        *_listed(F.coalesce("a1.rsid", "b1.rsid"), a_place, call("a1"), call("b1"), OBSERVED, OBSERVED, F.col("b1.lifted_from"))
-    )
-    alone = sites.filter((F.col("left_n") > 0) & F.col("met").isNull() & (F.col("a1.inf") == DISCORDANT)).select(
-        *_listed(F.col("a1.rsid"), a_place, call("a1"), implied("a1"), OBSERVED, INFERRED_REF, no_lift)
-    )
-    only_b = sites.filter(F.col("b_only") == DISCORDANT).select(
-        *_listed(F.col("b1.rsid"), b_place, implied("b1"), call("b1"), INFERRED_REF, OBSERVED, F.col("b1.lifted_from"))
-    )
-    # Further A records at a place beyond the first; only looked up where there are any.
-    more_at = sites.filter((F.col("n_a") > 1) & (F.col("left_disc") > 0)).select(*SITE, F.col("a1.at").alias("first_at"))
-    extra = (
-        a_rows.withColumnRenamed("kit", "a")
-        .join(plan.hint(plan.pairs.select("a", "b")), "a")
-        .join(more_at, SITE)
-        .filter(F.when(F.col("at") != F.col("first_at"), F.col("inf")) == DISCORDANT)
-        .withColumn("a1", F.struct("at", "site_ref", *DETAIL))
-        .select(*_listed(F.col("a1.rsid"), a_place, call("a1"), implied("a1"), OBSERVED, INFERRED_REF, no_lift))
+    def implied(rsid: str) -> Column:
+        r = F.col("letter")
+        none = {
+            "rsid": F.col(rsid), "ref": r, "alt": F.array().cast("array<string>"), "genotype": hom_ref_letters(r),
+            "zygosity": F.lit(HOM_REF), "filter": F.lit(None).cast("string"), "quality": F.lit(None).cast("float"),
+            "depth": F.lit(None).cast("bigint"),
+        }
+        return F.struct(*[none[c].alias(c) for c in DETAIL])
+
+    has_a, has_b = F.col("a_at").isNotNull(), F.col("b_at").isNotNull()
+    origin = F.struct(F.col("b_build").alias("build"), F.col("b_at.p").alias("pos"))
+    return out.select(
+        *SITE, "n",
+        F.coalesce("_a.rsid", "_b.rsid").alias("rsid"),
+        F.when(has_a, F.col("_a")).otherwise(implied("_b.rsid")).alias("call_a"),
+        F.when(has_a, F.lit(OBSERVED)).otherwise(F.lit(INFERRED_REF)).alias("source_a"),
+        F.when(has_b, b_call).otherwise(implied("_a.rsid")).alias("call_b"),
+        F.when(has_b, F.lit(OBSERVED)).otherwise(F.lit(INFERRED_REF)).alias("source_b"),
+        F.when(has_b & (F.col("a_build") != F.col("b_build")), origin).cast(LIFT_TYPE).alias("lifted_from_b"),
     )
-    rows = met.unionByName(alone).unionByName(only_b).unionByName(extra)
-    if max_discordant is None:
-        return rows
-    rank = F.row_number().over(W.partitionBy("a", "b").orderBy("place"))
-    return rows.withColumn("n", rank).filter(F.col("n") <= max_discordant)
 
 
 def compare_warnings(tallies: DataFrame, max_discordant: int = MAX_DISCORDANT) -> DataFrame:

@@ -93,14 +93,14 @@ BASE = (V.CALLS, V.KITS, V.COORDS, CURATED, NAMED, ENRICHED)
 
 @query("q_lookup_exact", f"{V.with_views(*BASE, place_sites_sql('k1', ['k2']), answer_sql('sites'))} {ANSWER_SELECT}")
 def lookup_exact(spark, sf):
-    calls = D.calls(spark, sf)
+    calls = D.stored_calls(spark, sf)
     q = place_queries(calls, "k1", ["k2"], None)
     return flat(lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf)))
 
 
 @query("q_lookup_spanning", f"{V.with_views(*BASE, place_sites_sql('k2', ['k3']), answer_sql('sites'))} {ANSWER_SELECT}")
 def lookup_spanning(spark, sf):
-    calls = D.calls(spark, sf)
+    calls = D.stored_calls(spark, sf)
     q = place_queries(calls, "k2", ["k3"], None)
     return flat(lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf)))
 
@@ -123,7 +123,7 @@ UNION ALL SELECT pid, kit, NULL, chrom, pos, 'GRCh37', NULL, NULL, NULL, 'no_cal
 FROM moved WHERE lifted_pos IS NULL""",
 )
 def lookup_crossbuild(spark, sf):
-    calls = D.calls(spark, sf)
+    calls = D.stored_calls(spark, sf)
     q = place_queries(calls, "k1", ["k2", "k3"], GRCH37)
     kits = counted_kits(spark, calls)
     return flat(lookup.lookup_positions(calls, kits, q, D.rsid_coords(spark, sf), D.chain_blocks(spark, sf)))
@@ -170,7 +170,7 @@ def both_ways(spark, sf):
     f"{V.with_views(*BASE, V.CHAIN, RSID_QUERIES, CALL_IDS, rsid_answer_sql('asked').lstrip())} {RSID_TAIL}",
 )
 def lookup_rsid(spark, sf):
-    calls = D.calls(spark, sf)
+    calls = D.stored_calls(spark, sf)
     ids = calls.filter("kit = 'k1' and rsid is not null").select("rsid").distinct()
     q = ids.withColumn("kit", F.explode(F.array(F.lit("k3"), F.lit("k4"))))
     q = q.select(F.concat_ws(":", "kit", "rsid").alias("qid"), "kit", "rsid")
@@ -182,7 +182,7 @@ def lookup_rsid(spark, sf):
     f"{V.with_views(*BASE, V.CHAIN, RSID_QUERIES, TABLE_IDS, rsid_answer_sql('asked').lstrip())} {RSID_TAIL}",
 )
 def lookup_rsid_table(spark, sf):
-    calls = D.calls(spark, sf)
+    calls = D.stored_calls(spark, sf)
     kits = counted_kits(spark, calls)
     q = rsid_queries(spark, sf).withColumn("kit", F.explode(F.array(*[F.lit(f"k{i}") for i in range(1, 5)])))
     q = q.select(F.concat_ws(":", "kit", F.col("qid").cast("string")).alias("qid"), "kit", "rsid")
@@ -195,7 +195,7 @@ def lookup_rsid_table(spark, sf):
 SELECT kit, call_source, zygosity, count(*) AS n, count(ref) AS with_ref, count(genotype) AS with_genotype FROM answers GROUP BY 1, 2, 3""",
 )
 def infer_absent(spark, sf):
-    calls = D.calls(spark, sf)
+    calls = D.stored_calls(spark, sf)
     q = place_queries(calls, "k1", ["k2", "k3", "k4"], None)
     out = lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf))
     return out.groupBy("kit", "call_source", "zygosity").agg(
@@ -210,7 +210,7 @@ SELECT count(*) FILTER (ref IS NULL) AS unknown_ref, max(CASE WHEN call_source =
 FROM answers WHERE call_source = 'inferred_ref'""",
 )
 def lookup_warnings(spark, sf):
-    calls = D.calls(spark, sf)
+    calls = D.stored_calls(spark, sf)
     q = place_queries(calls, "k1", ["k2"], None)
     out = lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf))
     notes = lookup.distinct_warnings(out, ["qid"])
@@ -228,7 +228,7 @@ SELECT s.id, count(c.pos) AS n FROM spans s LEFT JOIN g_calls c ON c.kit = s.kit
 GROUP BY s.id""",
 )
 def records_between(spark, sf):
-    calls = D.calls(spark, sf)
+    calls = D.stored_calls(spark, sf)
     key = F.concat_ws(":", "kit", F.col("src_ord").cast("string"), "chrom", F.col("pos").cast("string"))
     spans = calls.select(key.alias("id"), "kit", "chrom", F.col("pos").alias("lo"), (F.col("pos") + 1000).alias("hi"))
     return ordering.records_between(calls, spans)
@@ -327,7 +327,7 @@ FROM pairs p LEFT JOIN judged j ON j.a = p.a AND j.b = p.b GROUP BY p.a, p.b, p.
 )
 def compare_same_build(spark, sf):
     return compare.compare_tallies(
-        D.calls(spark, sf), D.kits(spark), pair_table(spark, SAME_BUILD), coords=D.rsid_coords(spark, sf)
+        D.stored_calls(spark, sf), D.kits(spark), pair_table(spark, SAME_BUILD), coords=D.rsid_coords(spark, sf)
     )
 
 
@@ -336,7 +336,7 @@ def compare_same_build(spark, sf):
     f"{V.with_views(V.CALLS, V.KITS, V.CHAIN, LETTERS, compare_sql([('k2', 'k1')], 'g_calls').lstrip())} {TALLY_SELECT}",
 )
 def compare_lifted(spark, sf):
-    calls = D.calls(spark, sf)
+    calls = D.stored_calls(spark, sf)
     return compare.compare_tallies(
         calls, D.kits(spark), pair_table(spark, [("k2", "k1")]), D.chain_blocks(spark, sf), letter_coords(calls)
     )
@@ -348,7 +348,7 @@ def compare_lifted(spark, sf):
 )
 def compare_all_pairs(spark, sf):
     return compare.compare_tallies(
-        D.calls(spark, sf), D.kits(spark), pair_table(spark, ALL_PAIRS), both_ways(spark, sf), D.rsid_coords(spark, sf)
+        D.stored_calls(spark, sf), D.kits(spark), pair_table(spark, ALL_PAIRS), both_ways(spark, sf), D.rsid_coords(spark, sf)
     )
 
 
@@ -362,7 +362,7 @@ REGION = ("3", 1, 3_000_000)
 )
 def compare_region(spark, sf):
     return compare.compare_tallies(
-        D.calls(spark, sf), D.kits(spark), pair_table(spark, ACROSS), both_ways(spark, sf), D.rsid_coords(spark, sf), region=REGION
+        D.stored_calls(spark, sf), D.kits(spark), pair_table(spark, ACROSS), both_ways(spark, sf), D.rsid_coords(spark, sf), region=REGION
     )
 
 
@@ -379,7 +379,7 @@ SELECT a, b, n::INT AS n, chrom, pos, rsid, ga AS genotype_a, gb AS genotype_b,
 )
 def discordant_capped(spark, sf):
     rows = compare.discordant_sites(
-        D.calls(spark, sf), D.kits(spark), pair_table(spark, ALL_PAIRS), both_ways(spark, sf), D.rsid_coords(spark, sf)
+        D.stored_calls(spark, sf), D.kits(spark), pair_table(spark, ALL_PAIRS), both_ways(spark, sf), D.rsid_coords(spark, sf)
     )
     return rows.select(
         "a", "b", "n", "chrom", "pos", "rsid", F.col("call_a.genotype").alias("genotype_a"),

@@ -13,7 +13,7 @@ from zygospark.functions.common import int_div
 from zygospark.functions.genotype import indexed_rs, no_strings
 from zygospark.functions.policy import ref_calls_policy
 from zygospark.schema import GRCH37, GRCH38
-from zygospark.session import small_table
+from zygospark.session import small_table, written
 from zygospark.sources.fasta import reference_chunks
 
 BASES = "ACGT"
@@ -117,6 +117,11 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """The calls as a table partitioned by kit, for queries that read them several times."""
+    return written(calls(spark, sf), "kit")
+
+
 def kits(spark: SparkSession, counts: DataFrame | None = None) -> DataFrame:
     """Metadata of the four kits; with `counts` also records, rsid_records and has_rsids."""
     rows = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,22 +37,35 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema)
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of the cluster; lineage is cut, data is replicated.
+def _shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share: the session's `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`.  Only a local session
-    without one gets a temporary folder.
+    Only a local session without one gets a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="zygospark-checkpoint-"))
+        shared = tempfile.mkdtemp(prefix="zygospark-checkpoint-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared)
+    return shared or sc.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder of the cluster; lineage is cut, data is replicated."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, *partition_by: str) -> DataFrame:
+    """A Parquet table in the shared folder, for data read several times with pruning."""
+    path = f"{_shared_folder(df.sparkSession)}/zygospark-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether a count proves that a table has at most max_rows rows."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
