@@ -17,7 +17,7 @@ from zygospark.operators.liftover import apply_lift, lift_best
 from zygospark.operators.lookup import INFERRED_WARNING, LIFT_TYPE
 from zygospark.operators.rsids import site_reference
 from zygospark.schema import ABSENT_MEANS_REF, HOM_REF, INFERRED_REF, OBSERVED, UNKNOWN_BUILD
-from zygospark.session import BROADCAST_ROWS, reliable
+from zygospark.session import BROADCAST_ROWS, written
 
 MAX_DISCORDANT = 50
 AFTER_PRIMARY = 1 << 30
@@ -299,7 +299,7 @@ def _with_calls(picks: DataFrame, calls, kits, plan: Plan, coords, reference, fe
         return found
 
     if few:
-        picks = reliable(picks)  # at most cap rows per pair, read three times
+        picks = written(picks)  # at most cap rows per pair, read three times
     key = ["kit", "chrom", "pos", "end", "src_ord"]
     a = enrich_arrays(fetch("a", picks), kits, coords, reference, split=not few)
     out = picks.join(F.broadcast(plan.pairs.select("a", "b", "a_build", "b_build")) if plan.small else plan.pairs.select("a", "b", "a_build", "b_build"), ["a", "b"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from zygospark.functions.common import int_div
 from zygospark.functions.naming import contig_ord
 from zygospark.schema import PRIMARY_CHROMS
-from zygospark.session import reliable
+from zygospark.session import written
 
 COORDINATE_ORDER = ["contig_ord", "pos", "end", "src_ord"]
 TOP_K_ROWS = 100_000
@@ -28,6 +28,7 @@ def with_contig_order(calls: DataFrame, by: str = "kit") -> DataFrame:
         .agg(F.min("src_ord").alias("_seen"))
         .withColumn("_n", (F.row_number().over(W.partitionBy(by).orderBy("_seen")) + len(PRIMARY_CHROMS)).cast("int"))
     )
+    seen = written(seen)  # a bounded list of names; its file size lets the join broadcast it
     out = calls.drop("contig_ord").join(seen.select(by, "chrom", "_n"), [by, "chrom"], "left")
     return out.withColumn("contig_ord", F.coalesce(contig_ord("chrom"), F.col("_n"))).select(*columns)
 
@@ -35,11 +36,11 @@ def with_contig_order(calls: DataFrame, by: str = "kit") -> DataFrame:
 def rank_rows(df: DataFrame, order: list[str | Column], name: str = "row_no") -> DataFrame:
     """Exact 0-based rank in a total order: range sort, then one offset per partition.
 
-    The sorted rows are checkpointed so that the ranks and the partition sizes
+    The sorted rows are written out so that the ranks and the partition sizes
     come from the same materialised data even when executors are lost.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = reliable(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    ranged = written(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     offsets = sizes.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).alias("_shift"))

@@ -1,4 +1,4 @@
-"""Session helpers: local test session, reliable checkpoints, checked broadcasts."""
+"""Session helpers: local test session, written checkpoints, checked broadcasts."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ def local_session(cores: int | str = 8, app: str = "zygospark") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # Test tables are small but compute-heavy: keep one task per core after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -42,25 +44,21 @@ def _shared_folder(spark: SparkSession) -> str:
 
     Only a local session without one gets a temporary folder.
     """
-    sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         shared = tempfile.mkdtemp(prefix="zygospark-checkpoint-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared)
-    return shared or sc.getCheckpointDir()
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of the cluster; lineage is cut, data is replicated."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint()
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """A Parquet table in the shared folder, for data read several times with pruning."""
+    """A Parquet table in the shared folder, for data that is read several times.
+
+    Cuts lineage like a reliable checkpoint, but computes the data once, keeps
+    column pruning and pushdown, and gives the optimizer the true size.
+    """
     path = f"{_shared_folder(df.sparkSession)}/zygospark-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
