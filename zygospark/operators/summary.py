@@ -173,8 +173,8 @@ def summarize(calls: DataFrame, kits: DataFrame) -> DataFrame:
     return counts.join(chroms, "kit").join(sexes.select("kit", sex.alias("sex")), "kit").join(notes, "kit")
 
 
-def kit_counts(calls: DataFrame) -> DataFrame:
-    """(kit, records, rsid_records, has_rsids)."""
+def kit_counts(calls: DataFrame, *more: Column) -> DataFrame:
+    """(kit, records, rsid_records, has_rsids) and any further aggregates."""
     named = F.coalesce(F.col("rsid").startswith("rs"), F.lit(False))
-    counts = calls.groupBy("kit").agg(F.count("*").alias("records"), F.count_if(named).alias("rsid_records"))
+    counts = calls.groupBy("kit").agg(F.count("*").alias("records"), F.count_if(named).alias("rsid_records"), *more)
     return counts.withColumn("has_rsids", has_rsids("records", "rsid_records"))

@@ -10,7 +10,7 @@ from zygospark.functions.common import parse_u32
 from zygospark.functions.genotype import rs_number
 from zygospark.schema import GRCH37, GRCH38, RSID_COORDS
 from zygospark.session import small_table
-from zygospark.sources.text import read_lines
+from zygospark.sources.text import read_lines, split_once
 
 # Curated SNPs, 1-based plus-strand coordinates in both builds.
 # rsid, gene, chrom, GRCh37 pos/ref/alt, GRCh38 pos/ref/alt
@@ -51,7 +51,7 @@ def curated_coords(spark: SparkSession) -> DataFrame:
 
 def dbsnp_rows(lines: DataFrame) -> DataFrame:
     """Body lines of a sites-only VCF: kept flag, contig, position and id array."""
-    body = lines.filter(~F.col("value").startswith("#")).select("file", F.split("value", "\t").alias("f"))
+    body = lines.filter(~F.col("value").startswith("#")).select("file", split_once(F.split("value", "\t")).alias("f"))
     f = [F.get("f", F.lit(i)) for i in range(5)]
     chrom = N.normalize_chrom(f[0])
     alts = F.split(F.regexp_replace(f[4], r"^\s+|\s+$", ""), ",")
