@@ -44,6 +44,8 @@ class Plan:
     same: bool  # some pairs share a build
     lift: bool
     arrays: bool  # some A kit is an array
+    a_shared: bool  # A kits take part in several pairs
+    b_shared: bool
 
     def hint(self, df: DataFrame) -> DataFrame:
         """Broadcast a table with at most one row per pair, when the pairs are few."""
@@ -69,11 +71,13 @@ def describe_pairs(pairs: DataFrame, kits: DataFrame) -> Plan:
         F.bool_or(~differ).alias("same"),
         F.bool_or(differ).alias("lift"),
         F.bool_or(F.col("a_assay") == "array").alias("arrays"),
+        (F.count_distinct("a") < F.count("*")).alias("a_shared"),
+        (F.count_distinct("b", "a_build") < F.count("*")).alias("b_shared"),
         F.min(F.when(clash, names)).alias("clash"),
     ).first()
     if facts.clash:
         raise ValueError(f"cannot compare {facts.clash}: unknown build")
-    flags = {k: bool(facts[k]) for k in ("a_infer", "b_infer", "same", "lift", "arrays")}
+    flags = {k: bool(facts[k]) for k in ("a_infer", "b_infer", "same", "lift", "arrays", "a_shared", "b_shared")}
     return Plan(out.drop("a_assay", "b_assay"), facts.n <= BROADCAST_ROWS, **flags)
 
 
@@ -157,30 +161,32 @@ def _b_rows(calls, plan: Plan, blocks, coords, reference, region) -> DataFrame:
 def _sites(a_rows: DataFrame, b_rows: DataFrame, plan: Plan) -> DataFrame:
     """One row per (pair, chrom, pos) with the first A record, the last B record and verdict sums.
 
-    Both sides are reduced by map-side aggregates before their only shuffle, so
-    many records at one place cost one row, and the full join finds both sides
-    already partitioned on its keys.
+    Both sides are reduced by map-side aggregates before their shuffle, so many
+    records at one place cost one row.  Kits that take part in several pairs are
+    reduced once and then spread over their pairs; a kit of a single pair is
+    reduced on the join keys, which leaves it partitioned and sorted for the join.
     """
     pairs = plan.pairs
     flat = [c for c in a_rows.columns if c not in ("kit", "chrom", "pos")]
-    a = (
-        a_rows.withColumnRenamed("kit", "a")
-        .join(plan.hint(pairs.select("a", "b")), "a")
-        .groupBy(*SITE)
-        .agg(
-            F.min_by(F.struct(*flat), "at").alias("a1"),
-            F.count("*").alias("n_a"),
-            F.count_if(F.col("inf") == CONCORDANT).alias("conc_a"),
-            F.count_if(F.col("inf") == DISCORDANT).alias("disc_a"),
-        )
-    )
+    a_sums = [
+        F.min_by(F.struct(*flat), "at").alias("a1"),
+        F.count("*").alias("n_a"),
+        F.count_if(F.col("inf") == CONCORDANT).alias("conc_a"),
+        F.count_if(F.col("inf") == DISCORDANT).alias("disc_a"),
+    ]
+    a_pairs = plan.hint(pairs.select("a", "b"))
+    if plan.a_shared:
+        a = a_rows.groupBy("kit", "chrom", "pos").agg(*a_sums).withColumnRenamed("kit", "a").join(a_pairs, "a")
+    else:
+        a = a_rows.withColumnRenamed("kit", "a").join(a_pairs, "a").groupBy(*SITE).agg(*a_sums)
     flat = [c for c in b_rows.columns if c not in ("kit", "a_build", "chrom", "pos")]
-    b = (
-        b_rows.withColumnRenamed("kit", "b")
-        .join(plan.hint(pairs.select("a", "b", "a_build")), ["b", "a_build"])
-        .groupBy(*SITE)
-        .agg(F.max_by(F.struct(*flat), "at").alias("b1"), F.count("*").alias("n_b"))
-    )
+    b_sums = [F.max_by(F.struct(*flat), "at").alias("b1"), F.count("*").alias("n_b")]
+    b_pairs = plan.hint(pairs.select("a", "b", "a_build"))
+    if plan.b_shared:
+        b = b_rows.groupBy("kit", "a_build", "chrom", "pos").agg(*b_sums).withColumnRenamed("kit", "b")
+        b = b.join(b_pairs, ["b", "a_build"]).drop("a_build")
+    else:
+        b = b_rows.withColumnRenamed("kit", "b").join(b_pairs, ["b", "a_build"]).groupBy(*SITE).agg(*b_sums)
     sites = a.join(b, SITE, "full_outer").join(plan.hint(pairs.select("a", "b", "a_absent", "b_absent")), ["a", "b"])
     has_a, has_b = F.col("a1").isNotNull(), F.col("b1").isNotNull()
     primary = is_primary("chrom")
