@@ -349,6 +349,11 @@ def test_audit(spark):
     assert {r.seq for r in audit.verify_audit(edited).collect()} == {7, 8}
     assert {r.seq for r in audit.verify_audit(log.filter("seq <> 5")).collect()} == {6}
     assert [r.seq for r in audit.tail_audit(log, 3).collect()] == [18, 19, 20]
+    more = audit.next_entries(log, [("t21", "import", None, "{}"), ("t22", "rm", "u", "{}")])
+    assert [r.seq for r in more.orderBy("seq").collect()] == [21, 22]
+    assert audit.verify_audit(log.unionByName(more)).count() == 0
+    first = audit.next_entries(log.limit(0), [("t1", "kits", None, "{}")])
+    assert audit.verify_audit(first).count() == 0 and first.first().seq == 1
 
 
 def test_folder_ingest(spark, world, tmp_path):
