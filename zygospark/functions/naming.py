@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from zygospark.functions.common import as_col, let, parse_decimal, parse_u32
 from zygospark.schema import (
+    AUTOSOMES,
     CHR1_LENGTH,
     GRCH37,
     GRCH38,
@@ -107,10 +108,14 @@ def normalize_chrom(raw: Column | str) -> Column:
 def contig_ord(chrom: Column | str) -> Column:
     """1..22, X=23, Y=24, MT=25, null for every other contig."""
     c = as_col(chrom)
-    names = F.array(*[F.lit(n) for n in PRIMARY_CHROMS])
-    odd = c.startswith("0") | c.startswith("+")  # `05` and `+5` count as 5
-    plain = F.when(odd, F.regexp_replace(c, r"^\+?0*([1-9])", "$1")).otherwise(c)
-    return F.nullif(F.array_position(names, plain), F.lit(0)).cast("int")
+    digits = F.regexp_extract(c, r"^\+?0*([1-9][0-9]?)$", 1).try_cast("int")  # `05` and `+5` count as 5
+    return (
+        F.when(c.isin(PRIMARY_CHROMS[:AUTOSOMES]), c.try_cast("int"))
+        .when(c == "X", F.lit(23))
+        .when(c == "Y", F.lit(24))
+        .when(c == "MT", F.lit(25))
+        .when((c.startswith("0") | c.startswith("+")) & digits.between(1, AUTOSOMES), digits)
+    )
 
 
 def is_primary(chrom: Column | str) -> Column:

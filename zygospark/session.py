@@ -22,7 +22,7 @@ def local_session(cores: int | str = 8, app: str = "zygospark") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         # Test tables are small but compute-heavy: keep one task per core after a shuffle.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
