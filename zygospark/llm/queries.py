@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zygospark.llm.decontaminate import contamination
 from zygospark.llm.minhash_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,5 +20,12 @@ def op2_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op2_minhash_dedup": op2_minhash_dedup}
+def op8_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {
+    "op2_minhash_dedup": op2_minhash_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+}
 ORACLES: dict[str, str] = {}
