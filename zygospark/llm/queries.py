@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from zygospark.llm.decontaminate import contamination
 from zygospark.llm.minhash_dedup import near_duplicates
+from zygospark.llm.quality import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +21,17 @@ def op2_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return judge(table(spark, sf, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {}
