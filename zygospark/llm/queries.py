@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from zygospark.llm.decontaminate import contamination
 from zygospark.llm.minhash_dedup import near_duplicates
+from zygospark.llm.mixing import MIX_COUNTS_SQL, mix_counts
 from zygospark.llm.quality import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +30,16 @@ def op8_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op10_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_counts(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_mix_sources": op10_mix_sources,
+}
+ORACLES: dict[str, str] = {
+    "op10_mix_sources": MIX_COUNTS_SQL,
 }
-ORACLES: dict[str, str] = {}
