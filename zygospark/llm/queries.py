@@ -10,6 +10,7 @@ from zygospark.llm.decontaminate import contamination
 from zygospark.llm.minhash_dedup import near_duplicates
 from zygospark.llm.mixing import MIX_COUNTS_SQL, mix_counts
 from zygospark.llm.quality import judge
+from zygospark.llm.substring_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,10 @@ def op2_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents"), with_text=False)
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judge(table(spark, sf, "documents"))
 
@@ -36,6 +41,7 @@ def op10_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_mix_sources": op10_mix_sources,
