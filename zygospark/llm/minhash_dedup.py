@@ -17,9 +17,9 @@ SHINGLE = 5  # words
 PERCENT = 75  # of the union that must be shared
 BANDS, ROWS = 32, 4  # a pair at the threshold shares no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 1024
-#: Candidates whose sketches estimate less than this are dropped; at the threshold the estimate's deviation is below 0.05.
-LEAST_ESTIMATE = 0.5
+BIN_BITS = 12  # a sketch holds one sample (the smallest hash) of each of 4096 bins of hashes
+SKETCH_BITS = 4096
+DEVIATIONS = 6.0  # a candidate is dropped when its sketches share that much less than pairs at the threshold do
 TILE = 256  # members of a band's bucket that are compared with as many others in one row
 
 _seeds = np.random.Generator(np.random.PCG64(71)).integers(1, 1 << 63, (2, SAMPLES), dtype=np.uint64)
@@ -57,12 +57,39 @@ def minhashes(sets: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmaps: every (sample number, value) flips one of SKETCH_BITS bits."""
-    n = len(samples)
-    bit = (mix(samples ^ _LANE[None, :], 9) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    flips = np.bincount((np.arange(n)[:, None] * SKETCH_BITS + bit).ravel(), minlength=n * SKETCH_BITS)
-    return np.packbits((flips & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+def odd_sketches(sets: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(samples of each set, parity bitmaps): the smallest hash of every bin flips one of SKETCH_BITS bits."""
+    n = len(begins)
+    doc = np.repeat(np.arange(n), np.diff(np.append(begins, len(sets))))
+    place = (doc << BIN_BITS) | (sets >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+    smallest = np.ones(len(sets), bool)  # the sets are in ascending order
+    smallest[1:] = place[1:] != place[:-1]
+    doc = doc[smallest]
+    bit = (mix(sets[smallest], 9) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    flips = np.bincount(doc * SKETCH_BITS + bit, minlength=n * SKETCH_BITS)
+    bitmaps = np.packbits((flips & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+    return np.bincount(doc, minlength=n), bitmaps
+
+
+def may_be_similar(apart, n_a, n_b, m_a, m_b, exp, log, sqrt, greatest, least):
+    """Whether two sketches leave the threshold possible; for numpy arrays and for columns alike.
+
+    apart: bits that differ, n: set sizes, m: samples.  With t samples apart,
+    each of b bits is odd with probability (1 - exp(-2 t / b)) / 2.  At the
+    threshold the union has (n_a + n_b) / (1 + s) hashes, which fill a known
+    share of the bins, and s of these hold a common sample; the deviation is
+    that of drawing bins without putting back, and of the bitmap.
+    """
+    s, bins, bits = PERCENT / 100, float(1 << BIN_BITS), float(SKETCH_BITS)
+    left = greatest(1 - 2 * apart / bits, 1e-6)
+    t = -bits / 2 * log(left)
+    shared = (m_a + m_b - t) / 2
+    union = (n_a + n_b) / (1 + s)
+    filled = bins * (1 - exp(-union / bins))
+    odd = (1 - left) / 2
+    noise = bits * (odd * (1 - odd) - t / bits * left * left) / (left * left) / 4
+    deviation = sqrt(greatest(filled * s * (1 - s) * (1 - filled / union), 0.0) + greatest(noise, 0.0))
+    return (shared >= s * filled - DEVIATIONS * deviation - 1) & (least(n_a, n_b) * 100 >= greatest(n_a, n_b) * PERCENT)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -88,11 +115,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signature = np.zeros((2, n), np.uint64)
             bands = np.zeros((0, BANDS), np.int64)
             odd = np.zeros((0, SKETCH_BITS // 64), np.int64)
+            taken = np.zeros(n, np.int64)
             if len(full):
                 for j in (0, 1):
                     signature[j, full] = np.add.reduceat(mix(sets, 11 + j), begins[full])
-                samples = minhashes(sets, begins[full])
-                bands, odd = band_keys(samples), odd_sketches(samples)
+                bands = band_keys(minhashes(sets, begins[full]))
+                taken[full], odd = odd_sketches(sets, begins[full])
             has = np.concatenate(([0], np.cumsum(sizes > 0)))
             yield pa.record_batch(
                 [
@@ -101,9 +129,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(signature[0].view(np.int64)),
                     pa.array(signature[1].view(np.int64)),
                     _lists(bands, has * BANDS),
+                    pa.array(taken),
                     _lists(odd, has * (SKETCH_BITS // 64)),
                 ],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands", "odd"],
+                names=["doc_id", "n_shingles", "s1", "s2", "bands", "samples", "odd"],
             )
 
 
@@ -114,33 +143,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch["doc_id"].slice(at, len(offsets) - 1), _lists(sets.view(np.int64), begins)], names=["doc_id", "items"])
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from the odd bits of two sketches: with share p of bits apart, about -n/2 ln(1 - 2p) samples differ."""
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    free = F.greatest(1 - 2 * apart / F.lit(SKETCH_BITS), F.lit(1e-9))
-    return 1 + SKETCH_BITS / 2 * F.log(free) / (2 * SAMPLES)
+def _apart(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _least(a, b) -> Column:
+    return F.least(a, b)
+
+
+def _greatest(a, b) -> Column:
+    return F.greatest(a, F.lit(b) if isinstance(b, float) else b)
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in one tile whose sketches pass."""
-    most = SKETCH_BITS / 2 * (1 - np.exp(-(1 - LEAST_ESTIMATE) * 4 * SAMPLES / SKETCH_BITS))
     for batch in batches:
         out: list[np.ndarray] = []
         lists = batch["members"]
         flat = lists.flatten()
-        ids, labels = (np.asarray(flat.field(k)) for k in (0, 1))
-        side = np.asarray(flat.field(2))
-        sketch = np.asarray(flat.field(3).flatten()).view(np.uint64).reshape(len(ids), -1)
+        ids, labels, side, n, m = (np.asarray(flat.field(k)) for k in range(5))
+        sketch = np.asarray(flat.field(5).flatten()).view(np.uint64).reshape(len(ids), -1)
         ends = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
         for lo, hi in zip(ends[:-1], ends[1:], strict=True):
             rows = np.arange(lo, hi)
             left = rows[side[rows] == 0]
             right = rows[side[rows] == 1] if side[rows].any() else left
             for at in range(0, len(left), 64):
-                some = left[at : at + 64]
-                apart = np.bitwise_count(sketch[some][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64)
-                i, j = np.nonzero((apart <= most) & (labels[some][:, None] != labels[right][None, :]))
-                out.append(np.stack((ids[some[i]], ids[right[j]])))
+                a, b = left[at : at + 64, None], right[None, :]
+                apart = np.bitwise_count(sketch[left[at : at + 64]][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64)
+                passed = may_be_similar(apart, n[a], n[b], m[a], m[b], np.exp, np.log, np.sqrt, np.maximum, np.minimum)
+                i, j = np.nonzero(passed & (labels[a] != labels[b]))
+                out.append(np.stack((ids[left[at + i]], ids[right[j]])))
         pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
         pairs = np.unique(np.stack((pairs.min(0), pairs.max(0))), axis=1) if pairs.size else pairs
         yield pa.record_batch([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
@@ -168,8 +201,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Method: equal sets are one class, named by its smallest doc_id, so copies
     never meet each other.  Class representatives are put into MinHash bands.
-    First each bucket links its members with its smallest member (a star, not
-    all pairs); the links that hold give components.  Then buckets that still
+    First each bucket links its members with one of them, drawn anew in every
+    band (a star, not all pairs); the links that hold give components.  Then buckets that still
     hold several components are compared in tiles of bounded size by odd
     sketches, and only pairs of different components whose sketches pass are
     confirmed.  Sets are 64-bit shingle hashes: two different shingles of one
@@ -181,35 +214,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, odd array<long>"
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, samples long, odd array<long>"
     sketches = written(docs.mapInArrow(_sketch, schema))
     usable = sketches.filter("n_shingles > 0 and doc_id is not null")
     key = ["n_shingles", "s1", "s2"]
     classes = usable.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     member = written(usable.select("doc_id", *key).join(classes, key).select("doc_id", "rep").distinct())
     reps = usable.join(member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-    reps = written(reps.select("doc_id", *key, "bands", "odd").dropDuplicates(["doc_id", *key]).drop(*key))
+    reps = written(reps.dropDuplicates(["doc_id", *key]).drop("s1", "s2"))
 
     entries = reps.select("doc_id", F.explode("bands").alias("band"))
-    leaders = entries.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("band", "a")
-    stars = entries.join(leaders, "band").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    odd = reps.select("doc_id", "odd")
-    stars = stars.join(odd.select(F.col("doc_id").alias("a"), F.col("odd").alias("x")), "a")
-    stars = stars.join(odd.select(F.col("doc_id").alias("b"), F.col("odd").alias("y")), "b")
-    stars = stars.filter(estimate(F.col("x"), F.col("y")) >= LEAST_ESTIMATE).select("a", "b").distinct()
+    drawn = F.struct(F.xxhash64("doc_id", "band").alias("draw"), F.col("doc_id").alias("a"))  # another centre in every band
+    centres = entries.groupBy("band").agg(F.min(drawn).alias("centre"), F.count("*").alias("m")).filter("m > 1").select("band", "centre.a")
+    stars = entries.join(centres, "band").filter("doc_id <> a")
+    stars = stars.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+    sketch = F.struct("n_shingles", "samples", "odd")
+    stars = stars.join(reps.select(F.col("doc_id").alias("a"), sketch.alias("x")), "a")
+    stars = stars.join(reps.select(F.col("doc_id").alias("b"), sketch.alias("y")), "b")
+    numbers = [_apart(F.col("x.odd"), F.col("y.odd")), *(F.col(c) for c in ("x.n_shingles", "y.n_shingles", "x.samples", "y.samples"))]
+    stars = stars.filter(may_be_similar(*numbers, F.exp, F.ln, F.sqrt, _greatest, _least)).select("a", "b").distinct()
     links = written(_confirmed(docs, stars))
     labels = connected_components(links).select(F.col("id").alias("doc_id"), "component")
 
-    labelled = reps.join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("label"), "bands", "odd")
+    labelled = reps.join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("label"), "bands", "n_shingles", "samples", "odd")
     labelled = written(labelled)
     entries = labelled.select("doc_id", "label", F.explode("bands").alias("band"))
     mixed = entries.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"))
     mixed = mixed.filter("lo < hi").select("band", F.ceil(F.col("m") / TILE).cast("int").alias("g"))
     inside = entries.join(mixed, "band").select("doc_id", "label", "band", "g", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int").alias("c"))
-    inside = inside.join(labelled.select("doc_id", "odd").distinct(), "doc_id")
+    inside = inside.join(labelled.select("doc_id", "n_shingles", "samples", "odd"), "doc_id")
     tiles = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     side = F.when(F.col("c") > F.col("o"), 1).otherwise(0).alias("side")
-    tiles = tiles.select("band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.struct("doc_id", "label", side, "odd").alias("member"))
+    tiles = tiles.select("band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.struct("doc_id", "label", side, "n_shingles", "samples", "odd").alias("member"))
     tiles = tiles.groupBy("band", "i", "j").agg(F.collect_list("member").alias("members"))
     more = tiles.select("members").mapInArrow(_tile_pairs, "a long, b long").distinct()
     links = written(links.union(_confirmed(docs, more)).distinct())
