@@ -11,6 +11,7 @@ from zygospark.llm.minhash_dedup import near_duplicates
 from zygospark.llm.mixing import MIX_COUNTS_SQL, mix_counts
 from zygospark.llm.quality import judge
 from zygospark.llm.substring_dedup import remove_repeats
+from zygospark.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,10 @@ def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(table(spark, sf, "documents"), with_text=False)
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judge(table(spark, sf, "documents"))
 
@@ -42,6 +47,7 @@ def op10_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_mix_sources": op10_mix_sources,
