@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from zygospark.llm.decontaminate import contamination
+from zygospark.llm.line_dedup import dedup_lines
 from zygospark.llm.minhash_dedup import near_duplicates
 from zygospark.llm.mixing import MIX_COUNTS_SQL, mix_counts
 from zygospark.llm.quality import judge
@@ -40,6 +41,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup_lines(table(spark, sf, "documents"), with_text=False)
+
+
 def op10_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_counts(table(spark, sf, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {
