@@ -12,6 +12,7 @@ from zygospark.llm.minhash_dedup import near_duplicates
 from zygospark.llm.mixing import MIX_COUNTS_SQL, mix_counts
 from zygospark.llm.quality import judge
 from zygospark.llm.substring_dedup import remove_repeats
+from zygospark.llm.suffix_tree_lm import score_texts
 from zygospark.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,10 @@ def op2_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(table(spark, sf, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(table(spark, sf, "documents"), with_text=False)
 
@@ -51,6 +56,7 @@ def op10_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_suffix_tree_lm": op3_suffix_tree_lm,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
