@@ -14,6 +14,7 @@ from zygospark.llm.quality import judge
 from zygospark.llm.substring_dedup import remove_repeats
 from zygospark.llm.suffix_tree_lm import score_texts
 from zygospark.llm.toxicity import score_toxicity
+from zygospark.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,10 @@ def op3_suffix_tree_lm(spark: SparkSession, sf: str) -> DataFrame:
     return score_texts(table(spark, sf, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_urls(table(spark, sf, "pages"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(table(spark, sf, "documents"), with_text=False)
 
@@ -57,6 +62,7 @@ def op10_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_suffix_tree_lm": op3_suffix_tree_lm,
+    "op4_url_filter": op4_url_filter,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
