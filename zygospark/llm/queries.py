@@ -13,6 +13,7 @@ from zygospark.llm.mixing import MIX_COUNTS_SQL, mix_counts
 from zygospark.llm.quality import judge
 from zygospark.llm.substring_dedup import remove_repeats
 from zygospark.llm.suffix_tree_lm import score_texts
+from zygospark.llm.token_files import count_tokens
 from zygospark.llm.toxicity import score_toxicity
 from zygospark.llm.url_filter import judge_urls
 
@@ -23,6 +24,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return count_tokens(table(spark, sf, "documents"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
@@ -60,6 +65,7 @@ def op10_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_suffix_tree_lm": op3_suffix_tree_lm,
     "op4_url_filter": op4_url_filter,
