@@ -182,7 +182,8 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough."""
     pairs = written(pairs)
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ends = [pairs.select(F.col(k).alias("doc_id")).distinct() for k in ("a", "b")]
+    asked = written(ends[0].union(ends[1]).distinct())
     sets = docs.join(asked, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>")
     sets = written(sets)
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
@@ -260,5 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents of which each group of near duplicates keeps its smallest doc_id; all columns stay."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    names = docs.columns
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    plain = docs.toDF(*(f"_{i}" for i in range(len(names))))
+    return plain.join(gone, F.col(f"_{names.index('doc_id')}").cast("long") == F.col("gone"), "left_anti").toDF(*names)

@@ -10,6 +10,7 @@ from zygospark.llm.decontaminate import contamination
 from zygospark.llm.line_dedup import dedup_lines
 from zygospark.llm.minhash_dedup import near_duplicates
 from zygospark.llm.mixing import MIX_COUNTS_SQL, mix_counts
+from zygospark.llm.oracle_sql import CONTAMINATION, NEAR_DUPLICATES, QUALITY, REMOVED_REPEATS
 from zygospark.llm.quality import judge
 from zygospark.llm.substring_dedup import remove_repeats
 from zygospark.llm.suffix_tree_lm import score_texts
@@ -76,6 +77,11 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
+#: Tokenizers, classifiers and language models have no SQL form, fuzzy lines are too slow in SQL; tests/llm holds these against brute force.
 ORACLES: dict[str, str] = {
+    "op2_minhash_dedup": NEAR_DUPLICATES,
+    "op5_substring_dedup": REMOVED_REPEATS,
+    "op7_quality_rules": QUALITY,
+    "op8_benchmark_decontamination": CONTAMINATION,
     "op10_mix_sources": MIX_COUNTS_SQL,
 }
