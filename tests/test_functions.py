@@ -68,13 +68,17 @@ def test_array_zygosity(spark):
 
 
 def test_genotype_letters(spark):
+    base, other = "G", "A"
     rows = [
-        ("0/1", "T", "C", "TC", "het"), ("1|1", "T", "C", "CC", "hom_alt"), ("0/0", "T", "<NON_REF>", "TT", "hom_ref"),
-        ("1", "A", "G", "G", "hemi"), ("./.", "A", "G", "--", "no_call"), (".", "A", "G", "-", "no_call"),
-        ("0/1", "AT", "A", "AT/A", "het"), ("1/2", "A", "G,T", "GT", "het"), ("0/1/1", "A", "G", "AGG", "het"),
-        ("0/.", "A", "G", "--", "no_call"), ("1/3", "A", "G", "GN", "het"), ("x/1", "A", "G", "NG", "het"),
-        ("1/1", "A", "*", "NN", "hom_alt"), ("00/0", "A", "G", "AA", "het"), ("1/1/1", "A", "GT", "GT/GT/GT", "hom_alt"),
-        ("", "A", "G", "-", "no_call"), ("0|0", "T", ".", "TT", "hom_ref"),
+        # one alternative base
+        ("0/0", base, other, "GG", "hom_ref"), ("0|1", base, other, "GA", "het"), ("1/0", base, other, "AG", "het"), ("1/1", base, other, "AA", "hom_alt"),
+        # one copy, three copies, none
+        ("0", base, other, "G", "hemi"), ("1/1/0", base, other, "AAG", "het"), ("1/1/1", base, "CC", "CC/CC/CC", "hom_alt"), ("", base, other, "-", "no_call"),
+        # missing alleles
+        ("./1", base, other, "--", "no_call"), (".|.", base, other, "--", "no_call"), (".", base, other, "-", "no_call"),
+        # several, long, symbolic and unreadable alleles
+        ("2/1", base, "A,C", "CA", "het"), ("1/0", "GTT", "G", "G/GTT", "het"), ("0/2", base, other, "GN", "het"), ("?/0", base, other, "NG", "het"),
+        ("0/0", base, "<DEL>", "GG", "hom_ref"), ("1|1", base, "*", "NN", "hom_alt"), ("0/00", base, other, "GG", "het"), ("0/0", base, ".", "GG", "hom_ref"),
     ]
     got = evaluate(spark, rows, "gt string, r string, a string, l string, z string",
                    G.genotype_letters("gt", "r", "a"), G.vcf_zygosity("gt"))

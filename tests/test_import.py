@@ -19,34 +19,39 @@ VCF_HEAD = (
     "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\n"
 )
 CHAIN = (
-    "chain 1000 chr1 5000 + 0 110 chr1 6000 + 1000 1105 1\n50 10 5\n50\n\n"
-    "chain 500 chr2 3000 + 100 200 chr7 1000 - 0 100 2\n100\n"
+    "chain 4200 chr5 90000 + 2000 2330 chr5 91000 + 700 1020 11\n120 40 0\n80 0 30\n90\n\n"
+    "chain 77 chr8 40000 + 15000 15060 chr12 9000 - 2500 2560 12\n60\n"
 )
+X_SITES, Y_SITES = 64, 25  # of the array; one X site is het, each fifth Y site is not called
 
 
 def male_array():
-    """A male-looking 23andMe export: 2 PAR sites, 40 X, 30 Y with 26 called."""
-    rows = [
-        ("rs429358", "19", 45411941, "TC"), ("rs7412", "19", 45412079, "CC"), ("rs1801133", "1", 11856378, "AG"),
-        ("rs1801131", "1", 11854476, "TT"), ("rs4988235", "2", 136608646, "AG"), ("i3000001", "1", 900000, "II"),
-        ("rs2000", "1", 2000000, "--"), ("rs3000", "X", 100000, "AG"), ("rs3001", "X", 2000000, "CT"),
-    ]
-    rows += [(f"rs{4000 + i}", "X", 10000000 + i * 50000, "AG" if i == 7 else "A") for i in range(40)]
-    rows += [(f"rs{5000 + i}", "Y", 3000000 + i * 10000, "--" if i % 8 == 3 else "G") for i in range(30)]
-    rows.append(("rs6000", "26", 73, "G"))
+    """Array rows of a male: chosen sites of chromosomes 1, 6, 10 and 19, one PAR site, X, Y and MT."""
+    rng = random.Random(2024)
+    known = {"rs7412": ("19", 45412079, "CT"), "rs1801131": ("1", 11854476, "GG"), "rs1800562": ("6", 26093141, "GG"), "rs4244285": ("10", 96541616, "GA")}
+    rows = [(rsid, *place) for rsid, place in known.items()]
+    rows += [("i700", "6", 4_100_000, "DI"), ("rs8801", "12", 55_000, "--"), ("rs8802", "X", 155_000_000, "CA")]
+    for n, pos in enumerate(sorted(rng.sample(range(5_000_000, 80_000_000), X_SITES))):
+        rows.append((f"rs77{n:03d}", "X", pos, "TC" if n == 20 else rng.choice("ACGT")))
+    for n, pos in enumerate(sorted(rng.sample(range(7_000_000, 20_000_000), Y_SITES))):
+        rows.append((f"rs99{n:03d}", "Y", pos, "--" if n % 5 == 4 else rng.choice("ACGT")))
+    rows.append(("i701", "MT", 7028, "T"))
     head = "# This data file generated by 23andMe\n# human assembly build 37\n# rsid\tchromosome\tposition\tgenotype\n"
     return head + "".join("\t".join(map(str, r)) + "\n" for r in rows)
 
 
+ARRAY_ROWS = 4 + 3 + X_SITES + Y_SITES + 1
+
+
 def wgs_vcf():
     body = [
-        "chr19\t44908684\t.\tT\tC\t50\tPASS\tDP=31\tGT:DP\t0/1:30\t0/0:1",
-        "chr1\t11794419\t.\tT\tG\t40\tPASS\t.\tGT\t0/1\t0/0",
-        "chr2\t135851076\t.\tG\tA\t.\t.\t.\tGT:DP\t0|1:.\t1/1:2",
-        "chrUn_X\t5\trs9;x\tA\tG,T\t30\tPASS\t.\tGT\t1/2\t./.",
-        "chrA\t5\t.\tA\tG\t30\tPASS\t.\tGT\t1/1\t./.",
-        "chrX\tbad\t.\tA\tG\t30\tPASS\t.\tGT\t1\t1",
-        "chr3\t7\t.\tA",
+        "chr19\t44908822\t.\tC\tT\t71.5\tPASS\tDP=44\tGT:DP\t1/0:41\t0/0:6",
+        "chr1\t11794419\t.\tT\tG\t12\tPASS\t.\tGT\t0/1\t0/0",
+        "chr10\t94781859\t.\tG\tA\t.\t.\t.\tGT:DP\t1|0:.\t1/1:2",
+        "scaffold7\t12\tss4;rs31\tC\tA,G\t1e7\tq20\t.\tGT\t2/1\t./.",
+        "decoy\t12\t.\tC\tA\t8\tPASS\t.\tGT\t1/1\t./.",
+        "chrY\t?\t.\tT\tG\t8\tPASS\t.\tGT\t1\t1",
+        "chr4\t9\t.\tG",
     ]
     return VCF_HEAD + "\n".join(body) + "\n"
 
@@ -61,8 +66,8 @@ def world(spark, tmp_path_factory):
         f.write(wgs_vcf()[200:])
     (base / "blocks.g.vcf").write_text(
         "##fileformat=VCFv4.2\n##reference=GRCh38\n##GVCFBlock=x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tG\n"
-        "chr19\t44908600\t.\tA\t<NON_REF>\t.\t.\tEND=44908800\tGT:DP:MIN_DP\t0/0:20:18\n"
-        "chr19\t44908822\t.\tC\tT,<NON_REF>\t60\tPASS\t.\tGT:DP\t0/1:25\n"
+        "chr6\t26090000\t.\tT\t<NON_REF>\t.\t.\tEND=26092900\tGT:DP:MIN_DP\t0/0:37:35\n"
+        "chr6\t26092913\t.\tG\tA,<NON_REF>\t48\tPASS\t.\tGT:DP\t1/0:33\n"
     )
     root = str(base / "store")
     kits = import_files(spark, root, [str(base / n) for n in ("male.txt", "wgs.vcf.gz", "blocks.g.vcf")])
@@ -84,26 +89,27 @@ def test_kit_rows(spark, world):
     assert (w.source_format, w.assay, w.build, w.build_evidence, w.ref_calls, w.has_rsids, w.chip, w.sample) == (
         "vcf", "wgs", "GRCh38", "contig-lengths", "absent-means-ref", False, None, "S1")
     assert (g.source_format, g.build_evidence, g.ref_calls) == ("gvcf", "header", "explicit")
-    assert (m.records, w.records, w.rsid_records, g.records) == (80, 5, 1, 2)
+    assert (m.records, w.records, w.rsid_records, g.records) == (ARRAY_ROWS, 5, 1, 2)
     assert any("malformed" in x and "2" in x for x in w.warnings) and any("multi-sample" in x for x in w.warnings)
 
 
 def test_stored_calls(spark, world):
     _, root, ids = world
     calls = store.read_calls(spark, f"{root}/calls", [ids["wgs"]]).orderBy("contig_ord").collect()
-    assert [(c.chrom, c.contig_ord) for c in calls] == [("1", 1), ("2", 2), ("19", 19), ("Un_X", 26), ("A", 27)]
+    assert [(c.chrom, c.contig_ord) for c in calls] == [
+        ("1", 1), ("10", 10), ("19", 19), ("scaffold7", 26), ("decoy", 27)]
     apoe = calls[2]
     assert (apoe.pos, apoe.end, apoe.genotype, apoe.zygosity, apoe.quality, apoe.depth, apoe.alt) == (
-        44908684, 44908684, "TC", "het", 50.0, 30, ["C"])
+        44908822, 44908822, "TC", "het", 71.5, 41, ["T"])
     assert calls[1].filter is None and calls[1].quality is None and calls[1].depth is None
-    assert (calls[3].rsid, calls[3].rs_num, calls[3].genotype, calls[3].alt) == ("rs9", 9, "GT", ["G", "T"])
+    assert (calls[3].rsid, calls[3].rs_num, calls[3].genotype, calls[3].alt) == ("rs31", 31, "GA", ["A", "G"])
 
 
 def test_second_sample_and_errors(spark, world, tmp_path):
     base, root, _ = world
     rows, info, _ = parse_files(spark, [str(base / "wgs.vcf.gz")], Options(sample="S2"))
     got = {r.chrom: r.gt for r in rows.filter("problem is null").collect()}
-    assert got["2"] == "1/1" and got["19"] == "0/0" and info.first().sample == "S2"
+    assert got["10"] == "1/1" and got["19"] == "0/0" and info.first().sample == "S2"
     with pytest.raises(ValueError, match="not in VCF"):
         parse_files(spark, [str(base / "wgs.vcf.gz")], Options(sample="S3"))
     with pytest.raises(ValueError, match="already exists"):
@@ -119,7 +125,7 @@ def test_second_sample_and_errors(spark, world, tmp_path):
     with pytest.raises(ValueError, match="zip"):
         import_files(spark, root, [str(zipped)])
     sites_only = tmp_path / "s.vcf"
-    sites_only.write_text("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n1\t5\t.\tA\tG\t.\t.\t.\n")
+    sites_only.write_text("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n9\t44\t.\tC\tT\t.\t.\t.\n")
     with pytest.raises(ValueError, match="no sample columns"):
         import_files(spark, root, [str(sites_only)])
     assert store.read_kits(spark, f"{root}/kits").count() == 3
@@ -146,12 +152,14 @@ def test_summary(spark, world):
     _, root, ids = world
     s = {r.kit: r for r in summary.summarize(*tables(spark, root)).collect()}
     m = s[ids["male"]]
-    assert (m.records, m.no_calls, m.het, m.hom_unknown_ref, m.hemizygous) == (80, 5, 6, 3, 66)
+    no_calls = 1 + Y_SITES // 5
+    assert (m.records, m.no_calls, m.het, m.hom_unknown_ref) == (ARRAY_ROWS, no_calls, 5, 2)
+    assert m.hemizygous == X_SITES - 1 + Y_SITES - Y_SITES // 5 + 1
     assert m.records == m.no_calls + m.het + m.hom_alt + m.hom_ref + m.hom_unknown_ref + m.hemizygous
-    assert (m.sex.call, m.sex.x_het_rate, m.sex.y_call_rate) == ("male", 0.025, 0.8667)
-    assert (m.by_chrom["Y"], m.by_chrom["MT"], m.by_chrom["other_contigs"], m.by_chrom["22"]) == (30, 1, 0, 0)
+    assert (m.sex.call, m.sex.x_het_rate, m.sex.y_call_rate) == ("male", round(1 / X_SITES, 4), 0.8)
+    assert (m.by_chrom["Y"], m.by_chrom["MT"], m.by_chrom["other_contigs"], m.by_chrom["22"]) == (Y_SITES, 1, 0, 0)
     w = s[ids["wgs"]]
-    assert w.by_chrom["other_contigs"] == 2 and w.sex.call == "uncertain" and any("absent" in c for c in w.caveats)
+    assert w.by_chrom["other_contigs"] == 2 and w.sex.call == "uncertain" and any("only variants" in c for c in w.caveats)
 
 
 def test_lookups(spark, world):
@@ -159,36 +167,55 @@ def test_lookups(spark, world):
     calls, kits = tables(spark, root)
     m, w, g = ids["male"], ids["wgs"], ids["blocks"]
     asked = [
-        ("a", m, "rs429358", None, None, None), ("b", m, "rs7412", None, None, None), ("c", m, "i3000001", None, None, None),
-        ("d", m, "rs999999999", None, None, None), ("e", w, "rs429358", None, None, None), ("f", w, "rs7412", None, None, None),
-        ("g", w, None, "19", 44908684, None), ("h", g, None, "19", 44908700, None), ("i", g, None, "19", 50000000, None),
-        ("j", w, None, "Un_X", 6, None), ("k", w, None, "19", 45411941, "GRCh37"), ("l", w, None, "5", 100, "GRCh37"),
+        ("own id", m, "rs7412", None, None, None), ("own id, reference", m, "rs1800562", None, None, None), ("own text id", m, "i700", None, None, None),
+        ("no such id", m, "rs123123123", None, None, None), ("id by place", w, "rs7412", None, None, None), ("id, not listed", w, "rs6025", None, None, None),
+        ("place", w, None, "10", 94781859, None), ("in a block", g, None, "6", 26091234, None), ("past the blocks", g, None, "6", 31000000, None),
+        ("other contig", w, None, "scaffold7", 13, None), ("lifted", w, None, "19", 45412079, "GRCh37"), ("not lifted", w, None, "7", 41, "GRCh37"),
     ]
     q = small_table(spark, asked, "qid string, kit string, rsid string, chrom string, pos bigint, build string")
     blocks = small_table(
-        spark, [("GRCh37", "GRCh38", 1, "19", 45411840, 45412840, "19", 44908583, 100000000, False, 1.0)],
+        spark, [("GRCh37", "GRCh38", 1, "19", 45412000, 45412500, "19", 44908743, 59000000, False, 1.0)],
         "from_build string, to_build string, blk bigint, t_chrom string, t_start bigint, t_end bigint, q_chrom string, q_start bigint, q_size bigint, q_neg boolean, score double",
     )
-    for reference in (None,):
-        r = {x.qid: x for x in lookup.lookup(calls, kits, q, None, blocks, reference).collect()}
-    assert (r["a"].pos, r["a"].genotype, r["a"].zygosity, r["a"].ref, r["a"].alt) == (45411941, "TC", "het", "T", ["C"])
-    assert r["b"].zygosity == "hom_ref" and r["c"].genotype == "II" and r["c"].zygosity == "hom"
-    assert r["d"].call_source == "missing" and r["d"].warnings and r["d"].chrom is None
-    assert (r["e"].pos, r["e"].genotype, r["e"].rsid, r["e"].quality, r["e"].depth, r["e"].filter) == (44908684, "TC", "rs429358", 50.0, 30, "PASS")
-    assert (r["f"].pos, r["f"].genotype, r["f"].call_source, r["f"].zygosity) == (44908822, "CC", "inferred_ref", "hom_ref")
-    assert r["g"].rsid == "rs429358"
-    assert (r["h"].zygosity, r["h"].call_source, r["h"].depth, r["h"].genotype) == ("hom_ref", "observed", 20, None)
-    assert r["i"].call_source == "missing" and r["j"].call_source == "missing"
-    assert (r["k"].pos, r["k"].build, r["k"].lifted_from.build, r["k"].lifted_from.pos) == (44908684, "GRCh38", "GRCh37", 45411941)
-    assert (r["l"].call_source, r["l"].build, r["l"].pos) == ("missing", "GRCh37", 100)
+    r = {x.qid: x for x in lookup.lookup(calls, kits, q, None, blocks).collect()}
+    own = r["own id"]
+    assert (own.pos, own.genotype, own.zygosity, own.ref, own.alt) == (45412079, "CT", "het", "C", ["T"])
+    assert r["own id, reference"].zygosity == "hom_ref" and (r["own text id"].genotype, r["own text id"].zygosity) == ("DI", "het")
+    assert r["no such id"].call_source == "missing" and r["no such id"].warnings and r["no such id"].chrom is None
+    near = r["id by place"]
+    assert (near.pos, near.genotype, near.rsid, near.quality, near.depth, near.filter) == (44908822, "TC", "rs7412", 71.5, 41, "PASS")
+    implied = r["id, not listed"]
+    assert (implied.pos, implied.genotype, implied.call_source, implied.zygosity) == (169549811, "CC", "inferred_ref", "hom_ref")
+    assert r["place"].rsid == "rs4244285"
+    block = r["in a block"]
+    assert (block.zygosity, block.call_source, block.depth, block.genotype) == ("hom_ref", "observed", 37, None)
+    assert r["past the blocks"].call_source == "missing" and r["other contig"].call_source == "missing"
+    lifted = r["lifted"]
+    assert (lifted.pos, lifted.build, lifted.lifted_from.build, lifted.lifted_from.pos) == (44908822, "GRCh38", "GRCh37", 45412079)
+    assert (r["not lifted"].call_source, r["not lifted"].build, r["not lifted"].pos) == ("missing", "GRCh37", 41)
+    with pytest.raises(ValueError, match="need chain blocks"):
+        lookup.lookup(calls, kits, q, None, None)
+
+
+def test_far_block(spark):
+    """A block that starts many records earlier still answers; the look-back limit is for those who ask for it."""
+    def row(o, pos, end, block):
+        return ("k", o, "2", 2, pos, end, None, None, "A", [] if block else ["C"], None if block else "AC", None, "hom_ref" if block else "het", None, None, 9, block)
+
+    calls = small_table(spark, [row(0, 100, 9000, True)] + [row(i, 100 + i, 100 + i, False) for i in range(1, 91)], store.CALLS)
+    kits = small_table(spark, [("k", "GRCh38", "explicit", False, 0, "wgs")],
+                       "id string, build string, ref_calls string, has_rsids boolean, rsid_records bigint, assay string")
+    q = small_table(spark, [("far", "k", "2", 5000, None)], "qid string, kit string, chrom string, pos bigint, build string")
+    found = lookup.lookup_positions(calls, kits, q).first()
+    assert (found.call_source, found.zygosity) == ("observed", "hom_ref")
+    assert lookup.lookup_positions(calls, kits, q, max_lookback=lookup.LOOK_BACK).first().call_source == "missing"
+    assert lookup.lookup_positions(calls, kits, q, max_lookback=91).first().call_source == "observed"
 
 
 def test_compare(spark, world):
     _, root, ids = world
     calls, kits = tables(spark, root)
-    rows = [  # curated places of the array, GRCh37 to GRCh38
-        ("19", 45411941, 44908684), ("19", 45412079, 44908822), ("1", 11856378, 11796321), ("1", 11854476, 11794419), ("2", 136608646, 135851076),
-    ]
+    rows = [("19", 45412079, 44908822), ("1", 11854476, 11794419), ("6", 26093141, 26092913), ("10", 96541616, 94781859)]  # GRCh37 to GRCh38
     blocks = small_table(
         spark, [("GRCh37", "GRCh38", i, c, a - 1, a, c, b - 1, 10**9, False, 1.0) for i, (c, a, b) in enumerate(rows)],
         "from_build string, to_build string, blk bigint, t_chrom string, t_start bigint, t_end bigint, q_chrom string, q_start bigint, q_size bigint, q_neg boolean, score double",
@@ -197,12 +224,16 @@ def test_compare(spark, world):
     tallies, listed = compare.compare(calls, kits, pairs, blocks, max_discordant=1)
     t = {r.a: r for r in tallies.collect()}
     w = t[ids["wgs"]]
-    assert (w.overlap, w.concordant, w.discordant, w.inferred_ref_sites, w.lifted, w.build) == (5, 3, 2, 2, True, "GRCh38")
-    assert w.unlifted_sites == 80 - 5 - 5
-    assert t[ids["male"]].discordant == 0 and t[ids["male"]].skipped_sites == 1  # II is not comparable
-    assert listed.count() == 1 and "capped" in str(compare.compare_warnings(tallies, 1).collect())
+    # rs7412 and rs4244285 agree, rs1801131 is TG against GG, rs1800562 is not in the VCF and GG in the array.
+    assert (w.overlap, w.concordant, w.discordant, w.inferred_ref_sites, w.lifted, w.build) == (4, 3, 1, 1, True, "GRCh38")
+    assert w.unlifted_sites == ARRAY_ROWS - (1 + Y_SITES // 5) - len(rows)
+    assert t[ids["male"]].discordant == 0 and t[ids["male"]].skipped_sites == 1  # DI is not comparable
+    assert listed.count() == 1
     full = compare.discordant_sites(calls, kits, pairs, blocks).collect()
-    assert {(r.chrom, r.pos, r.source_a) for r in full} == {("1", 11794419, "observed"), ("1", 11796321, "inferred_ref")}
+    assert {(r.chrom, r.pos, r.source_a) for r in full} == {("1", 11794419, "observed")}
+    for none in (None, blocks.withColumn("to_build", F.lit("GRCh37"))):
+        with pytest.raises(ValueError, match="needs chain blocks"):
+            compare.compare_tallies(calls, kits, pairs, none)
     bad = kits.withColumn("build", F.when(F.col("id") == ids["male"], "unknown").otherwise(F.col("build")))
     with pytest.raises(ValueError, match="unknown build"):
         compare.compare_tallies(calls, bad, pairs, blocks)
@@ -235,7 +266,8 @@ def test_export(spark, world, tmp_path):
     sink.write_vcf(calls, str(tmp_path / "vcf"), "GRCh38", ids["wgs"], "vcf", "S1")
     text = "".join(p.read_text() for p in sorted((tmp_path / "vcf").glob("part-*"))).splitlines()
     assert text[0] == "##fileformat=VCFv4.2" and [x for x in text if x.startswith("##contig")][0] == "##contig=<ID=chr1>"
-    assert [x for x in text if not x.startswith("#")][2] == "chr19\t44908684\t.\tT\tC\t50\tPASS\t.\tGT:DP\t0/1:30"
+    assert [x for x in text if not x.startswith("#")][2:4] == [
+        "chr19\t44908822\t.\tC\tT\t71.5\tPASS\t.\tGT:DP\t1/0:41", "scaffold7\t12\trs31\tC\tA,G\t10000000\tq20\t.\tGT:DP\t2/1:."]
     male = store.read_calls(spark, f"{root}/calls", [ids["male"]])
     rows = male.orderBy("contig_ord", "pos").collect()
     page = export.export_calls(male, None, 1, 2).collect()
@@ -243,8 +275,8 @@ def test_export(spark, world, tmp_path):
     assert export.export_calls(male, None, len(rows), 5).count() == 0
     deep = export.export_calls(male, None, 3, None).collect()
     assert [(r.chrom, r.pos) for r in deep] == [(r.chrom, r.pos) for r in rows[3:]]
-    regions = small_table(spark, [(0, "19", 1, 10**9), (1, "19", 45412000, 10**9)], "region_no int, chrom string, start bigint, end bigint")
-    assert [r.pos for r in export.export_calls(male, regions).collect()] == [45411941, 45412079, 45412079]
+    regions = small_table(spark, [(0, "6", 1, 10**9), (1, "6", 20_000_000, 10**9)], "region_no int, chrom string, start bigint, end bigint")
+    assert [r.pos for r in export.export_calls(male, regions).collect()] == [4_100_000, 26093141, 26093141]
     out = export.genotype_rows(male, "GRCh37")
     sink.write_rows(out, str(tmp_path / "tsv"), "tsv", columns=["rsid", "pos", "alt", "lifted_from"], null="NA")
     lines = (next((tmp_path / "tsv").glob("part-*"))).read_text().splitlines()
@@ -275,28 +307,29 @@ def test_chain_text(spark, tmp_path):
 
     (tmp_path / "a.chain").write_text(CHAIN)
     blocks = chain.read_chain(spark, str(tmp_path / "a.chain"), "GRCh37", "GRCh38")
-    points = [("1", 1), ("1", 50), ("1", 55), ("1", 61), ("1", 200), ("2", 101), ("2", 200), ("3", 1)]
+    points = [("5", 2001), ("5", 2120), ("5", 2130), ("5", 2161), ("5", 2240), ("5", 2241), ("5", 2331), ("8", 15001), ("8", 15060), ("9", 4)]
     got = lift_best(small_table(spark, points, "chrom string, pos bigint"), blocks, "GRCh37", "GRCh38").collect()
+    nowhere = (None, None, None)
     assert {(r.chrom, r.pos): (r.lifted_chrom, r.lifted_pos, r.reverse) for r in got} == {
-        ("1", 1): ("1", 1001, False), ("1", 50): ("1", 1050, False), ("1", 55): (None, None, None), ("1", 61): ("1", 1056, False),
-        ("1", 200): (None, None, None), ("2", 101): ("7", 1000, True), ("2", 200): ("7", 901, True), ("3", 1): (None, None, None),
+        ("5", 2001): ("5", 701, False), ("5", 2120): ("5", 820, False), ("5", 2130): nowhere,  # in the gap of 40
+        ("5", 2161): ("5", 821, False), ("5", 2240): ("5", 900, False), ("5", 2241): ("5", 931, False),  # past the target's gap of 30
+        ("5", 2331): nowhere, ("8", 15001): ("12", 6500, True), ("8", 15060): ("12", 6441, True), ("9", 4): nowhere,
     }
-    for text in ("50 10 5\n", "chain x\n", CHAIN.replace("5000 +", "5000 -"), CHAIN.replace("50 10 5", "x 1 2"), CHAIN + "7\n"):
+    headless, short = "33 4 4\n12\n", "chain 12 chr5 90000\n60\n"
+    for text in (headless, short, CHAIN.replace("90000 +", "90000 -"), CHAIN.replace("120 40 0", "many 40 0"), CHAIN + "15\n"):
         (tmp_path / "b.chain").write_text(text)
         with pytest.raises(ValueError, match="malformed"):
             chain.read_chain(spark, str(tmp_path / "b.chain"), "GRCh37", "GRCh38")
 
 
 def test_dbsnp_text(spark, tmp_path):
-    (tmp_path / "db.vcf").write_text(
-        "##fileformat=VCFv4.2\n##reference=GRCh38.p14\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
-        "NC_000001.11\t100\trs30\tA\tG\t.\t.\t.\nNC_000001.11\t200\trs10\tC\tT,G\t.\t.\t.\n"
-        "NC_000002.12\t50\trs20\tAT\tA\t.\t.\t.\nNT_187361.1\t5\trs40\tA\tC\t.\t.\t.\n"
-    )
+    rows = ["NC_000003.12 4411 rs771 G C", "NC_000003.12 4500 rs64 T C,A", "NC_000011.10 812 rs905 CAG C", "NW_003315905.1 77 rs3 T G"]
+    head = "##fileformat=VCFv4.2\n##reference=GRCh38.p14\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    (tmp_path / "db.vcf").write_text(head + "".join("\t".join([*r.split(), ".", ".", "."]) + "\n" for r in rows))
     coords = rsid_tables.read_dbsnp(spark, str(tmp_path / "db.vcf"))
     got = {r.rsid: (r.build, r.chrom, r.pos, r.ref, r.alt) for r in coords.collect()}
     assert got == {
-        "rs30": ("GRCh38", "1", 100, "A", ["G"]), "rs10": ("GRCh38", "1", 200, "C", ["G", "T"]), "rs20": ("GRCh38", "2", 50, None, ["A"]),
+        "rs771": ("GRCh38", "3", 4411, "G", ["C"]), "rs64": ("GRCh38", "3", 4500, "T", ["A", "C"]), "rs905": ("GRCh38", "11", 812, None, ["C"]),
     }
     counts = rsid_tables.dbsnp_counts(read_lines(spark, str(tmp_path / "db.vcf"))).first()
     assert (counts.kept, counts.skipped) == (3, 1)
@@ -311,18 +344,18 @@ def test_fasta_text(spark, tmp_path):
     random.seed(5)
     long = "".join(random.choice("ACGTacgt") for _ in range(5000))
     lines = [long[i : i + 61] for i in range(0, len(long), 61)]
-    (tmp_path / "r.fa").write_text(">chr1 desc\nACGTA\ncgtac\nGG\n>chr2\n" + "\n".join(lines) + "\n")
+    (tmp_path / "r.fa").write_text(">chr4 made up\nTTGACCA\nggtnaca\nTC\n>chr2\n" + "\n".join(lines) + "\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # many splits of one file
     try:
         chunks = fasta.read_fasta(spark, str(tmp_path / "r.fa"), "GRCh38", 100)
         seqs = {(r.chrom, r.chunk): r.seq for r in chunks.collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
-    assert seqs[("1", 0)] == "ACGTACGTACGG"
+    assert seqs[("4", 0)] == "TTGACCAGGTNACATC"
     assert "".join(seqs[("2", i)] for i in range(50)) == long.upper()
-    points = small_table(spark, [("1", 1), ("1", 12), ("1", 13), ("2", 4321), ("3", 1)], "chrom string, pos bigint").withColumn("build", F.lit("GRCh38"))
+    points = small_table(spark, [("4", 2), ("4", 16), ("4", 17), ("2", 4321), ("3", 1)], "chrom string, pos bigint").withColumn("build", F.lit("GRCh38"))
     base = {(r.chrom, r.pos): r.base for r in reference_bases(points, chunks, chunk=100).collect()}
-    assert base == {("1", 1): "A", ("1", 12): "G", ("1", 13): None, ("2", 4321): long[4320].upper(), ("3", 1): None}
+    assert base == {("4", 2): "T", ("4", 16): "C", ("4", 17): None, ("2", 4321): long[4320].upper(), ("3", 1): None}
 
 
 def test_fastq_files(spark, tmp_path):
@@ -341,6 +374,36 @@ def test_fastq_files(spark, tmp_path):
         read_fastq_pairs(spark, files[:1])
 
 
+def test_fastq_lost_mates(spark, tmp_path):
+    """Reads without a mate come back alone, with a problem."""
+    from zygospark.sources.fastq import read_fastq_pairs
+
+    for side, n in ((1, 9), (2, 6)):
+        (tmp_path / f"q_{side}.fq").write_text("".join(f"@q{i}/{side}\nGATT\n+\nFFFF\n" for i in range(n)))
+    got = read_fastq_pairs(spark, [str(tmp_path / f"q_{k}.fq") for k in (1, 2)]).collect()
+    assert sorted((r.pair, r.r2_name is None, r.problem) for r in got) == [(i, i > 5, "no R2 read" if i > 5 else None) for i in range(9)]
+
+
+def test_import_rules(spark, world, tmp_path):
+    """VCF noise and empty VCF files are imported; names of one batch differ; unknown builds are refused."""
+    root = str(tmp_path / "store")
+    (tmp_path / "noisy.vcf").write_text(VCF_HEAD + "chr3\t1\t.\n" * 1200 + "chr3\t60\t.\tA\tT\t9\tPASS\t.\tGT\t0/1\t0/0\n")
+    (tmp_path / "none.vcf").write_text(VCF_HEAD)
+    kits = {r.name: r for r in import_files(spark, root, [str(tmp_path / n) for n in ("noisy.vcf", "none.vcf")]).collect()}
+    assert (kits["noisy"].records, kits["none"].records, kits["none"].has_rsids) == (1, 0, False)
+    assert any("1200" in w for w in kits["noisy"].warnings)
+    for d in ("a", "b"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "twin.vcf").write_text(VCF_HEAD + "chr3\t60\t.\tA\tT\t9\tPASS\t.\tGT\t0/1\t0/0\n")
+    twins = [str(tmp_path / d / "twin.vcf") for d in ("a", "b")]
+    with pytest.raises(ValueError, match="named 'twin'"):
+        import_files(spark, root, twins)
+    both = import_files(spark, root, twins, Options(names={f"file:{twins[0]}": "left", "win.vcf": "wrong", twins[0]: "left"}))
+    assert sorted(r.name for r in both.collect()) == ["left", "twin"]
+    with pytest.raises(ValueError, match="unknown genome build"):
+        import_files(spark, root, twins, Options(build="hg99"))
+
+
 def test_audit(spark):
     rows = [(i, f"t{i}", "lookup", None if i % 2 else "u", f'{{"rows": {i}}}') for i in range(1, 21)]
     log = audit.link_entries(small_table(spark, rows, "seq bigint, ts string, command string, user string, details string"))

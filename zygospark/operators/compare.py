@@ -129,6 +129,16 @@ def _a_rows(calls, kits, plan: Plan, coords, reference, region) -> DataFrame:
     )
 
 
+def _need_chain(plan: Plan, blocks: DataFrame | None) -> None:
+    """Raise where kits of different builds have no chain from the one's build to the other's."""
+    wanted = plan.pairs.filter("a_build <> b_build").select(F.col("b_build").alias("from_build"), F.col("a_build").alias("to_build")).distinct()
+    if blocks is not None:
+        wanted = wanted.join(blocks.select("from_build", "to_build").distinct(), ["from_build", "to_build"], "left_anti")
+    missing = wanted.first()  # at most one row per pair of builds
+    if missing:
+        raise ValueError(f"comparing these kits needs chain blocks from {missing.from_build} to {missing.to_build}")
+
+
 def _b_rows(calls, plan: Plan, blocks, coords, reference, region) -> DataFrame:
     """Called B records in A's build; rows that do not lift have a null chrom."""
     who = plan.pairs.groupBy(F.col("b").alias("kit"), "b_build", "a_build").agg(F.bool_or("a_absent").alias("infer"))
@@ -141,13 +151,8 @@ def _b_rows(calls, plan: Plan, blocks, coords, reference, region) -> DataFrame:
         branches.append(near.withColumn("turned", F.lit(False)))
     if plan.lift:
         far = rows.filter(differ) if plan.same else rows
-        if blocks is None:
-            none = F.lit(None)
-            far = far.withColumns(
-                {"lifted_chrom": none.cast("string"), "lifted_pos": none.cast("bigint"), "reverse": none.cast("boolean")}
-            )
-        else:
-            far = lift_best(far, blocks, F.col("b_build"), F.col("a_build"))
+        _need_chain(plan, blocks)
+        far = lift_best(far, blocks, F.col("b_build"), F.col("a_build"))
         branches.append(apply_lift(far.withColumn("turned", F.col("reverse"))))
     rows = reduce(DataFrame.unionByName, branches).filter(F.col("chrom").isNull() | _in_region(region))
     rows = _with_reference(rows, coords, reference, plan.b_infer)
@@ -353,16 +358,16 @@ def compare_warnings(tallies: DataFrame, max_discordant: int = MAX_DISCORDANT) -
     """(a, b, warnings) for a tally table."""
     n = {c: F.col(c).cast("string") for c in ("unlifted_sites", "skipped_sites", "discordant")}
     texts = [
-        F.when(F.col("lifted"), F.concat("b", F.lit(" lifted to "), "build", F.lit(" for comparison"))),
-        F.when(F.col("unlifted_sites") > 0, F.concat(n["unlifted_sites"], F.lit(" sites of "), "b", F.lit(" did not lift over"))),
+        F.when(F.col("lifted"), F.concat("b", F.lit(" was compared at its places in "), "build")),
+        F.when(F.col("unlifted_sites") > 0, F.concat(n["unlifted_sites"], F.lit(" calls of "), "b", F.lit(" have no place in the other build"))),
         F.when(F.col("inferred_ref_sites") > 0, F.lit(INFERRED_WARNING)),
         F.when(
             F.col("skipped_sites") > 0,
-            F.concat(n["skipped_sites"], F.lit(" overlapping sites skipped: indel codes or unknown reference allele")),
+            F.concat(n["skipped_sites"], F.lit(" shared sites left out: I/D codes, or no reference letter")),
         ),
         F.when(
             F.col("discordant") > max_discordant,
-            F.concat(F.lit(f"discordant_sites capped at {max_discordant} of "), n["discordant"]),
+            F.concat(F.lit(f"the first {max_discordant} discordant sites are listed, of "), n["discordant"]),
         ),
     ]
     return tallies.select("a", "b", F.array_compact(F.array(*texts)).alias("warnings"))

@@ -40,8 +40,12 @@ def genotype_rows(calls: DataFrame, build: Column | str) -> DataFrame:
     return calls.select(*genotype_row(build=b, call_source=F.lit(OBSERVED)))
 
 
-def _number_text(q: Column) -> Column:
-    return F.regexp_replace(q.cast("string"), r"\.0$", "")
+def number_text(q: Column) -> Column:
+    """Shortest decimal text of a number, without an exponent and without trailing zeros."""
+    text = q.cast("string")
+    plain = text.try_cast("decimal(38,18)").cast("string")
+    plain = F.regexp_replace(plain, r"\.?0+$", "")
+    return F.when(text.contains("E"), F.coalesce(F.nullif(plain, F.lit("")), text)).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 
 def vcf_lines(calls: DataFrame, build: Column | str) -> DataFrame:
@@ -61,7 +65,7 @@ def vcf_lines(calls: DataFrame, build: Column | str) -> DataFrame:
         F.coalesce("rsid", dot),
         F.col("_v.ref"),
         F.col("_v.alt"),
-        F.coalesce(_number_text(F.col("quality")), dot),
+        F.coalesce(number_text(F.col("quality")), dot),
         F.coalesce("filter", dot),
         F.coalesce(F.nullif(info, F.lit("")), dot),
         F.lit("GT:DP"),
@@ -77,8 +81,8 @@ def vcf_header_lines(calls: DataFrame, build: str, kit: str, source_format: str,
         (0, f"##fileformat={VERSION}"),
         (1, f"##source=zygospark export of {kit} ({source_format})"),
         (2, f"##reference={build}"),
-        (4, '##INFO=<ID=END,Number=1,Type=Integer,Description="End of reference block">'),
-        (5, '##INFO=<ID=REF_UNKNOWN,Number=0,Type=Flag,Description="Array site; reference allele unknown (REF=N)">'),
+        (4, '##INFO=<ID=END,Number=1,Type=Integer,Description="Last position of a block">'),
+        (5, '##INFO=<ID=REF_UNKNOWN,Number=0,Type=Flag,Description="REF is N: an array lists no reference letter">'),
         (6, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'),
         (7, '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read depth">'),
         (8, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])),

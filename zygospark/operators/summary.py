@@ -61,7 +61,7 @@ def sex_tallies(calls: DataFrame, kits: DataFrame) -> DataFrame:
     """(kit, assay, x_called, x_het, y_total, y_called) outside the PAR and outside blocks."""
     meta = checked_broadcast(kits.select(F.col("id").alias("kit"), "build", "assay"))
     # Contigs are compared by number so that the scan can skip other row groups.
-    xy = calls.filter(contig_ord("chrom").isin(23, 24) & ~F.col("ref_block")).join(meta, "kit")
+    xy = calls.filter(F.col("contig_ord").isin(23, 24) & ~F.col("ref_block")).join(meta, "kit")
     x = (F.col("chrom") == "X") & ~in_par("build", "chrom", "pos")
     y = F.col("chrom") == "Y"
     called = F.col("zygosity") != NO_CALL
@@ -129,32 +129,32 @@ def caveats(counts: DataFrame, sexes: DataFrame, kits: DataFrame) -> DataFrame:
         F.when(
             F.col("ref_calls") == ABSENT_MEANS_REF,
             F.lit(
-                "variant-only VCF: hom_ref counts explicit records only; sites absent from the file are implied homozygous reference"
+                "only variants are listed: hom_ref counts listed records, and every other site stands for the reference"
             ),
         ).when(
             (F.col("ref_calls") == EXPLICIT) & (F.col("source_format") == "gvcf"),
-            F.lit("gVCF: hom_ref includes reference blocks (counted per record, not per base)"),
+            F.lit("reference blocks count in hom_ref, one for each block"),
         ),
-        F.when(array, F.lit("array export: only pre-selected SNPs were genotyped; sites not listed are unknown, not reference")),
+        F.when(array, F.lit("an array tests chosen SNPs: nothing is known of other sites")),
         F.when(
             array & (F.col("hom_unknown_ref") > 0),
             F.concat(
-                F.lit("array exports carry no reference allele: "),
+                F.lit("no reference letter for "),
                 F.col("hom_unknown_ref").cast("string"),
-                F.lit(" homozygous calls without a coordinate-table entry are counted as hom_unknown_ref"),
+                F.lit(" homozygous array calls outside the coordinate table, counted as hom_unknown_ref"),
             ),
         ),
-        F.when(F.col("build") == UNKNOWN_BUILD, F.lit("genome build unknown: PAR exclusion and liftover are disabled")),
+        F.when(F.col("build") == UNKNOWN_BUILD, F.lit("without a known build there is no PAR exclusion and no liftover")),
         F.when(
             F.col("sex") == "uncertain",
             F.concat(
-                F.lit("sex inference uncertain (x_het_rate "),
+                F.lit("sex is uncertain: x_het_rate "),
                 F.regexp_replace(F.col("x_het_rate").cast("string"), r"\.0$", ""),
                 F.lit(", y_call_rate "),
                 F.regexp_replace(F.col("y_call_rate").cast("string"), r"\.0$", ""),
                 F.lit(", "),
                 F.col("x_sites").cast("string"),
-                F.lit(" non-PAR X sites)"),
+                F.lit(" X sites outside the PAR"),
             ),
         ),
     ]

@@ -206,18 +206,14 @@ def infer_absent(spark, sf):
 @query(
     "q_lookup_warnings",
     f"""{V.with_views(*BASE, place_sites_sql("k1", ["k2"]), answer_sql("sites"))}
-SELECT count(*) FILTER (ref IS NULL) AS unknown_ref, max(CASE WHEN call_source = 'inferred_ref' THEN 1 ELSE 0 END)::BIGINT AS inferred_notes
-FROM answers WHERE call_source = 'inferred_ref'""",
+SELECT DISTINCT chrom || ':' || pos || '{lookup.UNKNOWN_REFERENCE}' AS warning FROM answers WHERE call_source = 'inferred_ref' AND ref IS NULL
+UNION SELECT '{lookup.INFERRED_WARNING}' FROM answers WHERE call_source = 'inferred_ref'""",
 )
 def lookup_warnings(spark, sf):
     calls = D.stored_calls(spark, sf)
     q = place_queries(calls, "k1", ["k2"], None)
     out = lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf))
-    notes = lookup.distinct_warnings(out, ["qid"])
-    return notes.agg(
-        F.count_if(F.contains("warning", F.lit("reference allele unknown"))).alias("unknown_ref"),
-        F.count_if(F.col("warning") == lookup.INFERRED_WARNING).alias("inferred_notes"),
-    )
+    return lookup.distinct_warnings(out, ["qid"])
 
 
 @query(

@@ -81,13 +81,13 @@ def sex_inference(spark, sf):
     f"""{V.with_views(V.CALLS, V.KITS, SEX_VIEWS)},
 homs AS (SELECT kit, count(*) FILTER (zygosity = 'hom') AS hom FROM g_calls GROUP BY kit)
 SELECT k.kit, concat_ws(' | ',
-  CASE WHEN ref_calls = 'absent-means-ref' THEN 'variant-only VCF: hom_ref counts explicit records only; sites absent from the file are implied homozygous reference'
-       WHEN ref_calls = 'explicit' AND source_format = 'gvcf' THEN 'gVCF: hom_ref includes reference blocks (counted per record, not per base)' END,
-  CASE WHEN assay = 'array' THEN 'array export: only pre-selected SNPs were genotyped; sites not listed are unknown, not reference' END,
-  CASE WHEN assay = 'array' AND hom > 0 THEN 'array exports carry no reference allele: ' || hom || ' homozygous calls without a coordinate-table entry are counted as hom_unknown_ref' END,
-  CASE WHEN build = 'unknown' THEN 'genome build unknown: PAR exclusion and liftover are disabled' END,
-  CASE WHEN sex = 'uncertain' THEN 'sex inference uncertain (x_het_rate ' || regexp_replace(CAST(x_het_rate AS VARCHAR), '\\.0$', '')
-    || ', y_call_rate ' || regexp_replace(CAST(y_call_rate AS VARCHAR), '\\.0$', '') || ', ' || x_sites || ' non-PAR X sites)' END) AS caveats
+  CASE WHEN ref_calls = 'absent-means-ref' THEN 'only variants are listed: hom_ref counts listed records, and every other site stands for the reference'
+       WHEN ref_calls = 'explicit' AND source_format = 'gvcf' THEN 'reference blocks count in hom_ref, one for each block' END,
+  CASE WHEN assay = 'array' THEN 'an array tests chosen SNPs: nothing is known of other sites' END,
+  CASE WHEN assay = 'array' AND hom > 0 THEN 'no reference letter for ' || hom || ' homozygous array calls outside the coordinate table, counted as hom_unknown_ref' END,
+  CASE WHEN build = 'unknown' THEN 'without a known build there is no PAR exclusion and no liftover' END,
+  CASE WHEN sex = 'uncertain' THEN 'sex is uncertain: x_het_rate ' || regexp_replace(CAST(x_het_rate AS VARCHAR), '\\.0$', '')
+    || ', y_call_rate ' || regexp_replace(CAST(y_call_rate AS VARCHAR), '\\.0$', '') || ', ' || x_sites || ' X sites outside the PAR' END) AS caveats
 FROM g_kits k JOIN homs USING (kit) JOIN sexes USING (kit)""",
 )
 def caveats(spark, sf):

@@ -45,8 +45,8 @@ contigs AS (SELECT chrom, min(contig_ord) AS n FROM g_calls WHERE kit = 'k2' AND
 lines AS (
   SELECT 3 AS sect, n, '##contig=<ID=' || CASE WHEN chrom = 'MT' THEN 'chrM' WHEN n <= 25 THEN 'chr' || chrom ELSE chrom END || '>' AS line FROM contigs
   UNION ALL SELECT * FROM (VALUES (0, 0, '##fileformat=VCFv4.2'), (1, 0, '##source=zygospark export of k2 (vcf)'), (2, 0, '##reference=GRCh38'),
-    (4, 0, '##INFO=<ID=END,Number=1,Type=Integer,Description="End of reference block">'),
-    (5, 0, '##INFO=<ID=REF_UNKNOWN,Number=0,Type=Flag,Description="Array site; reference allele unknown (REF=N)">'),
+    (4, 0, '##INFO=<ID=END,Number=1,Type=Integer,Description="Last position of a block">'),
+    (5, 0, '##INFO=<ID=REF_UNKNOWN,Number=0,Type=Flag,Description="REF is N: an array lists no reference letter">'),
     (6, 0, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'), (7, 0, '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read depth">'),
     (8, 0, '#CHROM' || chr(9) || 'POS' || chr(9) || 'ID' || chr(9) || 'REF' || chr(9) || 'ALT' || chr(9) || 'QUAL' || chr(9) || 'FILTER' || chr(9) || 'INFO' || chr(9) || 'FORMAT' || chr(9) || 'wgs two')) AS v)
 SELECT row_number() OVER (ORDER BY sect, n)::INT AS line_no, line FROM lines""",

@@ -39,7 +39,7 @@ def _cell(c: Column, kind: T.DataType, null: str, precision: int | None) -> Colu
         return F.when(c.isNull(), F.lit(null)).otherwise(F.concat_ws(";", *pairs))
     text = c.cast("string")
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        text = F.regexp_replace(text, r"\.0$", "") if precision is None else F.format_string(f"%.{precision}f", c.cast("double"))
+        text = E.number_text(c) if precision is None else F.format_string(f"%.{precision}f", c.cast("double"))
         text = F.when(c.isNotNull(), text)
     return F.coalesce(text, F.lit(null))
 

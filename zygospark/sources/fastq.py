@@ -41,7 +41,9 @@ def lane_manifest(files: DataFrame) -> DataFrame:
 
 
 def read_pairs(lines: DataFrame, lanes: DataFrame, max_pairs: int | None = None) -> DataFrame:
-    """(lane, sample, pair, r1_name, r1_seq, r1_qual, r2_name, r2_seq, r2_qual).
+    """(lane, sample, pair, r1_name, r1_seq, r1_qual, r2_name, r2_seq, r2_qual, problem).
+
+    A read whose mate is missing comes back alone, with a problem.
 
     Four lines make a record.  Both mates meet in one shuffle on (lane, pair);
     with `max_pairs` the lines beyond it are dropped before that shuffle.
@@ -67,7 +69,8 @@ def read_pairs(lines: DataFrame, lanes: DataFrame, max_pairs: int | None = None)
             for part, name in ((0, "name"), (1, "seq"), (3, "qual"))
         ]
     )
-    return out.filter("r1_name is not null and r2_name is not null")
+    lost = F.when(F.col("r2_name").isNull(), "no R2 read").when(F.col("r1_name").isNull(), "no R1 read")
+    return out.withColumn("problem", lost)
 
 
 def read_fastq_pairs(spark: SparkSession, paths: list[str], max_pairs: int | None = None) -> DataFrame:

@@ -6,7 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from zygospark.sources.importer import Options, import_files
+from zygospark.session import small_table
+from zygospark.sources.importer import SAME_SOURCE, Options, import_files
+
+
+REJECTED = "file string, reason string"
+
+
+def _import_or_reject(spark: SparkSession, root: str, files: list[str], options: Options | None) -> None:
+    """Import files together; if that fails, one by one, and note those that fail."""
+    try:
+        import_files(spark, root, files, options, replace=SAME_SOURCE)
+    except ValueError as e:
+        if len(files) == 1:
+            small_table(spark, [(files[0], str(e))], REJECTED).write.mode("append").parquet(f"{root}/rejected")
+        else:
+            for f in files:
+                _import_or_reject(spark, root, [f], options)
 
 
 def ingest_folder(
@@ -16,14 +32,16 @@ def ingest_folder(
 
     The header of a file is needed to read its body, so a micro-batch only names
     the new files and the batch import reads them whole.  A batch that is run
-    again after a failure replaces the kits it had written.
+    again after a failure replaces the kits that came from the same files.
+    Files that cannot be imported are set aside with the reason in the table
+    `rejected` of the store, and do not hold up the others.
     """
     lines = spark.readStream.format("text").load(landing).select(F.col("_metadata.file_path").alias("file"))
 
     def run(batch: DataFrame, _: int) -> None:
         files = [r.file for r in batch.distinct().collect()]  # new file names of one batch
         if files:
-            import_files(batch.sparkSession, root, sorted(files), options, replace=True)
+            _import_or_reject(batch.sparkSession, root, sorted(files), options)
 
     return (
         lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
