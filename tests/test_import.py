@@ -11,7 +11,7 @@ from zygospark.session import small_table
 from zygospark.sinks import export as sink
 from zygospark.sinks import store
 from zygospark.sources import chain, fasta, rsid_tables
-from zygospark.sources.importer import Options, import_files, parse_files, remove_kit
+from zygospark.sources.importer import Options, import_files, parse_files, remove_kit, stored_summaries
 from zygospark.sources.text import read_lines
 
 VCF_HEAD = (
@@ -158,6 +158,8 @@ def test_summary(spark, world):
     assert m.records == m.no_calls + m.het + m.hom_alt + m.hom_ref + m.hom_unknown_ref + m.hemizygous
     assert (m.sex.call, m.sex.x_het_rate, m.sex.y_call_rate) == ("male", round(1 / X_SITES, 4), 0.8)
     assert (m.by_chrom["Y"], m.by_chrom["MT"], m.by_chrom["other_contigs"], m.by_chrom["22"]) == (Y_SITES, 1, 0, 0)
+    kept = {r.kit: r for r in stored_summaries(spark, root).collect()}
+    assert {k: r.asDict(True) for k, r in kept.items()} == {k: r.asDict(True) for k, r in s.items()}
     w = s[ids["wgs"]]
     assert w.by_chrom["other_contigs"] == 2 and w.sex.call == "uncertain" and any("only variants" in c for c in w.caveats)
 

@@ -39,13 +39,30 @@ ARRAY_MALE_X, ARRAY_MALE_Y, ARRAY_FEMALE_X, ARRAY_FEMALE_Y = 0.03, 0.5, 0.08, 0.
 VCF_MALE_X, VCF_MALE_Y, VCF_FEMALE_X, VCF_FEMALE_Y = 0.25, 0.02, 0.4, 0.01
 
 
-def zygosity_counts(calls: DataFrame) -> DataFrame:
+def _zygosity_tallies() -> list[Column]:
     z = F.col("zygosity")
-    return calls.groupBy("kit").agg(
+    return [
         F.count("*").alias("records"),
         *[F.count_if(z == value).alias(name) for name, value in ZYGOSITY_COUNTS.items()],
         F.count_if("ref_block").alias("ref_blocks"),
-    )
+    ]
+
+
+def zygosity_counts(calls: DataFrame) -> DataFrame:
+    return calls.groupBy("kit").agg(*_zygosity_tallies())
+
+
+def _sex_tallies(usable: Column) -> list[Column]:
+    """Counts of the usable X and Y records outside the PAR."""
+    x = usable & (F.col("chrom") == "X") & ~in_par("build", "chrom", "pos")
+    y = usable & (F.col("chrom") == "Y")
+    called = F.col("zygosity") != NO_CALL
+    return [
+        F.count_if(x & called).alias("x_called"),
+        F.count_if(x & (F.col("zygosity") == HET)).alias("x_het"),
+        F.count_if(y).alias("y_total"),
+        F.count_if(y & called).alias("y_called"),
+    ]
 
 
 def chrom_counts(calls: DataFrame) -> DataFrame:
@@ -62,15 +79,7 @@ def sex_tallies(calls: DataFrame, kits: DataFrame) -> DataFrame:
     meta = checked_broadcast(kits.select(F.col("id").alias("kit"), "build", "assay"))
     # Contigs are compared by number so that the scan can skip other row groups.
     xy = calls.filter(F.col("contig_ord").isin(23, 24) & ~F.col("ref_block")).join(meta, "kit")
-    x = (F.col("chrom") == "X") & ~in_par("build", "chrom", "pos")
-    y = F.col("chrom") == "Y"
-    called = F.col("zygosity") != NO_CALL
-    tallies = xy.groupBy("kit").agg(
-        F.count_if(x & called).alias("x_called"),
-        F.count_if(x & (F.col("zygosity") == HET)).alias("x_het"),
-        F.count_if(y).alias("y_total"),
-        F.count_if(y & called).alias("y_called"),
-    )
+    tallies = xy.groupBy("kit").agg(*_sex_tallies(F.lit(True)))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("x_called", "x_het", "y_total", "y_called")]
     return meta.join(tallies, "kit", "left").select("kit", "assay", *zero)
 
@@ -119,12 +128,8 @@ def infer_sex(tallies: DataFrame) -> DataFrame:
     )
 
 
-def caveats(counts: DataFrame, sexes: DataFrame, kits: DataFrame) -> DataFrame:
-    """(kit, caveats) in fixed order, from zygosity counts, inferred sex and kit facts."""
-    k = kits.select(F.col("id").alias("kit"), "build", "ref_calls", "source_format", F.col("assay").alias("kit_assay"))
-    s = sexes.select("kit", "sex", "x_het_rate", "y_call_rate", "x_sites")
-    rows = counts.select("kit", "hom_unknown_ref").join(k, "kit").join(s, "kit")
-    array = F.col("kit_assay") == "array"
+def _caveats(array: Column) -> Column:
+    """Caveats of a row with a kit's facts, counts and inferred sex, in fixed order."""
     texts = [
         F.when(
             F.col("ref_calls") == ABSENT_MEANS_REF,
@@ -158,19 +163,31 @@ def caveats(counts: DataFrame, sexes: DataFrame, kits: DataFrame) -> DataFrame:
             ),
         ),
     ]
-    return rows.select("kit", F.array_compact(F.array(*texts)).alias("caveats"))
+    return F.array_compact(F.array(*texts))
+
+
+def caveats(counts: DataFrame, sexes: DataFrame, kits: DataFrame) -> DataFrame:
+    """(kit, caveats) from zygosity counts, inferred sex and kit facts."""
+    k = kits.select(F.col("id").alias("kit"), "build", "ref_calls", "source_format", F.col("assay").alias("kit_assay"))
+    s = sexes.select("kit", "sex", "x_het_rate", "y_call_rate", "x_sites")
+    rows = counts.select("kit", "hom_unknown_ref").join(k, "kit").join(s, "kit")
+    return rows.select("kit", _caveats(F.col("kit_assay") == "array").alias("caveats"))
 
 
 def summarize(calls: DataFrame, kits: DataFrame) -> DataFrame:
-    """One summary row per kit: counts, by_chrom map, sex struct, caveats."""
-    counts = zygosity_counts(calls)
-    chroms = chrom_counts(calls).groupBy("kit").agg(
-        F.map_from_entries(F.collect_list(F.struct("chrom", "n"))).alias("by_chrom")  # 26 fixed keys
-    )
-    sexes = infer_sex(sex_tallies(calls, kits))
-    notes = caveats(counts, sexes, kits)
+    """One summary row per kit: counts, by_chrom map, sex struct, caveats.
+
+    One scan and one aggregate of the calls; all else is per kit.
+    """
+    meta = checked_broadcast(kits.select(F.col("id").alias("kit"), "build", "assay", "ref_calls", "source_format"))
+    facts = [F.first(c).alias(c) for c in ("build", "assay", "ref_calls", "source_format")]
+    main = contig_ord("chrom").isNotNull()
+    chroms = {c: F.count_if(F.col("chrom") == c) for c in PRIMARY_CHROMS} | {OTHER_CONTIGS: F.count_if(~main)}
+    by_chrom = F.create_map(*[x for c, n in chroms.items() for x in (F.lit(c), n)])
+    rows = calls.join(meta, "kit").groupBy("kit").agg(*facts, *_zygosity_tallies(), *_sex_tallies(~F.col("ref_block")), by_chrom.alias("by_chrom"))
     sex = F.struct(F.col("sex").alias("call"), "x_het_rate", "y_call_rate", "method", "x_sites", "y_sites")
-    return counts.join(chroms, "kit").join(sexes.select("kit", sex.alias("sex")), "kit").join(notes, "kit")
+    counts = ["kit", "records", *ZYGOSITY_COUNTS, "ref_blocks"]
+    return infer_sex(rows).select(*counts, "by_chrom", sex.alias("sex"), _caveats(F.col("assay") == "array").alias("caveats"))
 
 
 def kit_counts(calls: DataFrame, *more: Column) -> DataFrame:
