@@ -1,6 +1,7 @@
 """Import job, catalog, lookups, comparison and export on small literal files."""
 
 import gzip
+import json
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from zygospark.operators import audit, catalog, compare, export, lookup, summary
 from zygospark.session import small_table
 from zygospark.sinks import export as sink
 from zygospark.sinks import store
+from zygospark.sinks.audit_log import audited_compare, audited_lookup, read_audit
 from zygospark.sources import chain, fasta, rsid_tables
 from zygospark.sources.importer import Options, import_files, parse_files, remove_kit, stored_summaries
 from zygospark.sources.text import read_lines
@@ -180,6 +182,10 @@ def test_lookups(spark, world):
         "from_build string, to_build string, blk bigint, t_chrom string, t_start bigint, t_end bigint, q_chrom string, q_start bigint, q_size bigint, q_neg boolean, score double",
     )
     r = {x.qid: x for x in lookup.lookup(calls, kits, q, None, blocks).collect()}
+    before = read_audit(spark, root).count()
+    audited_lookup(spark, root, lookup.lookup(calls, kits, q, None, blocks))
+    note = read_audit(spark, root).orderBy(F.col("seq").desc()).first()
+    assert note.seq == before + 1 and json.loads(note.details) == {"answers": 12, "inferred": 1, "missing": 4, "observed": 7}
     own = r["own id"]
     assert (own.pos, own.genotype, own.zygosity, own.ref, own.alt) == (45412079, "CT", "het", "C", ["T"])
     assert r["own id, reference"].zygosity == "hom_ref" and (r["own text id"].genotype, r["own text id"].zygosity) == ("DI", "het")
@@ -230,6 +236,8 @@ def test_compare(spark, world):
     assert (w.overlap, w.concordant, w.discordant, w.inferred_ref_sites, w.lifted, w.build) == (4, 3, 1, 1, True, "GRCh38")
     assert w.unlifted_sites == ARRAY_ROWS - (1 + Y_SITES // 5) - len(rows)
     assert t[ids["male"]].discordant == 0 and t[ids["male"]].skipped_sites == 1  # DI is not comparable
+    audited_compare(spark, root, tallies)
+    assert json.loads(read_audit(spark, root).orderBy(F.col("seq").desc()).first().details)["pairs"] == 2
     assert listed.count() == 1
     full = compare.discordant_sites(calls, kits, pairs, blocks).collect()
     assert {(r.chrom, r.pos, r.source_a) for r in full} == {("1", 11794419, "observed")}
@@ -301,6 +309,9 @@ def test_replace_remove_and_find(spark, world, tmp_path):
         remove_kit(spark, root, "nobody")
     remove_kit(spark, root, "male")
     assert store.read_kits(spark, f"{root}/kits").count() == 0
+    log = read_audit(spark, root)
+    assert [(r.seq, r.command) for r in log.orderBy("seq").collect()] == [(1, "import"), (2, "import"), (3, "rm")]
+    assert '"replaced": ["k1"]' in log.filter("seq = 2").first().details and audit.verify_audit(log).count() == 0
     assert not list((tmp_path / "store" / "calls").glob("kit=*"))
 
 

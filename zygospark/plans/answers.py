@@ -12,6 +12,7 @@ from zygospark.plans.registry import query
 from zygospark.plans.sites import CURATED, ENRICHED, NAMED, RSID_QUERIES, rsid_queries
 from zygospark.schema import GRCH37, GRCH38
 from zygospark.session import small_table
+from zygospark.sinks.audit_log import lookup_details
 
 # ---------------------------------------------------------------- lookups
 
@@ -216,6 +217,18 @@ def lookup_warnings(spark, sf):
     return lookup.distinct_warnings(out, ["qid"])
 
 
+@query(
+    "q_audit_details",
+    f"""{V.with_views(*BASE, place_sites_sql("k1", ["k2"]), answer_sql("sites"))}
+SELECT count(*) AS answers, count(*) FILTER (call_source = 'observed') AS observed, count(*) FILTER (call_source = 'inferred_ref') AS inferred,
+  count(*) FILTER (call_source = 'missing') AS missing FROM answers""",
+)
+def audit_details(spark, sf):
+    calls = D.stored_calls(spark, sf)
+    q = place_queries(calls, "k1", ["k2"], None)
+    return lookup_details(lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf)))
+
+
 @query(
     "q_records_between",
     f"""{V.with_views(V.CALLS)},
