@@ -18,14 +18,16 @@ from zygospark.llm.text import mix
 SHINGLE = 7  # characters
 PERCENT = 80  # of the union that must be shared
 BANDS, ROWS = 20, 4  # a pair at the threshold shares no band with probability (1 - 0.8 ** 4) ** 20 = 3e-5
-CHUNK_CHARS = 1 << 19
-TILE = 128
+CHUNK_CHARS = 1 << 17  # hashed at once, so that the values stay in the processor's cache
+PACK_CHARS = 1 << 20  # sent together
+PAIRS = 1024  # confirmed at once
+OTHERS, MEMBERS = 512, 1024  # of a bucket, compared in one tile
+SKETCH_BITS = 512
 
 LINE = {"high": np.uint64, "low": np.uint64, "doc": np.int64, "line": np.int32, "known": np.uint8}
 MEMBER = {"key": np.uint32, "id": np.int64}
 
-_seeds = np.random.Generator(np.random.PCG64(97)).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
-_MULTIPLY, _ADD = _seeds[0] | np.uint32(1), _seeds[1]
+_MULTIPLY = np.random.Generator(np.random.PCG64(97)).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 
 
 def lines_of(text: str | None) -> list[bytes]:
@@ -37,14 +39,44 @@ def _digest(line: bytes) -> bytes:
     return blake2b(line, digest_size=16).digest()
 
 
-def shingles(line: str) -> set[str]:
-    """Distinct 7-character windows; a shorter line is one, filled up with zeros."""
-    line = line.ljust(SHINGLE, "\0")
-    return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of the lines with a line end between, where each line begins, its shingles); short lines are filled up with zeros."""
+    text = "\n".join(line.ljust(SHINGLE, "\0") for line in lines)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    feeds = np.flatnonzero(points == 10)
+    begins = np.concatenate(([0], feeds + 1))
+    return points, begins, np.append(feeds, len(points)) - begins - SHINGLE + 1
+
+
+def _windows(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Where each shingle begins."""
+    return np.arange(counts.sum()) + np.repeat(begins - np.cumsum(counts) + counts, counts)
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """Ascending 64-bit hashes of each line's distinct shingles."""
+    points, begins, counts = _points(lines)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    rolled = points.astype(np.uint64) + step
+    for width in (1, 2, 3):  # 2, 4 and 7 characters
+        rolled = (rolled[:-width] * step) ^ rolled[width:] ^ (rolled[:-width] >> np.uint64(29))
+    rolled = (rolled ^ (rolled >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    out = []
+    for lo, n in zip(begins.tolist(), counts.tolist(), strict=True):
+        one = np.sort(rolled[lo : lo + n])
+        new = np.ones(n, bool)
+        new[1:] = one[1:] != one[:-1]
+        out.append(one[new])
+    return out
 
 
-def alike(a: set[str], b: set[str]) -> bool:
-    both = len(a & b)
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets share enough of their union."""
+    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * PERCENT:
+        return False
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    both = int((a[at] == b).sum())
     return both * 100 >= (len(a) + len(b) - both) * PERCENT
 
 
@@ -90,11 +122,7 @@ def _first_lines(table: pa.Table) -> pa.Table:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) hashes of the bands of MinHash values."""
-    text = "\n".join(line.ljust(SHINGLE, "\0") for line in lines)
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    feeds = np.flatnonzero(points == 10)
-    begins = np.concatenate(([0], feeds + 1))
-    counts = np.append(feeds, len(points)) - begins - SHINGLE + 1
+    points, begins, counts = _points(lines)
     rolled = np.zeros(len(points) - SHINGLE + 1, np.uint32)
     for j in range(SHINGLE):
         rolled = rolled * np.uint32(0x01000193) + points[j : j + len(rolled)] * np.uint32(0x9E3779B1)
@@ -103,17 +131,14 @@ def band_keys(lines: list[str]) -> np.ndarray:
     rolled ^= rolled >> np.uint32(13)
     rolled *= np.uint32(0xC2B2AE35)
     rolled ^= rolled >> np.uint32(16)
-    inside = np.ones(len(rolled), bool)
-    for j in range(SHINGLE):  # windows over a line end
-        over = feeds - j
-        inside[over[(over >= 0) & (over < len(rolled))]] = False
-    values = rolled[inside]
+    values = rolled[_windows(begins, counts)]
     at = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    room = np.empty_like(values)
     out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(lines), 0)
     for b in range(BANDS):
         for r in range(ROWS):
             i = b * ROWS + r
-            out[:, b] = mix(out[:, b] + np.minimum.reduceat(values * _MULTIPLY[i] + _ADD[i], at), 6)
+            out[:, b] = mix(out[:, b] + np.minimum.reduceat(np.multiply(values, _MULTIPLY[i], out=room), at), 6)
     return out
 
 
@@ -121,24 +146,29 @@ def _send_bands(groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     """(band key, line id) of the first of equal lines of a batch."""
     for batch in batches:
         ids: list[bytes] = []
+        keys: list[np.ndarray] = []
         lines: list[str] = []
-        size = 0
+        chars = packed_chars = 0
         for digest, line, _, _, again in _first_seen(batch):
             if not again:
                 ids.append(digest[:8])
                 lines.append(line.decode())
-                size += len(line)
-                if size > CHUNK_CHARS:
-                    yield _bands(ids, lines, groups)
-                    ids, lines, size = [], [], 0
+                chars += len(line)
+                if chars > CHUNK_CHARS:
+                    keys.append(band_keys(lines))
+                    lines, chars, packed_chars = [], 0, packed_chars + chars
+                    if packed_chars > PACK_CHARS:
+                        yield _bands(ids, keys, groups)
+                        ids, keys, packed_chars = [], [], 0
         if lines:
-            yield _bands(ids, lines, groups)
+            keys.append(band_keys(lines))
+        if keys:
+            yield _bands(ids, keys, groups)
 
 
-def _bands(ids: list[bytes], lines: list[str], groups: int) -> pa.RecordBatch:
-    keys = band_keys(lines)
+def _bands(ids: list[bytes], parts: list[np.ndarray], groups: int) -> pa.RecordBatch:
+    keys = np.concatenate(parts).ravel()
     own = np.repeat(np.frombuffer(b"".join(ids), np.int64), BANDS)
-    keys = keys.ravel()
     return packed(keys, {"key": (keys >> np.uint64(32)).astype(np.uint32), "id": own}, groups)
 
 
@@ -173,23 +203,55 @@ def _pick_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = [alike(shingles(x), shingles(y)) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
-        yield pa.record_batch([batch["a"].filter(pa.array(keep, pa.bool_())), batch["b"].filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+        for at in range(0, batch.num_rows, PAIRS):
+            some = batch.slice(at, PAIRS)
+            a, b, x, y = (some[c].to_pylist() for c in ("a", "b", "x", "y"))
+            bodies = dict(zip(a, x, strict=True)) | dict(zip(b, y, strict=True))
+            sets = dict(zip(bodies, shingle_sets(list(bodies.values())), strict=True))
+            keep = pa.array([alike(sets[i], sets[j]) for i, j in zip(a, b, strict=True)], pa.bool_())
+            yield pa.record_batch([some["a"].filter(keep), some["b"].filter(keep)], names=["a", "b"])
+
+
+def _odd_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of the sets."""
+    line = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    bit = (mix(np.concatenate(sets), 9) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    flips = np.bincount(line * SKETCH_BITS + bit, minlength=len(sets) * SKETCH_BITS) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(len(sets), SKETCH_BITS), axis=1).view(np.uint64)
+
+
+def _most_apart(sizes: np.ndarray) -> np.ndarray:
+    """Bits that two bitmaps of similar enough sets differ in at most, by their sizes' sum: six deviations above the threshold's mean."""
+    apart = sizes * (100 - PERCENT) / (100 + PERCENT) / SKETCH_BITS
+    left = np.exp(-2 * apart)
+    odd = (1 - left) / 2
+    return SKETCH_BITS * odd + 6 * np.sqrt(np.maximum(SKETCH_BITS * (odd * (1 - odd) - apart * left * left), 0.25)) + 1
+
+
+def tile_links(labels: list[int], sides: list[int], lines: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places: members of side 1 with members of another component that are similar enough; one for each two components joined."""
+    sets = shingle_sets(lines)
+    sizes, bits = np.array([len(x) for x in sets]), _odd_bits(sets)
+    side, label = np.array(sides), np.array(labels)
+    every = np.flatnonzero(side == 0)
+    out = []
+    for a in np.flatnonzero(side == 1):
+        apart = np.bitwise_count(bits[a] ^ bits[every]).sum(1, dtype=np.int64)
+        near = (apart <= _most_apart(sizes[a] + sizes[every])) & (label[every] != label[a])
+        for b in every[near]:
+            if label[a] != label[b] and alike(sets[a], sets[b]):
+                out.append((int(a), int(b)))
+                label[label == label[b]] = label[a]
+    return out
 
 
 def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between members of different components in one tile; a union-find over the tile keeps one for each pair it joins."""
     for batch in batches:
         out = []
         for members in batch["members"].to_pylist():
-            sets = [shingles(m["body"]) for m in members]
-            label = [m["label"] for m in members]
-            sides = {m["side"] for m in members}
-            for i, m in enumerate(members):
-                for j in range(i + 1, len(members)):
-                    if label[i] != label[j] and (len(sides) == 1 or m["side"] != members[j]["side"]) and alike(sets[i], sets[j]):
-                        out.append((m["id"], members[j]["id"]))
-                        label = [label[i] if x == label[j] else x for x in label]
+            ids = [m["id"] for m in members]
+            found = tile_links([m["label"] for m in members], [m["side"] for m in members], [m["body"] for m in members])
+            out += [(ids[a], ids[b]) for a, b in found]
         yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
@@ -215,13 +277,16 @@ def line_classes(docs: DataFrame) -> DataFrame:
     labels = connected_components(links)
 
     labelled = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
-    mixed = mixed.select("band", F.ceil(F.col("m") / TILE).cast("int").alias("g"))
-    inside = labelled.join(mixed, "band").withColumn("c", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).join(bodies, "id")
-    tiles = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    side = F.when(F.col("c") > F.col("o"), 1).otherwise(0).alias("side")
-    tiles = tiles.select("band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.struct("id", "label", side, "body").alias("member"))
-    tiles = tiles.groupBy("band", "i", "j").agg(F.collect_list("member").alias("members"))
+    parts = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("m"))
+    mixed = mixed.filter("n < m and m > 2")  # of two members, the star was the only pair
+    mixed = mixed.select("band", "main", F.ceil((F.col("m") - F.col("n")) / OTHERS).cast("int").alias("go"), F.ceil(F.col("m") / MEMBERS).cast("int").alias("gm"))
+    inside = labelled.join(mixed, "band").join(bodies, "id")
+    chunk = lambda seed, g: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(g)).cast("int")
+    upto = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
+    every = inside.select("*", chunk(1, "gm").alias("i"), upto("go").alias("j"), F.lit(0).alias("side"))
+    others = inside.filter("label <> main").select("*", upto("gm").alias("i"), chunk(2, "go").alias("j"), F.lit(1).alias("side"))
+    tiles = every.union(others).groupBy("band", "i", "j").agg(F.collect_list(F.struct("id", "label", "side", "body")).alias("members"))
     more = tiles.select("members").mapInArrow(_tile_links, "a long, b long").distinct()
     labels = connected_components(written(links.union(more).distinct()))
 
@@ -266,8 +331,9 @@ def dedup_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
     Bands of MinHash values are shuffled packed, as 12 bytes each, and only
     buckets with several different lines become rows.  Each bucket links its
     members with one drawn member; links are confirmed on the exact sets and
-    give components; buckets that still hold several components are then
-    compared in tiles of bounded size, on the exact sets again.  Copies of a
+    give components; in buckets that still hold several components, the members
+    outside the largest one are then compared with all in tiles of bounded
+    size: parity bitmaps first, then the sets (64-bit shingle hashes).  Copies of a
     frequent line are reduced to one inside each batch before any shuffle.
 
     Null texts have no lines and stay null; rows with a null doc_id are left
