@@ -17,6 +17,7 @@ from zygospark.llm.text import ALNUM, find_words, mix, slices, span_hash, sums
 FIT_ROWS = 8_000
 MAX_TERMS = 1_024
 LEAST_CHI2 = 30.0  # a term's association with the label; chance reaches this once in 2e7 terms
+LEAST_ODDS = 4.0  # odds of the label with a term over those without it; longer texts alone make every word a little likelier
 LEAST_DOCS = 4  # fitted rows that hold a term
 PREFIXES = (4, 5)  # a word's first bytes are terms as well, so that unseen endings are known
 NEIGHBOURS = 15
@@ -225,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     a, n, t, d = F.col("bad").cast("double"), F.col("n").cast("double"), float(toxic), float(rows)
     chi2 = d * F.pow(a * d - n * t, F.lit(2)) / (n * t * (d - n) * (d - t))
     counts = counts.filter((F.col("n") >= LEAST_DOCS) & (F.col("n") < rows)).withColumn("chi2", chi2)
-    best = counts.filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS) if 0 < toxic < rows else counts.limit(0)
+    odds = (a + 0.5) * (d - n - t + a + 0.5) / ((n - a + 0.5) * (t - a + 0.5))
+    best = counts.filter((F.col("chi2") >= LEAST_CHI2) & (odds >= LEAST_ODDS)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS) if 0 < toxic < rows else counts.limit(0)
     known = np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64).view(np.uint64))
 
     held = docs.mapInArrow(partial(_doc_counts, known), "at long, n long").groupBy("at").agg(F.sum("n")).collect()
@@ -255,8 +257,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of docs.
 
     Terms are words of lower-cased letters and digits and their first 4 and 5
-    bytes; the vector space holds those associated with the label in the
-    fitted rows (chi-square), weighed by TF-IDF with document counts over all
+    bytes; the vector space holds those that go with the label in the fitted
+    rows (chi-square and odds), weighed by TF-IDF with document counts over all
     documents.  A text's 15 nearest examples by cosine vote with their squared
     similarity; votes are turned into shares of toxic rows on the examples
     themselves, each judged without itself.  evidence lists the nearest
