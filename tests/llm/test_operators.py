@@ -319,6 +319,19 @@ def test_toxicity_held_out(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, bad in labels if not bad}
 
 
+def test_toxicity_keeps_the_class_mix(spark, docs, monkeypatch):
+    """Scores follow the labels' class mix, also where FIT_ROWS takes as many rows of either class."""
+    rows = [(i, f"{prose(i, 20)} {('even', 'odd')[i % 2]}") for i in range(600)]
+    marks = spark.createDataFrame([(i, 1, int(i % 20 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    learnt = [i for i, _ in rows if brute.trained(i, 4)]
+    share = sum(i % 20 == 0 for i in learnt) / len(learnt)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", sum(i % 20 == 0 for i in learnt))
+    model = toxicity.fit(docs(rows).select("doc_id", "text"), marks)
+    assert model["prior"] == pytest.approx(share, abs=0.02)
+    got = by_id(toxicity.score_toxicity(docs([*rows, (1000, None)]), marks), "score")
+    assert np.mean([v for (v,) in got.values()]) == pytest.approx(share, abs=0.05) and got[1000][0] < toxicity.REJECT
+
+
 def test_toxicity_without_labels(spark, docs):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert by_id(toxicity.score_toxicity(docs([(1, "a"), (2, None)]), marks), "predicted") == {1: (0,), 2: (0,)}

@@ -117,8 +117,16 @@ def _examples(known: np.ndarray, idf: np.ndarray, batches: Iterator[pa.RecordBat
             yield pa.record_batch([*own, *lists], names=["doc_id", "toxic", "terms", "weights"])
 
 
-def build_index(examples: list[tuple[int, int, list[int], list[float]]], known: np.ndarray, idf: np.ndarray) -> dict:
+def class_weights(taken: tuple[int, int], every: tuple[int, int]) -> np.ndarray:
+    """What a fitted row of each class (clean, toxic) stands for among all learnable labels; fitted rows stand for 1 on average."""
+    rows = np.array(taken, np.float64)
+    stands = np.where(rows > 0, np.array(every) / np.maximum(rows, 1), 1.0)
+    return stands * rows.sum() / max((stands * rows).sum(), 1e-300) if rows.sum() else np.ones(2)
+
+
+def build_index(examples: list[tuple[int, int, list[int], list[float]]], known: np.ndarray, idf: np.ndarray, stands: np.ndarray | None = None) -> dict:
     """Postings in blocks of 64 examples: a tile of weights for every term of a block, and its maximum."""
+    stands = np.ones(2) if stands is None else stands
     examples = sorted(examples, key=lambda e: e[0])
     full = [e for e in examples if e[2]]
     empty = [e for e in examples if not e[2]]
@@ -132,7 +140,7 @@ def build_index(examples: list[tuple[int, int, list[int], list[float]]], known:
                 tiles.append(np.zeros(BLOCK))
             tiles[tile[t, i // BLOCK]][i % BLOCK] = w
     tiles = np.array(tiles)
-    share = lambda rows: (sum(e[1] for e in rows) + 0.5) / (len(rows) + 1)
+    share = lambda rows: (sum(stands[1] for e in rows if e[1]) + 0.5) / (sum(stands[e[1]] for e in rows) + 1)
     return {
         "known": known,
         "idf": idf,
@@ -141,6 +149,7 @@ def build_index(examples: list[tuple[int, int, list[int], list[float]]], known:
         "most": tiles.max(1)[tile],
         "ids": np.array([e[0] for e in full], np.int64),
         "toxic": np.array([e[1] for e in full], np.float64),
+        "stands": stands,
         "prior": share(examples) if examples else 0.0,
         "empty": share(empty) if empty else 0.0,
     }
@@ -183,7 +192,7 @@ def _score(index: dict, skip_self: bool, data: np.ndarray, offsets: np.ndarray,
     for i in np.flatnonzero(known):
         some = slice(bounds[i], bounds[i + 1])
         found, cosines = nearest(index, term[some], weight[some], ids[i] if skip_self else None)
-        power = cosines * cosines
+        power = cosines * cosines * index["stands"][index["toxic"][found].astype(np.int64)]
         votes[i] = (power @ index["toxic"][found] + PRIOR * index["prior"]) / (power.sum() + PRIOR)
         evidence[i] = index["ids"][found[:EVIDENCE]].tolist()
     return votes, known, evidence
@@ -199,12 +208,12 @@ def _score_batches(index, skip_self: bool, batches: Iterator[pa.RecordBatch]) ->
             yield pa.record_batch(columns, names=["doc_id", "raw", "known", "evidence"])
 
 
-def rising_steps(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rising_steps(raw: np.ndarray, label: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(votes, shares): the rising steps nearest to the labels; pooled where shares would fall."""
     order = np.argsort(raw, kind="stable")
     steps: list[list[float]] = []
-    for x, y in zip(raw[order], label[order], strict=True):
-        steps.append([x, y, 1.0])
+    for x, y, n in zip(raw[order], label[order], stands[label[order].astype(np.int64)], strict=True):
+        steps.append([x, y * n, n])
         while len(steps) > 1 and steps[-2][1] / steps[-2][2] >= steps[-1][1] / steps[-1][2]:
             _, s, c = steps.pop()
             steps[-1] = [steps[-1][0], steps[-1][1] + s, steps[-1][2] + c]
@@ -217,8 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.filter(learns(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64("doc_id"), F.col("doc_id")
-    chosen = [marks.filter(F.col("toxic").between(low, high)).orderBy(*draw).limit(FIT_ROWS) for low, high in ((1, 2**31 - 1), (-(2**31), 0))]
-    chosen = written(chosen[0].union(chosen[1]).withColumn("toxic", (F.col("toxic") > 0).cast("int")))
+    marks = written(marks.withColumn("toxic", (F.col("toxic") > 0).cast("int")))
+    every = dict(marks.groupBy("toxic").count().collect())
+    chosen = written(marks.filter("toxic = 1").orderBy(*draw).limit(FIT_ROWS).union(marks.filter("toxic = 0").orderBy(*draw).limit(FIT_ROWS)))
+    stands = class_weights(tuple(min(every.get(c, 0), FIT_ROWS) for c in (0, 1)), tuple(every.get(c, 0) for c in (0, 1)))
     fitted = written(docs.join(F.broadcast(chosen), "doc_id"))  # at most 2 * FIT_ROWS narrow rows
 
     rows, toxic = fitted.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -234,11 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     held = dict(map(tuple, held))
     idf = np.log((1 + held.get(-1, 0)) / (1 + np.array([held.get(i, 0) for i in range(len(known))], np.float64))) + 1
     examples = fitted.mapInArrow(partial(_examples, known, idf), "doc_id long, toxic int, terms array<long>, weights array<double>")
-    model = build_index([tuple(r) for r in examples.collect()], known, idf)
+    model = build_index([tuple(r) for r in examples.collect()], known, idf, stands)
     index = docs.sparkSession.sparkContext.broadcast(model)
     votes = fitted.join(fitted.mapInArrow(partial(_score_batches, index, True), SCORED), "doc_id").filter("known").select("raw", "toxic").collect()
     raw, label = (np.array([r[i] for r in votes], np.float64) for i in (0, 1))
-    model["steps"], model["shares"] = rising_steps(raw, label) if len(raw) else (np.zeros(1), np.array([model["prior"]]))
+    model["steps"], model["shares"] = rising_steps(raw, label, stands) if len(raw) else (np.zeros(1), np.array([model["prior"]]))
     return model
 
 
@@ -266,7 +277,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels are learnt only from rows whose crc32(doc_id as text) mod 4 is not
     2, at most 8,000 of each class (FIT_ROWS); the index is bounded by that and
-    broadcast.  Scoring is one map over the texts, without a shuffle.
+    broadcast.  Both classes are counted over all these labels, and every fitted
+    row weighs as many of them as it stands for, so shares and votes keep the
+    class mix of all labels.  Scoring is one map over the texts, without a
+    shuffle.
 
     A text without a known term (null and empty texts too) gets the share of
     toxic rows among such examples.  Null labels are not learnt, a doc_id
