@@ -319,6 +319,46 @@ def test_toxicity_held_out(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, bad in labels if not bad}
 
 
+def test_toxicity_covers_all_terms(spark, docs):
+    """Evidence is the nearest by weighed TF-IDF over every term of the examples, also terms that are rare or tell nothing of the label."""
+    rng = np.random.default_rng(5)
+    words = [f"{'abcdefgh'[i % 8]}{i:02d}{'xyz'[i % 3] * (i % 5)}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(3, 30)))) for i in range(160)]
+    marks = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = by_id(toxicity.score_toxicity(docs(rows), marks), "evidence")
+
+    def terms(text):
+        return [t for w in text.split() for t in (w, *((w[:k], k) for k in toxicity.PREFIXES if len(w) > k))]
+
+    held = {}
+    for _, text in rows:
+        for t in set(terms(text)):
+            held[t] = held.get(t, 0) + 1
+    examples = [i for i, _ in rows if brute.trained(i, 4)]
+    in_terms = {i: set(terms(rows[i][1])) for i in examples}
+    space = set().union(*in_terms.values())
+    share = sum(i % 5 == 0 for i in examples) / len(examples)
+
+    def factor(t):
+        own = [i % 5 == 0 for i in examples if t in in_terms[i]]
+        p = (sum(own) + toxicity.SHRINK * share) / (len(own) + toxicity.SHRINK)
+        return np.log2(1 + p / (1 - p) * (1 - share) / share)
+
+    factors = {t: factor(t) for t in space}
+
+    def vector(text):
+        own = [t for t in terms(text) if t in space]
+        w = {t: (1 + np.log(own.count(t))) * (np.log((1 + len(rows)) / (1 + held[t])) + 1) * factors[t] for t in set(own)}
+        length = np.sqrt(sum(x * x for x in w.values()))
+        return {t: x / length for t, x in w.items()}
+
+    vectors = {i: vector(text) for i, text in rows}
+    for i, _ in rows:
+        cosines = {e: round(sum(x * vectors[e].get(t, 0.0) for t, x in vectors[i].items()), 12) for e in examples}
+        want = sorted((e for e in examples if cosines[e] > 0), key=lambda e: (-cosines[e], e))[: toxicity.EVIDENCE]
+        assert got[i][0] == want
+
+
 def test_toxicity_keeps_the_class_mix(spark, docs, monkeypatch):
     """Scores follow the labels' class mix, also where FIT_ROWS takes as many rows of either class."""
     rows = [(i, f"{prose(i, 20)} {('even', 'odd')[i % 2]}") for i in range(600)]
@@ -326,7 +366,7 @@ def test_toxicity_keeps_the_class_mix(spark, docs, monkeypatch):
     learnt = [i for i, _ in rows if brute.trained(i, 4)]
     share = sum(i % 20 == 0 for i in learnt) / len(learnt)
     monkeypatch.setattr(toxicity, "FIT_ROWS", sum(i % 20 == 0 for i in learnt))
-    model = toxicity.fit(docs(rows).select("doc_id", "text"), marks)
+    _, model = toxicity.fit(docs(rows).select("doc_id", "text"), marks)
     assert model["prior"] == pytest.approx(share, abs=0.02)
     got = by_id(toxicity.score_toxicity(docs([*rows, (1000, None)]), marks), "score")
     assert np.mean([v for (v,) in got.values()]) == pytest.approx(share, abs=0.05) and got[1000][0] < toxicity.REJECT

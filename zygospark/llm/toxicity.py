@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact weighed TF-IDF cosine over a block-max inverted index."""
 
 from __future__ import annotations
 
@@ -7,24 +7,26 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zygospark.llm.rows import long_id, map_rows, written
+from zygospark.llm.rows import by_group, long_id, map_rows, packed, packed_schema, shuffle_groups, unpacked, written
 from zygospark.llm.text import ALNUM, find_words, mix, slices, span_hash, sums
 
 #: Labelled rows of each class that the model is fitted on at most: those with the smallest hash of their id.
 FIT_ROWS = 8_000
-MAX_TERMS = 1_024
-LEAST_CHI2 = 30.0  # a term's association with the label; chance reaches this once in 2e7 terms
-LEAST_ODDS = 4.0  # odds of the label with a term over those without it; longer texts alone make every word a little likelier
-LEAST_DOCS = 4  # fitted rows that hold a term
 PREFIXES = (4, 5)  # a word's first bytes are terms as well, so that unseen endings are known
 NEIGHBOURS = 15
 BLOCK = 64  # examples of one block of the index
 PRIOR = 0.05  # votes of the class share beside the neighbours' squared similarities
 REJECT = 0.3
 EVIDENCE = 3
+SHRINK = 4.0  # rows of the fitted class mix that every term is given beside its own, for its odds
+FEW = 512  # candidates whose cosines are computed one by one
+STEP_POSTINGS = 4_096  # postings added up before candidates are first looked for
+
+HELD = {"at": np.int64, "n": np.int64}
 
 SCORED = "doc_id long, raw double, known boolean, evidence array<long>"
 
@@ -47,55 +49,64 @@ def text_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(docs), np.concatenate(terms)
 
 
-def _distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, occurrences), once for each."""
-    order = np.lexsort((term, doc))
-    doc, term = doc[order], term[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
-    heads = np.flatnonzero(new)
-    return doc[heads], term[heads], np.diff(np.append(heads, len(doc)))
-
-
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Toxic rows and rows that hold each term."""
     for batch in batches:
         toxic = batch["toxic"].to_numpy(zero_copy_only=False)
         for at, data, offsets in slices(batch["text"]):
-            doc, term, _ = _distinct(*text_terms(data, offsets))
+            doc, term = text_terms(data, offsets)
             names, where = np.unique(term, return_inverse=True)
+            codes = np.unique(doc * max(len(names), 1) + where)
+            doc, where = codes // max(len(names), 1), codes % max(len(names), 1)
             bad = np.bincount(where, weights=toxic[doc + at], minlength=len(names)).astype(np.int64)
             every = np.bincount(where, minlength=len(names))
             yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(bad), pa.array(every)], names=["term", "bad", "n"])
 
 
+def relevance(bad: np.ndarray, n: np.ndarray, toxic: int, rows: int) -> np.ndarray:
+    """Factor of each term's weight, above 0 and 1 for a neutral term: log2 of 1 + the odds of the label with it over the fitted rows' odds.
+
+    A ratio of odds does not depend on how many rows of either class are fitted.
+    """
+    share = toxic / rows
+    with_term = (bad + SHRINK * share) / (n + SHRINK)
+    return np.log2(1 + with_term / (1 - with_term) * (1 - share) / share)
+
+
 def find_terms(terms: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Place of each term in the ascending `known`, or -1."""
-    out = np.full(len(terms), -1, np.int64)
-    if len(known):
-        near = np.zeros(1 << 16, bool)
-        near[known >> np.uint64(48)] = True
-        maybe = np.flatnonzero(near[terms >> np.uint64(48)])
-        at = np.minimum(np.searchsorted(known, terms[maybe]), len(known) - 1)
-        same = known[at] == terms[maybe]
-        out[maybe[same]] = at[same]
-    return out
+    if not len(known):
+        return np.full(len(terms), -1, np.int64)
+    names, where = np.unique(terms, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+    return np.where(known[at] == names, at, -1)[where]
 
 
 def _vectors(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place of a known term, occurrences)."""
+    """(text, place of a known term, occurrences), once for each."""
     doc, term = text_terms(data, offsets)
     at = find_terms(term, known)
-    return _distinct(doc[at >= 0], at[at >= 0])
+    size = max(len(known), 1)
+    codes, n = np.unique((doc * size + at)[at >= 0], return_counts=True)
+    return codes // size, codes % size, n
 
 
-def _doc_counts(known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of this task, and how many hold each known term."""
-    total, held = 0, np.zeros(len(known), np.int64)
+def _doc_counts(sent, groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of this task (at the place after the last term), and how many hold each known term, packed."""
+    known = sent.value
+    held = np.zeros(len(known) + 1, np.int64)
     for batch in batches:
         for _, data, offsets in slices(batch["text"]):
-            total += len(offsets) - 1
-            held += np.bincount(_vectors(data, offsets, known)[1], minlength=len(known))
-    yield pa.record_batch([pa.array([-1, *range(len(known))], pa.int64()), pa.array([total, *held], pa.int64())], names=["at", "n"])
+            held += np.bincount(_vectors(data, offsets, known)[1], minlength=len(held))
+            held[-1] += len(offsets) - 1
+    at = np.flatnonzero(held)
+    if len(at):
+        yield packed(at.astype(np.uint64), {"at": at, "n": held[at]}, groups)
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    at, where = np.unique(unpacked(table, "at", np.int64), return_inverse=True)
+    return pa.table({"at": at, "n": np.bincount(where, weights=unpacked(table, "n", np.int64)).astype(np.int64)})
 
 
 def _weights(doc: np.ndarray, n: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -105,14 +116,15 @@ def _weights(doc: np.ndarray, n: np.ndarray, at: np.ndarray, idf: np.ndarray) ->
     return w / length[doc]
 
 
-def _examples(known: np.ndarray, idf: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _examples(terms, weighs, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, idf = terms.value, weighs.value
     for batch in batches:
         for at, data, offsets in slices(batch["text"]):
             count = len(offsets) - 1
             doc, term, n = _vectors(data, offsets, known)
             weight = _weights(doc, n, term, idf)
             ends = pa.array(np.searchsorted(doc, np.arange(count + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (term, weight)]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (term.astype(np.int32), weight)]
             own = [batch[c].slice(at, count) for c in ("doc_id", "toxic")]
             yield pa.record_batch([*own, *lists], names=["doc_id", "toxic", "terms", "weights"])
 
@@ -125,28 +137,21 @@ def class_weights(taken: tuple[int, int], every: tuple[int, int]) -> np.ndarray:
 
 
 def build_index(examples: list[tuple[int, int, list[int], list[float]]], known: np.ndarray, idf: np.ndarray, stands: np.ndarray | None = None) -> dict:
-    """Postings in blocks of 64 examples: a tile of weights for every term of a block, and its maximum."""
+    """The examples' vectors, one after another; with_postings() adds postings and each term's maxima in blocks of 64 examples."""
     stands = np.ones(2) if stands is None else stands
     examples = sorted(examples, key=lambda e: e[0])
-    full = [e for e in examples if e[2]]
-    empty = [e for e in examples if not e[2]]
-    blocks = max(1, -(-len(full) // BLOCK))
-    tile = np.zeros((len(known), blocks), np.int64)
-    tiles = [np.zeros(BLOCK)]
-    for i, (_, _, terms, weights) in enumerate(full):
-        for t, w in zip(terms, weights, strict=True):
-            if not tile[t, i // BLOCK]:
-                tile[t, i // BLOCK] = len(tiles)
-                tiles.append(np.zeros(BLOCK))
-            tiles[tile[t, i // BLOCK]][i % BLOCK] = w
-    tiles = np.array(tiles)
+    full = [e for e in examples if len(e[2])]
+    empty = [e for e in examples if not len(e[2])]
+    sizes = np.array([len(e[2]) for e in full], np.int64)
+    terms = np.concatenate([np.zeros(0, np.int32), *(np.asarray(e[2], np.int32) for e in full)])
+    weights = np.concatenate([np.zeros(0), *(np.asarray(e[3], np.float64) for e in full)])
     share = lambda rows: (sum(stands[1] for e in rows if e[1]) + 0.5) / (sum(stands[e[1]] for e in rows) + 1)
     return {
         "known": known,
         "idf": idf,
-        "tile": tile,
-        "tiles": tiles,
-        "most": tiles.max(1)[tile],
+        "terms": terms,
+        "weights": weights,
+        "first": np.append(0, np.cumsum(sizes)),
         "ids": np.array([e[0] for e in full], np.int64),
         "toxic": np.array([e[1] for e in full], np.float64),
         "stands": stands,
@@ -155,30 +160,78 @@ def build_index(examples: list[tuple[int, int, list[int], list[float]]], known:
     }
 
 
+def with_postings(index: dict) -> dict:
+    """The index with its postings by term, made once in every process that it is sent to."""
+    if "posted" not in index:
+        terms, first = index["terms"], index["first"]
+        order = np.argsort(terms, kind="stable")
+        in_order, share = terms[order], index["weights"][order]
+        example = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))[order]
+        tile = in_order.astype(np.int64) * (len(first) // BLOCK + 1) + example // BLOCK
+        heads = np.flatnonzero(np.concatenate((np.ones(min(len(tile), 1), bool), tile[1:] != tile[:-1])))
+        most = np.maximum.reduceat(share, heads) if len(heads) else np.zeros(0)
+        places = np.arange(len(index["known"]) + 1)
+        index |= {"example": example, "share": share, "tiled": np.searchsorted(in_order[heads], places), "block": example[heads] // BLOCK, "most": most}
+        index["posted"] = np.searchsorted(in_order, places)
+    return index
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every range, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 def nearest(index: dict, terms: np.ndarray, weights: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(examples, cosines) of the nearest ones, exactly; ties go to the smaller id.
 
-    Blocks are met in the order of their upper bounds, until none can hold a nearer example.
+    Postings are added up in the order of squared weight per posting.  What the other terms can still
+    add is bounded by their length and by their maxima in each block; as soon as
+    few examples can be among the nearest, their cosines are computed whole.
     """
-    bounds = weights @ index["most"][terms]
-    order = np.argsort(-bounds, kind="stable")
-    order = order[bounds[order] > 0]
-    found, cosines = np.zeros(0, np.int64), np.zeros(0)
-    ids, at = index["ids"], 0
-    while at < len(order):
-        if len(found) >= NEIGHBOURS and bounds[order[at]] < cosines[NEIGHBOURS - 1] - 1e-12:
+    index = with_postings(index)
+    ids, posted, tiled = index["ids"], index["posted"], index["tiled"]
+    order = np.argsort((posted[terms + 1] - posted[terms]) / (weights * weights), kind="stable")
+    terms, weights = terms[order], weights[order]
+    starts, sizes = posted[terms], posted[terms + 1] - posted[terms]
+    ends = np.cumsum(sizes)
+    tail = np.sqrt(np.append(np.cumsum((weights * weights)[::-1])[::-1], 0.0))
+    cosines, done, step, wanted = np.zeros(len(ids)), 0, STEP_POSTINGS, NEIGHBOURS + 1
+    found = None
+    while done < len(terms):
+        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + step, "right")))
+        at = _ranges(starts[done:to], sizes[done:to])
+        cosines += np.bincount(index["example"][at], weights=np.repeat(weights[done:to], sizes[done:to]) * index["share"][at], minlength=len(ids))
+        done, step = to, step * 4
+        if done == len(terms) or len(ids) <= max(FEW, wanted):
+            continue
+        least = np.partition(cosines, -wanted)[-wanted] - 1e-9
+        if least <= 0:
+            continue
+        maybe = np.flatnonzero(cosines + tail[done] >= least)
+        if len(maybe) > FEW:
+            first, many = tiled[terms[done:]], tiled[terms[done:] + 1] - tiled[terms[done:]]
+            at = _ranges(first, many)
+            rest = np.bincount(index["block"][at], weights=np.repeat(weights[done:], many) * index["most"][at], minlength=len(ids) // BLOCK + 1)
+            maybe = maybe[cosines[maybe] + rest[maybe // BLOCK] >= least]
+        if len(maybe) <= FEW:
+            found = maybe
             break
-        some = order[at : at + 8]
-        near = np.tensordot(weights, index["tiles"][index["tile"][terms][:, some]], 1)
-        new = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        near = near.ravel()
-        use = (near > 0) & (new < len(ids))
-        if skip is not None:
-            use[use] = ids[new[use]] != skip
-        found, cosines = np.concatenate((found, new[use])), np.concatenate((cosines, near[use]))
-        best = np.lexsort((found, -np.round(cosines, 12)))[:NEIGHBOURS]
-        found, cosines, at = found[best], cosines[best], at + 8
-    return found, cosines
+    if found is None:
+        found = np.flatnonzero(cosines > 0)
+        near = cosines[found]
+    else:
+        at = _ranges(index["first"][found], index["first"][found + 1] - index["first"][found])
+        by_term = np.argsort(terms)
+        place = np.minimum(np.searchsorted(terms[by_term], index["terms"][at]), len(terms) - 1)
+        own = np.where(terms[by_term][place] == index["terms"][at], weights[by_term][place], 0.0) * index["weights"][at]
+        near = np.bincount(np.repeat(np.arange(len(found)), np.diff(index["first"])[found]), weights=own, minlength=len(found))
+    use = near > 0
+    if skip is not None:
+        use &= ids[found] != skip
+    found, near = found[use], near[use]
+    best = np.lexsort((found, -np.round(near, 12)))[:NEIGHBOURS]
+    return found[best], near[best]
 
 
 def _score(index: dict, skip_self: bool, data: np.ndarray, offsets: np.ndarray, ids: list[int | None]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
@@ -220,8 +273,13 @@ def rising_steps(raw: np.ndarray, label: np.ndarray, stands: np.ndarray) -> tupl
     return np.array([s[0] for s in steps]), np.array([(s[1] + 0.5) / (s[2] + 1) for s in steps])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model, from at most FIT_ROWS labelled rows of each class and the document counts of all documents."""
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, dict]:
+    """The broadcast index and the calibration, from at most FIT_ROWS labelled rows of each class and the document counts of all documents."""
     docs = long_id(docs)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.filter(learns(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -233,24 +291,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     fitted = written(docs.join(F.broadcast(chosen), "doc_id"))  # at most 2 * FIT_ROWS narrow rows
 
     rows, toxic = fitted.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    counts = fitted.mapInArrow(_class_counts, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    a, n, t, d = F.col("bad").cast("double"), F.col("n").cast("double"), float(toxic), float(rows)
-    chi2 = d * F.pow(a * d - n * t, F.lit(2)) / (n * t * (d - n) * (d - t))
-    counts = counts.filter((F.col("n") >= LEAST_DOCS) & (F.col("n") < rows)).withColumn("chi2", chi2)
-    odds = (a + 0.5) * (d - n - t + a + 0.5) / ((n - a + 0.5) * (t - a + 0.5))
-    best = counts.filter((F.col("chi2") >= LEAST_CHI2) & (odds >= LEAST_ODDS)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS) if 0 < toxic < rows else counts.limit(0)
-    known = np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64).view(np.uint64))
-
-    held = docs.mapInArrow(partial(_doc_counts, known), "at long, n long").groupBy("at").agg(F.sum("n")).collect()
-    held = dict(map(tuple, held))
-    idf = np.log((1 + held.get(-1, 0)) / (1 + np.array([held.get(i, 0) for i in range(len(known))], np.float64))) + 1
-    examples = fitted.mapInArrow(partial(_examples, known, idf), "doc_id long, toxic int, terms array<long>, weights array<double>")
-    model = build_index([tuple(r) for r in examples.collect()], known, idf, stands)
+    some = fitted if 0 < toxic < rows else fitted.limit(0)
+    terms = some.mapInArrow(_class_counts, "term long, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).toArrow()
+    known, bad, n = (terms[c].to_numpy() for c in ("term", "bad", "n"))
+    order = np.argsort(known.view(np.uint64))
+    known = known.view(np.uint64)[order]
+
+    spark, groups = docs.sparkSession.sparkContext, shuffle_groups(docs)
+    terms = spark.broadcast(known)
+    held = docs.mapInArrow(partial(_doc_counts, terms, groups), packed_schema(HELD))
+    held = by_group(held, _add_up, "at long, n long").toArrow()
+    counts = np.zeros(len(known) + 1)
+    counts[held["at"].to_numpy()] = held["n"].to_numpy()
+    idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
+    idf = idf * relevance(bad[order], n[order], toxic, rows) if len(known) else idf
+    weighs = spark.broadcast(idf)
+    examples = fitted.mapInArrow(partial(_examples, terms, weighs), "doc_id long, toxic int, terms array<int>, weights array<double>").toArrow()
+    vectors = [e for b in examples.to_batches() for e in zip(b["doc_id"].to_pylist(), b["toxic"].to_pylist(), _lists(b["terms"]), _lists(b["weights"]), strict=True)]
+    model = build_index(vectors, known, idf, stands)
+    del examples, vectors
+    terms.destroy()
+    weighs.destroy()
     index = docs.sparkSession.sparkContext.broadcast(model)
     votes = fitted.join(fitted.mapInArrow(partial(_score_batches, index, True), SCORED), "doc_id").filter("known").select("raw", "toxic").collect()
     raw, label = (np.array([r[i] for r in votes], np.float64) for i in (0, 1))
-    model["steps"], model["shares"] = rising_steps(raw, label, stands) if len(raw) else (np.zeros(1), np.array([model["prior"]]))
-    return model
+    steps, shares = rising_steps(raw, label, stands) if len(raw) else (np.zeros(1), np.array([model["prior"]]))
+    return index, {"steps": steps, "shares": shares, "empty": model["empty"], "prior": model["prior"]}
 
 
 def calibrated(model: dict, votes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -258,9 +324,9 @@ def calibrated(model: dict, votes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known, model["shares"][at], model["empty"])
 
 
-def _calibrate(index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _calibrate(index, model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _score_batches(index, False, batches):
-        score = calibrated(index.value, batch["raw"].to_numpy(), batch["known"].to_numpy(zero_copy_only=False))
+        score = calibrated(model, batch["raw"].to_numpy(), batch["known"].to_numpy(zero_copy_only=False))
         yield pa.record_batch([batch["doc_id"], pa.array(score), batch["evidence"]], names=["doc_id", "score", "evidence"])
 
 
@@ -268,9 +334,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of docs.
 
     Terms are words of lower-cased letters and digits and their first 4 and 5
-    bytes; the vector space holds those that go with the label in the fitted
-    rows (chi-square and odds), weighed by TF-IDF with document counts over all
-    documents.  A text's 15 nearest examples by cosine vote with their squared
+    bytes; the vector space holds all of the fitted rows, weighed by TF-IDF with
+    document counts over all documents, and by the label's odds with a term: plain
+    TF-IDF lets long texts' chance words outweigh a toxic phrase.  A text's 15 nearest examples by cosine vote with their squared
     similarity; votes are turned into shares of toxic rows on the examples
     themselves, each judged without itself.  evidence lists the nearest
     examples.  predicted is 1 from a score of 0.3.
@@ -288,22 +354,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held out.  Without labels of both classes every score is their share.
     Repeated rows are scored alike.
     """
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    scored = long_id(docs).mapInArrow(partial(_calibrate, index), "doc_id long, score double, evidence array<long>")
+    index, model = fit(docs, labels)
+    scored = long_id(docs).mapInArrow(partial(_calibrate, index, model), "doc_id long, score double, evidence array<long>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"), "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score under 0.3, all columns kept."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return map_rows(docs, "text", partial(_keep_clean, index))
+    index, model = fit(docs, labels)
+    return map_rows(docs, "text", partial(_keep_clean, index, model))
 
 
-def _keep_clean(index, text: pa.Array, columns: list[pa.Array]) -> list[pa.Array]:
+def _keep_clean(index, model: dict, text: pa.Array, columns: list[pa.Array]) -> list[pa.Array]:
     keep = np.ones(len(text), bool)
     for at, data, offsets in slices(text):
         count = len(offsets) - 1
         votes, known, _ = _score(index.value, False, data, offsets, [None] * count)
-        keep[at : at + count] = calibrated(index.value, votes, known) < REJECT
+        keep[at : at + count] = calibrated(model, votes, known) < REJECT
     return [c.filter(pa.array(keep)) for c in columns]
