@@ -125,6 +125,16 @@ def test_contamination_in_blocks(spark, docs, monkeypatch):
     assert kept.columns == docs(EDGES).columns
 
 
+def test_contamination_in_blocks_row_by_row(spark, docs, monkeypatch):
+    """Rows with null or repeated ids are judged each by its own text, as in a single block."""
+    rows = [*EDGES, NULL_ID, (None, "see: SHORT, item; here."), (None, None), (17, "clean"), (17, prose(3, 30)), (17, prose(3, 30) + " two words x")]
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    judged = lambda: sorted(map(str, decontaminate.contamination(docs(rows), items(spark)).select(*columns).collect()))
+    whole = judged()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    assert judged() == whole and len(whole) == len(rows)
+
+
 def test_contamination_longest_matches(spark, docs):
     text = "before " + " ".join(prose(3, 30).split()[4:25]) + " after"
     (row,) = decontaminate.matches(docs([(1, text)]), items(spark, [(100, prose(3, 30))])).collect()

@@ -201,7 +201,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     Every slice of the documents is a shard with a suffix array of its own,
     sorted by prefix doubling; every test suffix is searched in every shard.
     Nothing is shuffled.  Test items beyond 32 MB of text are searched in
-    blocks, one after another, so that what is broadcast stays bounded.  Words
+    blocks, one after another, each adding its spans to every row, so that what is
+    sent for one block stays bounded.  Words
     are compared by number; matches are then compared as bytes.
 
     Null and empty texts have no words and match nothing; a null item_id keeps
@@ -209,21 +210,33 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     """
     docs = long_id(docs)
     schema = f"doc_id long, n_words long, n_hit long, spans {SPANS}"
-    parts = [docs.mapInArrow(partial(_spans, index), schema) for index in _blocks(items, window)]
-    if len(parts) == 1:
-        return parts[0]
-    return _together(docs, [written(p) for p in parts])
-
-
-def _together(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """Spans of several blocks as one list per document; rows that repeat a doc_id have one list."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    one = F.array_distinct(F.flatten(F.collect_list("spans")))
-    out = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), one.alias("spans"))
-    inside = F.transform("spans", lambda s: F.sequence(s["doc_start"], s["doc_start"] + s["length"] - 1))
-    return out.select("doc_id", "n_words", F.size(F.array_distinct(F.flatten(inside))).cast("long").alias("n_hit"), "spans")
+    first, *more = _blocks(items, window)
+    if not more:
+        return docs.mapInArrow(partial(_spans, first), schema)
+    found = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "spans": F.array().cast(SPANS)})
+    for index in (first, *more):
+        found = written(found.mapInArrow(partial(_more_spans, index), f"doc_id long, text string, n_words long, n_hit long, spans {SPANS}"))
+    return found.drop("text")
+
+
+def _more_spans(index: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with this block's spans after those of the blocks before."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = pa.Table.from_batches(list(_spans(index, [batch])))
+        old = batch["spans"]
+        new = found["spans"].combine_chunks().cast(old.type)
+        row = np.concatenate([np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())) for x in (old, new)])
+        spans = pa.concat_arrays([old.flatten(), new.flatten()]).take(pa.array(np.argsort(row, kind="stable")))
+        ends = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows)))
+        n_words, hit = found["n_words"].to_numpy(), np.zeros(batch.num_rows, np.int64)
+        starts, lengths = (spans.field(c).to_numpy(zero_copy_only=False) for c in ("doc_start", "length"))
+        for d in np.flatnonzero(np.diff(ends)):
+            some = slice(ends[d], ends[d + 1])
+            hit[d] = covered(starts[some], lengths[some], int(n_words[d])).sum()
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
+        yield pa.record_batch([batch["doc_id"], batch["text"], pa.array(n_words), pa.array(hit), lists], names=["doc_id", "text", "n_words", "n_hit", "spans"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
