@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 1_000_000
+_local_folders: dict[str, str] = {}  # temporary folder of each local application that names none
 
 
 def local_session(cores: int | str = 8, app: str = "zygospark") -> SparkSession:
@@ -42,15 +43,17 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
 def _shared_folder(spark: SparkSession) -> str:
     """Folder all executors share: the session's `spark.checkpoint.dir`.
 
-    Only a local session without one gets a temporary folder.
+    Only a local session without one gets a temporary folder, one per application.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        shared = tempfile.mkdtemp(prefix="zygospark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    if shared is not None:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="zygospark-checkpoint-")
+    return _local_folders[app]
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
