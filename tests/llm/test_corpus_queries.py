@@ -27,7 +27,7 @@ def test_query(spark, con, name):
 
 def test_registered():
     assert {"pipeline", *QUERIES} <= set(entry.queries())
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):

@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from zygospark.llm.collocations import collocations
+from zygospark.llm.conversation_repair import repair_conversations
 from zygospark.llm.decontaminate import contamination
 from zygospark.llm.line_dedup import dedup_lines
 from zygospark.llm.minhash_dedup import near_duplicates
 from zygospark.llm.mixing import MIX_COUNTS_SQL, mix_counts
-from zygospark.llm.oracle_sql import CONTAMINATION, NEAR_DUPLICATES, QUALITY, REMOVED_REPEATS
+from zygospark.llm.oracle_sql import COLLOCATIONS, CONTAMINATION, CONVERSATIONS, NEAR_DUPLICATES, QUALITY, REMOVED_REPEATS, TOP_PRODUCTS
 from zygospark.llm.quality import judge
 from zygospark.llm.substring_dedup import remove_repeats
 from zygospark.llm.suffix_tree_lm import score_texts
 from zygospark.llm.token_files import count_tokens
+from zygospark.llm.topk_search import exact_top_k
 from zygospark.llm.toxicity import score_toxicity
 from zygospark.llm.url_filter import judge_urls
 
@@ -65,6 +69,18 @@ def op10_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_counts(table(spark, sf, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(table(spark, sf, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_conversations(table(spark, sf, "conversations"))
+
+
+def op13_exact_topk_search(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -76,6 +92,9 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_exact_topk_search": op13_exact_topk_search,
 }
 #: Tokenizers, classifiers and language models have no SQL form, fuzzy lines are too slow in SQL; tests/llm holds these against brute force.
 ORACLES: dict[str, str] = {
@@ -84,4 +103,7 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": QUALITY,
     "op8_benchmark_decontamination": CONTAMINATION,
     "op10_mix_sources": MIX_COUNTS_SQL,
+    "op11_phrase_collocations": COLLOCATIONS,
+    "op12_conversation_repair": CONVERSATIONS,
+    "op13_exact_topk_search": TOP_PRODUCTS,
 }
