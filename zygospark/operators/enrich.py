@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zygospark.functions.genotype import array_zygosity
 from zygospark.functions.naming import contig_ord
-from zygospark.operators.rsids import first_per_rs, name_positions, reference_bases
+from zygospark.operators.rsids import Coords, first_per_rs, name_positions, reference_bases
 from zygospark.session import checked_broadcast
 from zygospark.sources.rsid_tables import CURATED_IDS
 
@@ -15,7 +15,7 @@ from zygospark.sources.rsid_tables import CURATED_IDS
 def enrich_arrays(
     calls: DataFrame,
     kits: DataFrame,
-    coords: DataFrame | None = None,
+    coords: Coords = None,
     reference: DataFrame | None = None,
     split: bool = True,
 ) -> DataFrame:
@@ -39,7 +39,7 @@ def enrich_arrays(
     return _enriched(rows, coords, reference).select(*columns)
 
 
-def _enriched(rows: DataFrame, coords: DataFrame | None, reference: DataFrame | None) -> DataFrame:
+def _enriched(rows: DataFrame, coords: Coords, reference: DataFrame | None) -> DataFrame:
     at = name_positions(rows, coords, "_build", "_at")
     if coords is None:
         at = at.withColumn("_own", F.lit(None).cast("struct<rsid:string,ref:string,alt:array<string>>"))

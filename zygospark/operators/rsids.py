@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,39 @@ from zygospark.sources.fasta import CHUNK
 from zygospark.sources.rsid_tables import CURATED_IDS, curated_coords
 
 
-def first_per_rs(coords: DataFrame) -> DataFrame:
-    """dbSNP record an rs number resolves to: the first by (contig, pos)."""
-    db = coords.filter(F.col("source") == "dbsnp")
+@dataclass
+class CoordTables:
+    """dbSNP coordinates cut down to the rows that answer: one per (build, rs number), one per (build, place).
+
+    Stored once at import (`store.write_rsid_coords`), so that no query has to find
+    the first records again; every operator takes them in place of the raw rows.
+    """
+
+    by_rs: DataFrame  # build, rs_num, contig_ord, pos, ref, alt
+    by_pos: DataFrame  # build, contig_ord, pos, rs_num, ref, alt
+
+
+Coords = DataFrame | CoordTables | None
+
+
+def first_per_rs(coords: DataFrame | CoordTables, only: DataFrame | None = None) -> DataFrame:
+    """dbSNP record an rs number resolves to: the first by (contig, pos); `only` lists the numbers asked, if they are few."""
+    stored = isinstance(coords, CoordTables)
+    db = coords.by_rs if stored else coords.filter(F.col("source") == "dbsnp")
+    db = db if only is None else db.join(F.broadcast(only), "rs_num", "left_semi")
+    if stored:
+        return db.select("build", "rs_num", "contig_ord", "pos", "ref", "alt")
     best = db.groupBy("build", "rs_num").agg(F.min(F.struct("contig_ord", "pos", "ref", "alt")).alias("b"))
     return best.select("build", "rs_num", "b.*")
 
 
-def first_per_position(coords: DataFrame) -> DataFrame:
-    """dbSNP record a position resolves to: the lowest rs number."""
-    db = coords.filter(F.col("source") == "dbsnp")
+def first_per_position(coords: DataFrame | CoordTables, only: DataFrame | None = None) -> DataFrame:
+    """dbSNP record a position resolves to: the lowest rs number; `only` lists the places asked, if they are few."""
+    stored = isinstance(coords, CoordTables)
+    db = coords.by_pos if stored else coords.filter(F.col("source") == "dbsnp")
+    db = db if only is None else db.join(F.broadcast(only), ["contig_ord", "pos"], "left_semi")
+    if stored:
+        return db.select("build", "contig_ord", "pos", "rs_num", "ref", "alt")
     best = db.groupBy("build", "contig_ord", "pos").agg(F.min(F.struct("rs_num", "ref", "alt")).alias("b"))
     return best.select("build", "contig_ord", "pos", "b.*")
 
@@ -41,7 +66,7 @@ def _coord(rsid: Column, chrom: Column, pos: Column, ref: Column, alt: Column, s
 
 
 def resolve_rsids(
-    queries: DataFrame, coords: DataFrame | None, build: str = "build", into: str = "coord", small: bool = False
+    queries: DataFrame, coords: Coords, build: str = "build", into: str = "coord", small: bool = False
 ) -> DataFrame:
     """Queries (rsid, build, ...) plus a coordinate struct, null when unknown.
 
@@ -64,9 +89,7 @@ def resolve_rsids(
     # keeps them from piling up on one null key.
     number = F.when(~F.col("rsid").isin(CURATED_IDS), rs_number("rsid"))
     out = out.withColumn("_rs", F.coalesce(number, -1 - F.abs(F.xxhash64("rsid") % (1 << 40))))
-    if small:
-        coords = coords.join(F.broadcast(out.select(F.col("_rs").alias("rs_num")).distinct()), "rs_num", "left_semi")
-    db = first_per_rs(coords).alias("d")
+    db = first_per_rs(coords, out.select(F.col("_rs").alias("rs_num")).distinct() if small else None).alias("d")
     out = out.alias("q").join(db, (F.col(f"q.{build}") == F.col("d.build")) & (F.col("q._rs") == F.col("d.rs_num")), "left")
     found = F.when(
         F.col("d.pos").isNotNull(),
@@ -83,7 +106,7 @@ def resolve_rsids(
 
 
 def resolve_across_builds(
-    queries: DataFrame, coords: DataFrame | None, blocks: DataFrame | None, build: str = "build", small: bool = False
+    queries: DataFrame, coords: Coords, blocks: DataFrame | None, build: str = "build", small: bool = False
 ) -> DataFrame:
     """resolve_rsids with fallback to the other build's entry, lifted over.
 
@@ -109,8 +132,9 @@ def resolve_across_builds(
         F.col("_other"),
         F.col(build).alias("_own"),
         far.alias("far"),
-        far.chrom.alias("chrom"),
-        far.pos.alias("pos"),
+        # Rows that need no lift get keys that meet nothing, spread so that they do not pile up on one.
+        F.coalesce(far.chrom, F.concat(F.lit("-"), F.pmod(F.xxhash64(*keep), F.lit(4096)).cast("string"))).alias("chrom"),
+        F.coalesce(far.pos, F.lit(1).cast("bigint")).alias("pos"),
     )
     up = lift_best(flat, blocks, F.col("_other"), F.col("_own"))
     moved = F.when(
@@ -135,7 +159,7 @@ def resolve_across_builds(
 
 
 def name_positions(
-    points: DataFrame, coords: DataFrame | None, build: str = "build", into: str = "named", small: bool = False
+    points: DataFrame, coords: Coords, build: str = "build", into: str = "named", small: bool = False
 ) -> DataFrame:
     """Points (chrom, pos, build, ...) plus the coordinate known at that place, null when none."""
     keep = points.columns
@@ -155,10 +179,8 @@ def name_positions(
     if coords is None:
         return out.withColumnRenamed("_cur", into)
     out = out.withColumn("_ord", F.coalesce(contig_ord("chrom"), F.lit(-1)))
-    if small:
-        places = out.select(F.col("_ord").alias("contig_ord"), "pos").distinct()
-        coords = coords.join(F.broadcast(places), ["contig_ord", "pos"], "left_semi")
-    db = first_per_position(coords).alias("d")
+    places = out.select(F.col("_ord").alias("contig_ord"), "pos").distinct() if small else None
+    db = first_per_position(coords, places).alias("d")
     out = out.alias("q").join(
         db,
         (F.col(f"q.{build}") == F.col("d.build"))
@@ -201,7 +223,7 @@ def reference_bases(
 
 def site_reference(
     points: DataFrame,
-    coords: DataFrame | None,
+    coords: Coords,
     reference: DataFrame | None,
     needed: Column,
     hint: Column,
@@ -222,5 +244,5 @@ def site_reference(
     return rest.withColumn(into, F.coalesce(hint, F.when(needed, F.coalesce("_named.ref", "_base")))).drop("_named", "_base")
 
 
-def _looked_up(points: DataFrame, coords: DataFrame | None, reference: DataFrame | None, build: str) -> DataFrame:
+def _looked_up(points: DataFrame, coords: Coords, reference: DataFrame | None, build: str) -> DataFrame:
     return reference_bases(name_positions(points, coords, build, "_named"), reference, build, "_base")

@@ -39,7 +39,7 @@ ARRAY_MALE_X, ARRAY_MALE_Y, ARRAY_FEMALE_X, ARRAY_FEMALE_Y = 0.03, 0.5, 0.08, 0.
 VCF_MALE_X, VCF_MALE_Y, VCF_FEMALE_X, VCF_FEMALE_Y = 0.25, 0.02, 0.4, 0.01
 
 
-def _zygosity_tallies() -> list[Column]:
+def zygosity_tallies() -> list[Column]:
     z = F.col("zygosity")
     return [
         F.count("*").alias("records"),
@@ -49,7 +49,7 @@ def _zygosity_tallies() -> list[Column]:
 
 
 def zygosity_counts(calls: DataFrame) -> DataFrame:
-    return calls.groupBy("kit").agg(*_zygosity_tallies())
+    return calls.groupBy("kit").agg(*zygosity_tallies())
 
 
 def _sex_tallies(usable: Column) -> list[Column]:
@@ -175,16 +175,19 @@ def caveats(counts: DataFrame, sexes: DataFrame, kits: DataFrame) -> DataFrame:
 
 
 def summarize(calls: DataFrame, kits: DataFrame) -> DataFrame:
-    """One summary row per kit: counts, by_chrom map, sex struct, caveats.
+    """One summary row per kit, kits without calls included: counts, by_chrom map, sex struct, caveats.
 
     One scan and one aggregate of the calls; all else is per kit.
     """
     meta = checked_broadcast(kits.select(F.col("id").alias("kit"), "build", "assay", "ref_calls", "source_format"))
-    facts = [F.first(c).alias(c) for c in ("build", "assay", "ref_calls", "source_format")]
     main = contig_ord("chrom").isNotNull()
     chroms = {c: F.count_if(F.col("chrom") == c) for c in PRIMARY_CHROMS} | {OTHER_CONTIGS: F.count_if(~main)}
     by_chrom = F.create_map(*[x for c, n in chroms.items() for x in (F.lit(c), n)])
-    rows = calls.join(meta, "kit").groupBy("kit").agg(*facts, *_zygosity_tallies(), *_sex_tallies(~F.col("ref_block")), by_chrom.alias("by_chrom"))
+    found = calls.join(meta.select("kit", "build"), "kit").groupBy("kit")
+    found = found.agg(*zygosity_tallies(), *_sex_tallies(~F.col("ref_block")), by_chrom.alias("by_chrom"))
+    none = F.create_map(*[x for c in chroms for x in (F.lit(c), F.lit(0).cast("bigint"))])
+    empty = {c: F.coalesce(c, none if c == "by_chrom" else F.lit(0).cast("bigint")) for c in found.columns if c != "kit"}
+    rows = meta.join(found, "kit", "left").withColumns(empty)
     sex = F.struct(F.col("sex").alias("call"), "x_het_rate", "y_call_rate", "method", "x_sites", "y_sites")
     counts = ["kit", "records", *ZYGOSITY_COUNTS, "ref_blocks"]
     return infer_sex(rows).select(*counts, "by_chrom", sex.alias("sex"), _caveats(F.col("assay") == "array").alias("caveats"))
