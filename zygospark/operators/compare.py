@@ -15,6 +15,7 @@ from zygospark.functions.naming import contig_ord, is_primary
 from zygospark.operators.enrich import enrich_arrays
 from zygospark.operators.liftover import apply_lift, lift_best
 from zygospark.operators.lookup import INFERRED_WARNING, LIFT_TYPE
+from zygospark.operators.ordering import rank_rows
 from zygospark.operators.rsids import site_reference
 from zygospark.schema import ABSENT_MEANS_REF, HOM_REF, INFERRED_REF, OBSERVED, UNKNOWN_BUILD
 from zygospark.session import BROADCAST_ROWS, written
@@ -44,8 +45,8 @@ class Plan:
     same: bool  # some pairs share a build
     lift: bool
     arrays: bool  # some A kit is an array
-    a_shared: bool  # A kits take part in several pairs
-    b_shared: bool
+    dense: bool  # most combinations of an A kit and a B kit are pairs
+    n_pairs: int
 
     def hint(self, df: DataFrame) -> DataFrame:
         """Broadcast a table with at most one row per pair, when the pairs are few."""
@@ -71,14 +72,13 @@ def describe_pairs(pairs: DataFrame, kits: DataFrame) -> Plan:
         F.bool_or(~differ).alias("same"),
         F.bool_or(differ).alias("lift"),
         F.bool_or(F.col("a_assay") == "array").alias("arrays"),
-        (F.count_distinct("a") < F.count("*")).alias("a_shared"),
-        (F.count_distinct("b", "a_build") < F.count("*")).alias("b_shared"),
+        (F.count_distinct("a") * F.count_distinct("b") <= F.count("*") * 4).alias("dense"),
         F.min(F.when(clash, names)).alias("clash"),
     ).first()
     if facts.clash:
         raise ValueError(f"cannot compare {facts.clash}: unknown build")
-    flags = {k: bool(facts[k]) for k in ("a_infer", "b_infer", "same", "lift", "arrays", "a_shared", "b_shared")}
-    return Plan(out.drop("a_assay", "b_assay"), facts.n <= BROADCAST_ROWS, **flags)
+    flags = {k: bool(facts[k]) for k in ("a_infer", "b_infer", "same", "lift", "arrays", "dense")}
+    return Plan(out.drop("a_assay", "b_assay"), facts.n <= BROADCAST_ROWS, n_pairs=facts.n, **flags)
 
 
 def _in_region(region: tuple[str, int, int] | None) -> Column:
@@ -124,7 +124,7 @@ def _a_rows(calls, kits, plan: Plan, coords, reference, region) -> DataFrame:
     rows = _with_reference(rows, coords, reference, plan.a_infer)
     rows = rows.withColumn("key", snv_key("genotype", "zygosity"))
     return rows.select(
-        "kit", "chrom", "pos", "at", "key", "site_ref",
+        "kit", "a_build", "chrom", "pos", "at", "key", "site_ref",
         verdict(F.col("key"), _ref_key("site_ref")).alias("inf"),
     )
 
@@ -163,74 +163,75 @@ def _b_rows(calls, plan: Plan, blocks, coords, reference, region) -> DataFrame:
     )
 
 
-def _sites(a_rows: DataFrame, b_rows: DataFrame, plan: Plan) -> DataFrame:
-    """One row per (pair, chrom, pos) with the first A record, the last B record and verdict sums.
+def _reduced(a_rows: DataFrame, b_rows: DataFrame, detail: bool) -> tuple[DataFrame, DataFrame]:
+    """Each side once per (kit, build, place): A with its first record and sums, B with its last record.
 
-    Both sides are reduced by map-side aggregates before their shuffle, so many
-    records at one place cost one row.  Kits that take part in several pairs are
-    reduced once and then spread over their pairs; a kit of a single pair is
-    reduced on the join keys, which leaves it partitioned and sorted for the join.
+    Map-side aggregates make a crowded place cost one row.  The results are narrow
+    tables of kits and places, whatever the number of pairs, and are written, since
+    totals and matches both read them.  `detail` keeps what a listing needs.
     """
-    pairs = plan.pairs
-    flat = [c for c in a_rows.columns if c not in ("kit", "chrom", "pos")]
-    a_sums = [
-        F.min_by(F.struct(*flat), "at").alias("a1"),
-        F.count("*").alias("n_a"),
-        F.count_if(F.col("inf") == CONCORDANT).alias("conc_a"),
-        F.count_if(F.col("inf") == DISCORDANT).alias("disc_a"),
-    ]
-    a_pairs = plan.hint(pairs.select("a", "b"))
-    if plan.a_shared:
-        a = a_rows.groupBy("kit", "chrom", "pos").agg(*a_sums).withColumnRenamed("kit", "a").join(a_pairs, "a")
-    else:
-        a = a_rows.withColumnRenamed("kit", "a").join(a_pairs, "a").groupBy(*SITE).agg(*a_sums)
-    flat = [c for c in b_rows.columns if c not in ("kit", "a_build", "chrom", "pos")]
-    b_sums = [F.max_by(F.struct(*flat), "at").alias("b1"), F.count("*").alias("n_b")]
-    b_pairs = plan.hint(pairs.select("a", "b", "a_build"))
-    if plan.b_shared:
-        b = b_rows.groupBy("kit", "a_build", "chrom", "pos").agg(*b_sums).withColumnRenamed("kit", "b")
-        b = b.join(b_pairs, ["b", "a_build"]).drop("a_build")
-    else:
-        b = b_rows.withColumnRenamed("kit", "b").join(b_pairs, ["b", "a_build"]).groupBy(*SITE).agg(*b_sums)
-    sites = a.join(b, SITE, "full_outer").join(plan.hint(pairs.select("a", "b", "a_absent", "b_absent")), ["a", "b"])
-    has_a, has_b = F.col("a1").isNotNull(), F.col("b1").isNotNull()
-    primary = is_primary("chrom")
-    both = has_a & has_b
-    first = F.col("a1.inf")
-    left = F.when(both, F.col("n_a") - 1).otherwise(F.coalesce("n_a", F.lit(0)))
-    return sites.withColumns(
-        {
-            "unlifted": F.when(F.col("chrom").isNull(), F.col("n_b")).otherwise(F.lit(0)),
-            "met": F.when(both, verdict(F.col("a1.key"), F.col("b1.key"))),
-            "b_only": F.when(~has_a & has_b & F.col("a_absent") & primary, F.col("b1.inf")),
-            # A records that no B record answered, judged against B's implied reference.
-            "left_n": F.when(F.col("b_absent") & primary, left).otherwise(F.lit(0)),
-        }
-    ).withColumns(
-        {
-            "left_conc": F.when(F.col("left_n") > 0, F.col("conc_a") - F.when(both & (first == CONCORDANT), 1).otherwise(0)).otherwise(0),
-            "left_disc": F.when(F.col("left_n") > 0, F.col("disc_a") - F.when(both & (first == DISCORDANT), 1).otherwise(0)).otherwise(0),
-        }
+    more = ["at", "site_ref"] if detail else []
+    a = a_rows.groupBy("kit", "a_build", "chrom", "pos").agg(
+        F.min_by(F.struct("key", "inf", *more), "at").alias("r"),
+        F.count("*").alias("n"),
+        F.count_if(F.col("inf") == CONCORDANT).alias("conc"),
+        F.count_if(F.col("inf") == DISCORDANT).alias("disc"),
     )
+    more += ["turned"] if detail else []
+    b = b_rows.groupBy("kit", "a_build", "chrom", "pos").agg(F.max_by(F.struct("key", "inf", *more), "at").alias("r"), F.count("*").alias("n"))
+    a = a.select(F.col("kit").alias("a"), "a_build", "chrom", "pos", "r.*", "n", "conc", "disc")
+    return written(a), written(b.select(F.col("kit").alias("b"), "a_build", "chrom", "pos", "r.*", "n"))
 
 
-def _tally(sites: DataFrame, described: DataFrame) -> DataFrame:
-    def one(value: int) -> Column:
-        return F.sum(
-            F.when(F.col("met") == value, 1).otherwise(0) + F.when(F.col("b_only") == value, 1).otherwise(0)
-        )
+def _matched(a: DataFrame, b: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b, chrom, pos, x, y): places where both kits of a pair have records; x and y are the two rows.
 
-    sums = sites.groupBy("a", "b").agg(
-        (one(CONCORDANT) + F.sum("left_conc")).alias("concordant"),
-        (one(DISCORDANT) + F.sum("left_disc")).alias("discordant"),
-        (F.sum("left_n") + F.count("b_only")).alias("inferred_ref_sites"),
-        (one(SKIPPED) + F.sum(F.col("left_n") - F.col("left_conc") - F.col("left_disc"))).alias("skipped_sites"),
-        F.sum("unlifted").alias("unlifted_sites"),
+    Where most kits meet most others, places are joined once and the combinations
+    at a place are cut down to pairs; few pairs are spread over A's rows instead.
+    """
+    pairs = plan.pairs.select("a", "b", "a_build")
+    place = ["a_build", "chrom", "pos"]
+    x = a.select("a", *place, F.struct(*[c for c in a.columns if c not in ("a", *place)]).alias("x"))
+    y = b.select("b", *place, F.struct(*[c for c in b.columns if c not in ("b", *place)]).alias("y"))
+    if plan.dense:
+        return x.join(y, place).join(plan.hint(pairs), ["a", "b", "a_build"]).select(*SITE, "x", "y")
+    return x.join(plan.hint(pairs), ["a", "a_build"]).join(y, ["b", *place]).select(*SITE, "x", "y")
+
+
+def _tally(a: DataFrame, b: DataFrame, plan: Plan) -> DataFrame:
+    """Counts per pair: matches are counted, and what a kit has beside its matches is its total less the matched part."""
+    primary = is_primary("chrom")
+    met = verdict(F.col("x.key"), F.col("y.key"))
+    names = {CONCORDANT: "conc", DISCORDANT: "disc", SKIPPED: "skip"}
+    counts = [F.count_if(met == v).alias(f"met_{n}") for v, n in names.items()]
+    counts += [F.count_if(primary & (F.col(f"{side}.inf") == v)).alias(f"{side}_{n}") for side in "xy" for v, n in names.items()]
+    matched = _matched(a, b, plan).groupBy("a", "b").agg(*counts)
+    a_total = a.filter(primary).groupBy("a").agg(F.sum("n").alias("a_n"), F.sum("conc").alias("a_conc"), F.sum("disc").alias("a_disc"))
+    b_total = b.groupBy("b", "a_build").agg(
+        F.sum(F.when(F.col("chrom").isNull(), F.col("n"))).alias("unlifted_sites"),
+        *[F.count_if(primary & (F.col("inf") == v)).alias(f"b_{n}") for v, n in names.items()],
     )
-    counts = ["concordant", "discordant", "inferred_ref_sites", "skipped_sites", "unlifted_sites"]
-    out = described.join(sums, ["a", "b"], "left").select(
+    out = plan.pairs.join(a_total, "a", "left").join(b_total, ["b", "a_build"], "left").join(matched, ["a", "b"], "left")
+    n = {c: F.coalesce(c, F.lit(0)) for c in out.columns if c not in plan.pairs.columns}
+
+    def left(total: str, *matched: str) -> Column:
+        """A's records that no B record answered, judged against B's implied reference."""
+        return F.when(F.col("b_absent"), reduce(lambda x, c: x - n[c], matched, n[total])).otherwise(F.lit(0))
+
+    def only_b(kind: str) -> Column:
+        return F.when(F.col("a_absent"), n[f"b_{kind}"] - n[f"y_{kind}"]).otherwise(F.lit(0))
+
+    left_n, left_conc, left_disc = left("a_n", "x_conc", "x_disc", "x_skip"), left("a_conc", "x_conc"), left("a_disc", "x_disc")
+    sums = {
+        "concordant": n["met_conc"] + left_conc + only_b("conc"),
+        "discordant": n["met_disc"] + left_disc + only_b("disc"),
+        "inferred_ref_sites": left_n + only_b("conc") + only_b("disc") + only_b("skip"),
+        "skipped_sites": n["met_skip"] + left_n - left_conc - left_disc + only_b("skip"),
+        "unlifted_sites": n["unlifted_sites"],
+    }
+    out = out.select(
         "a", "b", F.col("a_build").alias("build"), (F.col("a_build") != F.col("b_build")).alias("lifted"),
-        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+        *[c.cast("bigint").alias(name) for name, c in sums.items()],
     )
     overlap = F.col("concordant") + F.col("discordant")
     ratio = F.when(overlap > 0, round_places(F.col("concordant") / overlap, 6)).otherwise(F.lit(0.0))
@@ -244,19 +245,30 @@ def compare_tallies(
     plan = describe_pairs(pairs, kits)
     a = _a_rows(calls, kits, plan, coords, reference, region)
     b = _b_rows(calls, plan, chain_blocks, coords, reference, region)
-    return _tally(_sites(a, b, plan), plan.pairs)
-
-
-def _more_a_records(a_rows: DataFrame, sites: DataFrame, plan: Plan) -> DataFrame | None:
-    """A records beyond the first at a place that disagree with B's implied reference."""
-    repeated = a_rows.groupBy("kit", "chrom", "pos").agg(F.count("*").alias("n")).filter("n > 1")
+    return _tally(*_reduced(a, b, detail=False), plan)
+
+
+def _picks(a: DataFrame, b: DataFrame, a_rows: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b, chrom, pos, a_at, b_at, letter, turned) of every discordant site: among matches, of A alone, of B alone."""
+    nowhere = F.lit(None).cast(a.schema["at"].dataType)
+    met = _matched(a, b, plan).filter(verdict(F.col("x.key"), F.col("y.key")) == DISCORDANT)
+    met = met.select(*SITE, F.col("x.at").alias("a_at"), F.col("y.at").alias("b_at"), F.coalesce("x.site_ref", "y.site_ref").alias("letter"), F.col("y.turned").alias("turned"))
+    # Only records that disagree with the implied reference are spread over pairs.
+    pairs = plan.pairs.select("a", "b", "a_build", "a_absent", "b_absent")
+    wrong = is_primary("chrom") & (F.col("inf") == DISCORDANT)
+    of_a = F.col("at").alias("a_at"), nowhere.alias("b_at"), F.col("site_ref").alias("letter"), F.lit(False).alias("turned")
+    alone = a.filter(wrong).join(plan.hint(pairs.filter("b_absent")), ["a", "a_build"])
+    alone = alone.join(b.select("b", "a_build", "chrom", "pos"), ["b", "a_build", "chrom", "pos"], "left_anti").select(*SITE, *of_a)
+    only = b.filter(wrong).join(plan.hint(pairs.filter("a_absent")), ["b", "a_build"])
+    only = only.join(a.select("a", "a_build", "chrom", "pos"), ["a", "a_build", "chrom", "pos"], "left_anti")
+    only = only.select(*SITE, nowhere.alias("a_at"), F.col("at").alias("b_at"), F.col("site_ref").alias("letter"), "turned")
+    picks = met.unionByName(alone).unionByName(only)
+    # Records of A beyond the first at their place are not answered by B.
+    repeated = a.filter("n > 1").select("a", "a_build", "chrom", "pos", F.col("at").alias("first_at"))
     if repeated.isEmpty():
-        return None
-    places = sites.filter((F.col("n_a") > 1) & (F.col("left_disc") > 0)).select(*SITE, F.col("a1.at").alias("first_at"))
-    rows = a_rows.withColumnRenamed("kit", "a").join(plan.hint(plan.pairs.select("a", "b")), "a").join(places, SITE)
-    rows = rows.filter(F.when(F.col("at") != F.col("first_at"), F.col("inf")) == DISCORDANT)
-    return rows.select(*SITE, F.col("at").alias("a_at"), F.lit(None).cast(rows.schema["at"].dataType).alias("b_at"),
-                       F.col("site_ref").alias("letter"), F.lit(False).alias("turned"))
+        return picks
+    later = a_rows.filter(wrong).withColumnRenamed("kit", "a").join(repeated, ["a", "a_build", "chrom", "pos"]).filter(F.col("at") != F.col("first_at"))
+    return picks.unionByName(later.join(plan.hint(pairs.filter("b_absent")), ["a", "a_build"]).select(*SITE, *of_a))
 
 
 def discordant_sites(
@@ -270,32 +282,22 @@ def discordant_sites(
     """
     plan = describe_pairs(pairs, kits)
     a_rows = _a_rows(calls, kits, plan, coords, reference, region)
-    b_rows = _b_rows(calls, plan, chain_blocks, coords, reference, region)
-    sites = _sites(a_rows, b_rows, plan)
-    met = F.col("met") == DISCORDANT
-    alone = F.col("met").isNull() & (F.col("left_n") > 0) & (F.col("a1.inf") == DISCORDANT)
-    only_b = F.col("b_only") == DISCORDANT
-    picks = sites.filter(F.coalesce(met, F.lit(False)) | F.coalesce(alone, F.lit(False)) | F.coalesce(only_b, F.lit(False)))
-    picks = picks.select(
-        *SITE,
-        F.col("a1.at").alias("a_at"),
-        F.when(~alone | F.col("a1").isNull(), F.col("b1.at")).alias("b_at"),
-        F.coalesce("a1.site_ref", "b1.site_ref").alias("letter"),
-        F.coalesce("b1.turned", F.lit(False)).alias("turned"),
-    )
-    more = _more_a_records(a_rows, sites, plan)
-    if more is not None:
-        picks = picks.unionByName(more)
+    a, b = _reduced(a_rows, _b_rows(calls, plan, chain_blocks, coords, reference, region), detail=True)
+    picks = _picks(a, b, a_rows, plan)
     b_place = F.struct(
         F.coalesce(contig_ord("chrom"), F.lit(AFTER_PRIMARY)).alias("c"), F.col("chrom").alias("name"),
         F.col("pos").alias("p"), F.col("pos").alias("e"), F.lit(0).cast("bigint").alias("s"),
     )
-    place = F.struct(F.col("a_at").isNull().alias("b_side"), F.coalesce("a_at", b_place).alias("at"))
-    rank = F.row_number().over(W.partitionBy("a", "b").orderBy(place))
-    picks = picks.withColumn("n", rank)
-    if max_discordant is not None:
-        picks = picks.filter(F.col("n") <= max_discordant)
-    return _with_calls(picks, calls, kits, plan, coords, reference, max_discordant is not None and plan.small)
+    picks = picks.withColumn("_place", F.struct(F.col("a_at").isNull().alias("b_side"), F.coalesce("a_at", b_place).alias("at")))
+    if max_discordant is None:
+        # A whole list is ranked over a range sort; a pair's numbers begin at its first place.
+        ranked = rank_rows(picks, ["a", "b", "_place"])
+        begins = ranked.groupBy("a", "b").agg(F.min("row_no").alias("_first"))
+        picks = ranked.join(plan.hint(begins), ["a", "b"]).withColumn("n", (F.col("row_no") - F.col("_first") + 1).cast("int")).drop("row_no", "_first")
+    else:
+        rank = F.row_number().over(W.partitionBy("a", "b").orderBy("_place"))
+        picks = picks.withColumn("n", rank).filter(F.col("n") <= max_discordant)
+    return _with_calls(picks.drop("_place"), calls, kits, plan, coords, reference, max_discordant is not None and plan.n_pairs * max_discordant <= BROADCAST_ROWS)
 
 
 def _with_calls(picks: DataFrame, calls, kits, plan: Plan, coords, reference, few: bool) -> DataFrame:
