@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zygospark.functions.genotype import genotype_row, vcf_fields
 from zygospark.functions.naming import vcf_contig
+from zygospark.operators.enrich import enrich_arrays
 from zygospark.operators.ordering import COORDINATE_ORDER, page
+from zygospark.operators.rsids import Coords
 from zygospark.schema import OBSERVED
-from zygospark.session import checked_broadcast, small_table
+from zygospark.session import checked_broadcast, small_table, written
 
 VERSION = "VCFv4.2"
+#: (bits of a cell, least length) of regions that share a cell width.
+WIDTHS = [(14, 0), (20, 1 << 17)]
+BEYOND = 1 << 28  # past the longest contig; places from here on share the last cell
+LISTED = 1000  # regions whose contigs go into the scan as literals
+FEW = 10_000  # calls of a page that are enriched without sending others around them
+
+
+def _cells(first: Column, last: Column, shift: int) -> Column:
+    """Numbers of the cells of 2 ** shift positions from one place to another; the last cell has no end."""
+    cap = F.lit(BEYOND >> shift)
+    return F.sequence(F.least(F.shiftright(first, shift), cap), F.least(F.shiftright(last, shift), cap))
 
 
 def region_scan(calls: DataFrame, regions: DataFrame) -> DataFrame:
@@ -19,19 +34,53 @@ def region_scan(calls: DataFrame, regions: DataFrame) -> DataFrame:
 
     `regions` has (region_no, chrom, start, end).  A call in two regions comes
     back twice, and a block that starts before a region does not come back.
+
+    Short and long regions are cut into cells of their own width, and a call meets
+    the regions of its cell alone.  A call's place is in one cell of each width, so
+    nothing is exploded on its side.
     """
-    r = checked_broadcast(regions.select("region_no", F.col("chrom").alias("r_chrom"), F.col("start").alias("r_start"), F.col("end").alias("r_end")))
-    hit = calls.join(r, (F.col("chrom") == F.col("r_chrom")) & F.col("pos").between(F.col("r_start"), F.col("r_end")))
-    return hit.select("region_no", *calls.columns)
+    r = regions.select("region_no", F.col("chrom").alias("r_chrom"), F.col("start").cast("bigint").alias("r_start"), F.col("end").cast("bigint").alias("r_end"))
+    r = written(r.filter("r_start <= r_end"))
+    extent = r.agg(F.count("*").alias("n"), F.min("r_start").alias("lo"), F.max("r_end").alias("hi"), F.max(F.col("r_end") - F.col("r_start")).alias("longest"), F.min(F.col("r_end") - F.col("r_start")).alias("shortest")).first()
+    if extent.n == 0:
+        return calls.filter(F.lit(False)).select(F.lit(None).cast(regions.schema["region_no"].dataType).alias("region_no"), *calls.columns)
+    # The reach of the whole list goes into the scan.
+    near = calls.filter(F.col("pos").between(extent.lo, extent.hi))
+    if extent.n <= LISTED:
+        near = near.filter(F.col("chrom").isin([x.r_chrom for x in r.select("r_chrom").distinct().collect()]))
+    parts = []
+    for (shift, least), most in zip(WIDTHS, [w[1] - 1 for w in WIDTHS[1:]] + [None], strict=True):
+        if extent.longest < least or (most is not None and extent.shortest > most):
+            continue
+        of_width = (F.col("r_end") - F.col("r_start")) >= least
+        of_width = of_width if most is None else of_width & ((F.col("r_end") - F.col("r_start")) <= most)
+        cells = checked_broadcast(r.filter(of_width).withColumn("_cell", F.explode(_cells(F.col("r_start"), F.col("r_end"), shift))))
+        own = F.least(F.shiftright("pos", shift), F.lit(BEYOND >> shift))
+        hit = near.withColumn("_own", own).join(cells, (F.col("chrom") == F.col("r_chrom")) & (F.col("_own") == F.col("_cell")) & F.col("pos").between(F.col("r_start"), F.col("r_end")))
+        parts.append(hit.select("region_no", *calls.columns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def export_calls(
-    calls: DataFrame, regions: DataFrame | None = None, offset: int = 0, limit: int | None = None
+    calls: DataFrame,
+    regions: DataFrame | None = None,
+    offset: int = 0,
+    limit: int | None = None,
+    kits: DataFrame | None = None,
+    coords: Coords = None,
+    reference: DataFrame | None = None,
 ) -> DataFrame:
-    """Calls in export order: region by region, in coordinate order, then paged."""
-    if regions is None:
-        return page(calls, COORDINATE_ORDER, offset, limit)
-    return page(region_scan(calls, regions), ["region_no", *COORDINATE_ORDER], offset, limit)
+    """Calls in export order: region by region, in coordinate order, then paged, then enriched.
+
+    With `kits`, array calls of the page get the reference, alternates and id that
+    the coordinate table and the reference know; other calls stay as stored.
+    """
+    order = COORDINATE_ORDER if regions is None else ["region_no", *COORDINATE_ORDER]
+    rows = page(calls if regions is None else region_scan(calls, regions), order, offset, limit)
+    if kits is None:
+        return rows
+    few = limit is not None and limit <= FEW
+    return enrich_arrays(written(rows) if few else rows, kits, coords, reference, split=not few).orderBy(*order)
 
 
 def genotype_rows(calls: DataFrame, build: Column | str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from zygospark.operators import audit, catalog, export, ordering, vcf_jobs
+from zygospark.operators import audit, catalog, enrich, export, ordering, vcf_jobs
 from zygospark.plans import derived as D
 from zygospark.plans import oracle_views as V
 from zygospark.plans.registry import query
-from zygospark.schema import UNKNOWN_BUILD
-from zygospark.sinks.export import envelope, text_rows
+from zygospark.plans.sites import CURATED, ENRICHED, NAMED
+from zygospark.schema import U32_MAX, UNKNOWN_BUILD
+from zygospark.sinks.export import document_lines, text_rows
 
 
 def _with_build(spark, calls):
@@ -19,21 +20,23 @@ def _with_build(spark, calls):
 
 @query(
     "q_export_vcf_lines",
-    f"""{V.with_views(V.CALLS, V.KITS)},
-x AS (SELECT c.*, k.build, CASE WHEN c.kit = 'k1' THEN 'N' WHEN ref_block THEN c.ref ELSE c.ref END AS r,
-  CASE WHEN ref_block THEN '<*>' WHEN c.kit <> 'k1' THEN c.alt WHEN genotype = '--' THEN '.'
-       WHEN length(genotype) = 1 OR genotype[1] = genotype[2] THEN genotype[1] ELSE genotype[1] || ',' || genotype[2] END AS a,
-  CASE WHEN c.kit <> 'k1' THEN gt WHEN genotype = '--' THEN './.' WHEN length(genotype) = 1 THEN '1' WHEN genotype[1] = genotype[2] THEN '1/1' ELSE '1/2' END AS t
-  FROM g_calls c JOIN g_kits k USING (kit))
+    f"""{V.with_views(V.CALLS, V.KITS, V.COORDS, CURATED, NAMED, ENRICHED)},
+x AS (SELECT c.*, k.build, coalesce(c.ref, 'N') AS r FROM enriched c JOIN g_kits k USING (kit)),
+y AS (SELECT *, CASE WHEN ref_block THEN '<*>' WHEN kit <> 'k1' THEN alt WHEN genotype = '--' THEN '.'
+    ELSE coalesce(nullif(concat_ws(',', nullif(genotype[1], r), CASE WHEN length(genotype) = 2 AND genotype[2] <> genotype[1] THEN nullif(genotype[2], r) END), ''), '.') END AS a
+  FROM x),
+z AS (SELECT *, CASE WHEN kit <> 'k1' THEN gt WHEN genotype = '--' THEN './.'
+    ELSE array_to_string(list_transform(string_split(genotype, ''), lambda g: CASE WHEN g = r THEN 0 WHEN g = a[1] THEN 1 ELSE 2 END), '/') END AS t FROM y)
 SELECT kit, src_ord, chrom, pos, concat_ws(chr(9), CASE WHEN build = 'GRCh38' AND chrom = 'MT' THEN 'chrM'
     WHEN build = 'GRCh38' AND contig_ord IS NOT NULL THEN 'chr' || chrom ELSE chrom END,
   pos, coalesce(rsid, '.'), r, a, coalesce(CAST(CAST(quality AS INT) AS VARCHAR), '.'), coalesce(filter, '.'),
   CASE WHEN ref_block THEN 'END=' || end_pos WHEN r = 'N' THEN 'REF_UNKNOWN' ELSE '.' END, 'GT:DP', t || ':' || coalesce(CAST(depth AS VARCHAR), '.')) AS line
-FROM x""",
+FROM z""",
 )
 def export_vcf_lines(spark, sf):
-    calls = _with_build(spark, D.calls(spark, sf))
-    return export.vcf_lines(calls, F.col("build")).select("kit", "src_ord", "chrom", "pos", "line")
+    """All calls as VCF lines, array calls with the reference letter that the coordinate table knows."""
+    calls = enrich.enrich_arrays(D.calls(spark, sf), D.kits(spark), D.rsid_coords(spark, sf))
+    return export.vcf_lines(_with_build(spark, calls), F.col("build")).select("kit", "src_ord", "chrom", "pos", "line")
 
 
 @query(
@@ -60,22 +63,43 @@ def export_vcf_header(spark, sf):
 
 
 def region_table(spark, sf):
-    n = F.col("n_nationkey")
-    start = (n * 7919) % 900000
-    return D.table(spark, sf, "nation").select(
-        n.alias("region_no"), (n % 22 + 1).cast("string").alias("chrom"), start.cast("bigint").alias("start"),
-        (start + 500000).cast("bigint").alias("end"),
+    """A region for each part: most of some kilobases, every seventh a long one, every 101st a whole contig."""
+    pk = F.col("p_partkey")
+    start = (pk * 7919) % 900000 + 1
+    length = F.when(pk % 101 == 0, F.lit(U32_MAX)).when(pk % 7 == 0, F.lit(400000)).otherwise(pk % 50 * 100)
+    return D.table(spark, sf, "part").select(
+        pk.alias("region_no"), (pk % 24 + 1).cast("string").alias("chrom"), start.cast("bigint").alias("start"), (start + length).cast("bigint").alias("end")
     )
 
 
 @query(
     "q_export_region",
+    f"""{V.with_views(V.CALLS)},
+r AS (SELECT p_partkey AS region_no, CAST(p_partkey % 24 + 1 AS VARCHAR) AS chrom, (p_partkey * 7919) % 900000 + 1 AS lo,
+  CASE WHEN p_partkey % 101 = 0 THEN 4294967295 WHEN p_partkey % 7 = 0 THEN 400000 ELSE p_partkey % 50 * 100 END AS n FROM part)
+SELECT region_no, count(*) AS calls, sum(src_ord)::BIGINT AS orders, min(pos) AS first_pos, max(end_pos) AS last_end, count(*) FILTER (zygosity = 'het') AS het
+FROM r JOIN g_calls c ON c.chrom = r.chrom AND pos BETWEEN lo AND lo + n GROUP BY region_no""",
+)
+def export_region(spark, sf):
+    """What every region of a list as long as `part` holds."""
+    out = export.region_scan(D.calls(spark, sf), region_table(spark, sf)).groupBy("region_no")
+    het = F.count_if(F.col("zygosity") == "het").alias("het")
+    return out.agg(F.count("*").alias("calls"), F.sum("src_ord").alias("orders"), F.min("pos").alias("first_pos"), F.max("end").alias("last_end"), het)
+
+
+@query(
+    "q_export_region_calls",
     f"""{V.with_views(V.CALLS)}
 SELECT n_nationkey AS region_no, kit, src_ord, c.chrom, pos, end_pos, genotype, zygosity
 FROM nation JOIN g_calls c ON c.chrom = CAST(n_nationkey % 22 + 1 AS VARCHAR) AND pos BETWEEN (n_nationkey * 7919) % 900000 AND (n_nationkey * 7919) % 900000 + 500000""",
 )
-def export_region(spark, sf):
-    out = export.region_scan(D.calls(spark, sf), region_table(spark, sf))
+def export_region_calls(spark, sf):
+    n = F.col("n_nationkey")
+    start = (n * 7919) % 900000
+    regions = D.table(spark, sf, "nation").select(
+        n.alias("region_no"), (n % 22 + 1).cast("string").alias("chrom"), start.cast("bigint").alias("start"), (start + 500000).cast("bigint").alias("end")
+    )
+    out = export.region_scan(D.calls(spark, sf), regions)
     return out.select("region_no", "kit", "src_ord", "chrom", "pos", F.col("end").alias("end_pos"), "genotype", "zygosity")
 
 
@@ -128,14 +152,18 @@ def text_cells(spark, sf):
 
 @query(
     "q_json_envelope",
-    f"""{V.with_views(V.CALLS, V.KITS)}
-SELECT 'kits' AS kind, count(*) AS count, string_agg(kit || '=' || n, ';' ORDER BY kit) AS data FROM (SELECT kit, count(*) AS n FROM g_calls GROUP BY kit)""",
+    f"""{V.with_views(V.CALLS)},
+o AS (SELECT *, row_number() OVER (ORDER BY kit, src_ord, chrom, pos) AS n FROM g_calls)
+SELECT n, CASE WHEN n > 1 THEN ',' ELSE '' END || '{{"kit":"' || kit || '","chrom":"' || chrom || '","pos":' || pos || ',"genotype":"' || genotype || '"}}' AS line FROM o
+UNION ALL SELECT 0, '{{"schema":"zygospark/v1","kind":"genotypes","count":' || (SELECT count(*) FROM o) || ',"data":['
+UNION ALL SELECT count(*) + 1, '],"warnings":["checked"]}}' FROM o""",
 )
 def json_envelope(spark, sf):
-    rows = D.calls(spark, sf).groupBy("kit").agg(F.count("*").alias("n"))
-    env = envelope(rows, "kits", order=["kit"])
-    pairs = F.transform("envelope.data", lambda r: F.concat(r["kit"], F.lit("="), r["n"].cast("string")))
-    return env.select("envelope.kind", "envelope.count", F.array_join(pairs, ";").alias("data"))
+    """All calls as one JSON document, line by line; the time of the run is left out of its first line."""
+    calls = D.calls(spark, sf).select("kit", "chrom", "pos", "genotype", "src_ord")
+    rows = calls.select("kit", "chrom", "pos", "genotype", F.struct("kit", "src_ord", "chrom", "pos").alias("_order"))
+    lines = document_lines(rows, "genotypes", ["checked"], ["_order"], columns=["kit", "chrom", "pos", "genotype"])
+    return lines.withColumn("line", F.regexp_replace("line", '"generated_at":"[^"]*",', ""))
 
 
 # ---------------------------------------------------------------- catalog
