@@ -292,8 +292,11 @@ def test_export(spark, world, tmp_path):
     lines = (next((tmp_path / "tsv").glob("part-*"))).read_text().splitlines()
     assert lines[0] == "rsid\tpos\talt\tlifted_from" and lines[1].endswith("\t\tNA")
     sink.write_rows(out.limit(2), str(tmp_path / "json"), "json")
-    body = next((tmp_path / "json").glob("part-*")).read_text()
-    assert '"kind":"genotypes"' in body and '"count":2' in body
+    body = json.loads("".join(p.read_text() for p in sorted((tmp_path / "json").glob("part-*"))))
+    assert (body["kind"], body["count"], len(body["data"]), body["warnings"]) == ("genotypes", 2, 2, [])
+    sink.write_document(out.limit(0), str(tmp_path / "none"), "genotypes", ["none"])
+    none = json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*"))))
+    assert (none["count"], none["data"], none["warnings"]) == (0, [], ["none"])
 
 
 def test_replace_remove_and_find(spark, world, tmp_path):
@@ -311,7 +314,7 @@ def test_replace_remove_and_find(spark, world, tmp_path):
     assert store.read_kits(spark, f"{root}/kits").count() == 0
     log = read_audit(spark, root)
     assert [(r.seq, r.command) for r in log.orderBy("seq").collect()] == [(1, "import"), (2, "import"), (3, "rm")]
-    assert '"replaced": ["k1"]' in log.filter("seq = 2").first().details and audit.verify_audit(log).count() == 0
+    assert '"replaced": ["k1"]' in log.filter("seq = 2").first().details and audit.verify_chain(log).count() == 0
     assert not list((tmp_path / "store" / "calls").glob("kit=*"))
 
 
