@@ -338,7 +338,7 @@ def test_toxicity_covers_all_terms(spark, docs):
     got = by_id(toxicity.score_toxicity(docs(rows), marks), "evidence")
 
     def terms(text):
-        return [t for w in text.split() for t in (w, *((w[:k], k) for k in toxicity.PREFIXES if len(w) > k))]
+        return text.split()
 
     held = {}
     for _, text in rows:
@@ -365,7 +365,7 @@ def test_toxicity_covers_all_terms(spark, docs):
     vectors = {i: vector(text) for i, text in rows}
     for i, _ in rows:
         cosines = {e: round(sum(x * vectors[e].get(t, 0.0) for t, x in vectors[i].items()), 12) for e in examples}
-        want = sorted((e for e in examples if cosines[e] > 0), key=lambda e: (-cosines[e], e))[: toxicity.EVIDENCE]
+        want = sorted((e for e in examples if 0 < cosines[e] < toxicity.TWIN), key=lambda e: (-cosines[e], e))[: toxicity.EVIDENCE]
         assert got[i][0] == want
 
 
@@ -375,21 +375,42 @@ def test_toxicity_keeps_the_class_mix(spark, docs, monkeypatch):
     marks = spark.createDataFrame([(i, 1, int(i % 20 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
     learnt = [i for i, _ in rows if brute.trained(i, 4)]
     share = sum(i % 20 == 0 for i in learnt) / len(learnt)
-    monkeypatch.setattr(toxicity, "FIT_ROWS", sum(i % 20 == 0 for i in learnt))
+    monkeypatch.setattr(toxicity, "FIT_ROWS", (sum(i % 20 == 0 for i in learnt),) * 2)
     _, model = toxicity.fit(docs(rows).select("doc_id", "text"), marks)
     assert model["prior"] == pytest.approx(share, abs=0.02)
     got = by_id(toxicity.score_toxicity(docs([*rows, (1000, None)]), marks), "score")
     assert np.mean([v for (v,) in got.values()]) == pytest.approx(share, abs=0.05) and got[1000][0] < toxicity.REJECT
 
 
+def test_toxicity_does_not_use_a_rows_own_label(spark, docs):
+    """Turning the labels of a few clean rows leaves their scores low, whether they are fitted or not; so do their copies."""
+    rows, labels = toxic_rows()
+    turned = [i for i, _, bad in labels if not bad][::12]
+    marks = spark.createDataFrame([(i, q, 1 if i in turned else bad) for i, q, bad in labels], "doc_id long, quality int, toxic int")
+    copies = [(5000 + i, rows[i][1]) for i in turned]
+    got = by_id(toxicity.score_toxicity(docs([*rows, *copies]), marks), "predicted")
+    assert sum(got[i][0] + got[5000 + i][0] for i in turned) <= len(turned) // 5
+
+
+def test_toxicity_of_long_texts_and_clashing_columns(spark, docs):
+    rows, labels = toxic_rows()
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = docs([*rows, (2000, LONG), (2001, " ".join([LONG] * 3) + " you idiot"), (2002, None), (2002, "")])
+    kept = toxicity.drop_toxic(df, marks)
+    assert kept.columns == df.columns
+    assert {r["doc_id"] for r in kept.collect()} >= {i for i, _, bad in labels if not bad} | {2000, 2002}
+
+
 def test_toxicity_without_labels(spark, docs):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert by_id(toxicity.score_toxicity(docs([(1, "a"), (2, None)]), marks), "predicted") == {1: (0,), 2: (0,)}
     assert toxicity.score_toxicity(docs([]), marks).count() == 0
 
 
-def test_nearest_is_exact():
-    """The block-max search finds what a full scan finds, ties included."""
+@pytest.mark.parametrize("common", [0, 6, 24])
+def test_nearest_is_exact(monkeypatch, common):
+    """The block-max search finds what a full scan finds, ties included, whether terms are frequent or rare."""
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(3)
     terms, n = 40, 700
     examples = []
@@ -397,17 +418,22 @@ def test_nearest_is_exact():
         t = np.sort(rng.choice(terms, rng.integers(1, 6), replace=False))
         w = rng.integers(1, 4, len(t)).astype(float)
         examples.append((i, int(rng.integers(2)), t.tolist(), (w / np.linalg.norm(w)).tolist()))
+    seen = {}
+    for e in examples:
+        seen.setdefault((tuple(e[2]), tuple(np.round(e[3], 9))), e)  # one of equal vectors, as in the index
+    examples = list(seen.values())
+    n = len(examples)
     index = toxicity.build_index(examples, np.arange(terms, dtype=np.uint64), np.ones(terms))
     dense = np.zeros((n, terms))
-    for i, _, t, w in examples:
+    for i, (_, _, t, w) in enumerate(examples):
         dense[i, t] = w
     for q in range(50):
         t, w = np.array(examples[q][2]), np.array(examples[q][3])
         cosine = np.round(dense[:, t] @ w, 12)
         want = np.lexsort((np.arange(n), -cosine))[: toxicity.NEIGHBOURS]
         want = want[cosine[want] > 0]
-        found, near = toxicity.nearest(index, t, w)
-        assert found.tolist() == want.tolist() and np.allclose(near, cosine[want])
+        ((found, near),) = toxicity.nearest(index, np.zeros(len(t), np.int64), t, w, 1, twins=True)
+        assert index["ids"][found].tolist() == [examples[i][0] for i in want] and np.allclose(near, cosine[want])
 
 
 URLS = [

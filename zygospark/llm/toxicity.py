@@ -1,4 +1,9 @@
-"""Toxicity by the nearest labelled examples: exact weighed TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact cosine over a block-max inverted index.
+
+Weights are TF-IDF times the term's relevance for the label.  Plain TF-IDF does not
+give right results on long texts: chance words that two texts share weigh more
+than the words that make one toxic (README, `op6_toxicity`).
+"""
 
 from __future__ import annotations
 
@@ -9,22 +14,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zygospark.llm.rows import by_group, long_id, map_rows, packed, packed_schema, shuffle_groups, unpacked, written
-from zygospark.llm.text import ALNUM, find_words, mix, slices, span_hash, sums
+from zygospark.llm.text import ALNUM, find_words, slices
 
-#: Labelled rows of each class that the model is fitted on at most: those with the smallest hash of their id.
-FIT_ROWS = 8_000
-PREFIXES = (4, 5)  # a word's first bytes are terms as well, so that unseen endings are known
+#: Labelled rows of each class (clean, toxic) that the model is fitted on at most: those with the smallest hash of their id.
+FIT_ROWS = (3_000, 1_000)
+FIT_BYTES = 24 << 20  # ... and bytes of the texts of each class
+TWIN = 1 - 1e-9  # an example this near has the text's own vector, and does not vote on it
 NEIGHBOURS = 15
 BLOCK = 64  # examples of one block of the index
 PRIOR = 0.05  # votes of the class share beside the neighbours' squared similarities
 REJECT = 0.3
 EVIDENCE = 3
 SHRINK = 4.0  # rows of the fitted class mix that every term is given beside its own, for its odds
-FEW = 512  # candidates whose cosines are computed one by one
-STEP_POSTINGS = 4_096  # postings added up before candidates are first looked for
+COMMON, MOST_COMMON = 12, 1024  # a term that one in so many examples holds is frequent, and how many of these are at most
+CENTRES = 16  # examples that others are put beside
+TOGETHER = 64  # texts compared at once
+SLACK = 1e-4  # more than sums of narrow products can be off
 
 HELD = {"at": np.int64, "n": np.int64}
 
@@ -37,16 +46,9 @@ def learns(doc_id: Column) -> Column:
 
 
 def text_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, term hash) of every word and its prefixes."""
+    """(text, term hash) of every word."""
     words = find_words(data, offsets, ALNUM, lower=True)
-    doc = words.doc_of()
-    running = sums(words.data)
-    docs, terms = [doc], [words.hashes]
-    for size in PREFIXES:
-        long = words.ends - words.starts > size
-        docs.append(doc[long])
-        terms.append(mix(span_hash(running, words.starts[long], words.starts[long] + size), size))
-    return np.concatenate(docs), np.concatenate(terms)
+    return words.doc_of(), words.hashes
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +139,24 @@ def class_weights(taken: tuple[int, int], every: tuple[int, int]) -> np.ndarray:
 
 
 def build_index(examples: list[tuple[int, int, list[int], list[float]]], known: np.ndarray, idf: np.ndarray, stands: np.ndarray | None = None) -> dict:
-    """The examples' vectors, one after another; with_postings() adds postings and each term's maxima in blocks of 64 examples."""
+    """The examples' vectors, one after another; with_postings() adds postings and each term's maxima in blocks of 64 examples.
+
+    Examples with one and the same vector are one, with the share of toxic rows among them and what they stand for together.
+    """
     stands = np.ones(2) if stands is None else stands
     examples = sorted(examples, key=lambda e: e[0])
-    full = [e for e in examples if len(e[2])]
+    twins: dict[bytes, list] = {}
+    for e in examples:
+        twins.setdefault(np.asarray(e[2], np.int32).tobytes() + np.round(np.asarray(e[3], np.float64), 9).tobytes(), []).append(e)
+    full = [group[0] for group in twins.values() if len(group[0][2])]
+    groups = [group for group in twins.values() if len(group[0][2])]
     empty = [e for e in examples if not len(e[2])]
     sizes = np.array([len(e[2]) for e in full], np.int64)
     terms = np.concatenate([np.zeros(0, np.int32), *(np.asarray(e[2], np.int32) for e in full)])
     weights = np.concatenate([np.zeros(0), *(np.asarray(e[3], np.float64) for e in full)])
     share = lambda rows: (sum(stands[1] for e in rows if e[1]) + 0.5) / (sum(stands[e[1]] for e in rows) + 1)
+    mass = np.array([sum(stands[e[1]] for e in group) for group in groups], np.float64)
+    toxic = np.array([sum(stands[1] for e in group if e[1]) for group in groups], np.float64)
     return {
         "known": known,
         "idf": idf,
@@ -153,26 +164,56 @@ def build_index(examples: list[tuple[int, int, list[int], list[float]]], known:
         "weights": weights,
         "first": np.append(0, np.cumsum(sizes)),
         "ids": np.array([e[0] for e in full], np.int64),
-        "toxic": np.array([e[1] for e in full], np.float64),
-        "stands": stands,
+        "toxic": toxic / np.maximum(mass, 1e-300),
+        "mass": mass,
         "prior": share(examples) if examples else 0.0,
         "empty": share(empty) if empty else 0.0,
     }
 
 
 def with_postings(index: dict) -> dict:
-    """The index with its postings by term, made once in every process that it is sent to."""
-    if "posted" not in index:
-        terms, first = index["terms"], index["first"]
-        order = np.argsort(terms, kind="stable")
-        in_order, share = terms[order], index["weights"][order]
-        example = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))[order]
-        tile = in_order.astype(np.int64) * (len(first) // BLOCK + 1) + example // BLOCK
-        heads = np.flatnonzero(np.concatenate((np.ones(min(len(tile), 1), bool), tile[1:] != tile[:-1])))
-        most = np.maximum.reduceat(share, heads) if len(heads) else np.zeros(0)
-        places = np.arange(len(index["known"]) + 1)
-        index |= {"example": example, "share": share, "tiled": np.searchsorted(in_order[heads], places), "block": example[heads] // BLOCK, "most": most}
-        index["posted"] = np.searchsorted(in_order, places)
+    """The index with its lists by term, made once in every process that it is sent to.
+
+    Examples that are alike in their frequent terms lie together, so that blocks of 64
+    have low maxima for the terms of others.  Lists of frequent terms are kept as rows
+    over all examples, with each block's maximum; the others as postings.
+    """
+    if "dense" in index:
+        return index
+    n, terms, first, weights = len(index["ids"]), index["terms"], index["first"], index["weights"]
+    held = np.bincount(terms, minlength=len(index["known"]))
+    frequent = np.flatnonzero(held * COMMON >= max(n, 1))
+    frequent = np.sort(frequent[np.argsort(-held[frequent], kind="stable")[:MOST_COMMON]])
+    row = np.full(len(index["known"]), -1, np.int64)
+    row[frequent] = np.arange(len(frequent))
+    example = np.repeat(np.arange(n), np.diff(first))
+    of_frequent = row[terms] >= 0
+    rows = np.zeros((len(frequent), n))
+    rows[row[terms[of_frequent]], example[of_frequent]] = weights[of_frequent]
+    if n > BLOCK:
+        centres = rows[:, np.linspace(0, n - 1, CENTRES).astype(np.int64)]
+        order = np.argsort(np.argmax(centres.T @ rows, axis=0), kind="stable")
+    else:
+        order = np.arange(n)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    blocks = -(-n // BLOCK)
+    dense = np.zeros((len(frequent), blocks * BLOCK))
+    dense[:, :n] = rows[:, order]
+    rare = ~of_frequent
+    by_term = np.argsort(terms[rare], kind="stable")
+    index.update(
+        ids=index["ids"][order],
+        toxic=index["toxic"][order],
+        mass=index["mass"][order],
+        row=row,
+        dense=dense,
+        narrow=dense.astype(np.float32),
+        most=dense.reshape(len(frequent), blocks, BLOCK).max(2) if n else np.zeros((len(frequent), 0)),
+        example=place[example[rare]][by_term],
+        share=weights[rare][by_term],
+        posted=np.searchsorted(terms[rare][by_term], np.arange(len(index["known"]) + 1)),
+    )
     return index
 
 
@@ -182,82 +223,89 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
-def nearest(index: dict, terms: np.ndarray, weights: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(examples, cosines) of the nearest ones, exactly; ties go to the smaller id.
+def nearest(index: dict, doc: np.ndarray, terms: np.ndarray, weights: np.ndarray, count: int, twins: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(examples, cosines) of the nearest examples of each text, exactly.
 
-    Postings are added up in the order of squared weight per posting.  What the other terms can still
-    add is bounded by their length and by their maxima in each block; as soon as
-    few examples can be among the nearest, their cosines are computed whole.
+    Ties go to the smaller id; the text's own vector counts only with `twins`.
+    Postings of rare terms are added up first.  What the frequent terms can still add
+    is bounded by their maxima in each block, and only blocks that can hold one of the
+    nearest are gone through.  Texts are taken in groups that are alike, so that these
+    blocks are few; narrow sums choose candidates, whose cosines are computed whole.
     """
     index = with_postings(index)
-    ids, posted, tiled = index["ids"], index["posted"], index["tiled"]
-    order = np.argsort((posted[terms + 1] - posted[terms]) / (weights * weights), kind="stable")
-    terms, weights = terms[order], weights[order]
-    starts, sizes = posted[terms], posted[terms + 1] - posted[terms]
-    ends = np.cumsum(sizes)
-    tail = np.sqrt(np.append(np.cumsum((weights * weights)[::-1])[::-1], 0.0))
-    cosines, done, step, wanted = np.zeros(len(ids)), 0, STEP_POSTINGS, NEIGHBOURS + 1
-    found = None
-    while done < len(terms):
-        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + step, "right")))
-        at = _ranges(starts[done:to], sizes[done:to])
-        cosines += np.bincount(index["example"][at], weights=np.repeat(weights[done:to], sizes[done:to]) * index["share"][at], minlength=len(ids))
-        done, step = to, step * 4
-        if done == len(terms) or len(ids) <= max(FEW, wanted):
-            continue
-        least = np.partition(cosines, -wanted)[-wanted] - 1e-9
-        if least <= 0:
-            continue
-        maybe = np.flatnonzero(cosines + tail[done] >= least)
-        if len(maybe) > FEW:
-            first, many = tiled[terms[done:]], tiled[terms[done:] + 1] - tiled[terms[done:]]
-            at = _ranges(first, many)
-            rest = np.bincount(index["block"][at], weights=np.repeat(weights[done:], many) * index["most"][at], minlength=len(ids) // BLOCK + 1)
-            maybe = maybe[cosines[maybe] + rest[maybe // BLOCK] >= least]
-        if len(maybe) <= FEW:
-            found = maybe
-            break
-    if found is None:
-        found = np.flatnonzero(cosines > 0)
-        near = cosines[found]
-    else:
-        at = _ranges(index["first"][found], index["first"][found + 1] - index["first"][found])
-        by_term = np.argsort(terms)
-        place = np.minimum(np.searchsorted(terms[by_term], index["terms"][at]), len(terms) - 1)
-        own = np.where(terms[by_term][place] == index["terms"][at], weights[by_term][place], 0.0) * index["weights"][at]
-        near = np.bincount(np.repeat(np.arange(len(found)), np.diff(index["first"])[found]), weights=own, minlength=len(found))
-    use = near > 0
-    if skip is not None:
-        use &= ids[found] != skip
-    found, near = found[use], near[use]
-    best = np.lexsort((found, -np.round(near, 12)))[:NEIGHBOURS]
-    return found[best], near[best]
-
-
-def _score(index: dict, skip_self: bool, data: np.ndarray, offsets: np.ndarray, ids: list[int | None]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    n, width, blocks = len(index["ids"]), index["dense"].shape[1], index["most"].shape[1]
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    if not n:
+        return [none] * count
+    row = index["row"][terms]
+    common = row >= 0
+    own = np.zeros((count, len(index["dense"])))
+    own[doc[common], row[common]] = weights[common]
+    rare_doc, rare_term, rare_weight = doc[~common], terms[~common], weights[~common]
+    bounds = np.searchsorted(rare_doc, np.arange(count + 1))
+    above = own @ index["most"]
+    order = np.argsort(np.argmax(above, axis=1), kind="stable")
+    out = [none] * count
+    wanted = NEIGHBOURS + 1
+    for lo in range(0, count, TOGETHER):
+        some = order[lo : lo + TOGETHER]
+        at = _ranges(bounds[some], bounds[some + 1] - bounds[some])
+        starts, sizes = index["posted"][rare_term[at]], index["posted"][rare_term[at] + 1] - index["posted"][rare_term[at]]
+        posts = _ranges(starts, sizes)
+        line = np.repeat(np.repeat(np.arange(len(some)), bounds[some + 1] - bounds[some]), sizes)
+        sums = np.bincount(line * width + index["example"][posts], weights=np.repeat(rare_weight[at], sizes) * index["share"][posts], minlength=len(some) * width)
+        sums = sums.reshape(len(some), width)
+        peaks = sums.reshape(len(some), blocks, BLOCK).max(2)
+        reach = peaks + above[some]
+        # As many examples as are wanted, in blocks of their own, reach this much.
+        least = np.partition(peaks, -wanted, axis=1)[:, -wanted] if blocks >= wanted else np.zeros(len(some))
+        narrow = own[some].astype(np.float32)
+        parts, chosen = [], np.unique(np.argmax(reach, axis=1))  # the best block of each text first: its cosines raise what others have to reach
+        for _ in range(2):
+            columns = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            parts.append((columns, narrow @ index["narrow"][:, columns] + sums[:, columns]))
+            if len(columns) >= wanted:
+                least = np.maximum(least, np.partition(parts[-1][1], -wanted, axis=1)[:, -wanted] - SLACK)
+            rest = ((reach >= (least - SLACK)[:, None]) & (reach > 0)).any(0)
+            rest[chosen] = False
+            chosen = np.flatnonzero(rest)
+            if not len(chosen):
+                break
+        columns = np.concatenate([c for c, _ in parts])
+        cosines = np.concatenate([c for _, c in parts], axis=1)
+        if len(parts) > 1 and len(columns) >= wanted:
+            least = np.maximum(least, np.partition(cosines, -wanted, axis=1)[:, -wanted] - SLACK)
+        for i, text in enumerate(some):
+            found = columns[(cosines[i] >= least[i] - SLACK) & (cosines[i] > 0)]
+            used = np.flatnonzero(own[text])
+            near = sums[i, found] + own[text, used] @ index["dense"][np.ix_(used, found)]
+            use = near > 0 if twins else (near > 0) & (near < TWIN)
+            found, near = found[use], near[use]
+            top = np.lexsort((index["ids"][found], -np.round(near, 12)))[:NEIGHBOURS]
+            out[text] = found[top], near[top]
+    return out
+
+
+def _score(index: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
     """(votes, whether any term is known, nearest examples) of each text."""
     count = len(offsets) - 1
     votes, evidence = np.full(count, index["empty"]), [[] for _ in range(count)]
     doc, term, n = _vectors(data, offsets, index["known"])
-    weight = _weights(doc, n, term, index["idf"])
-    bounds = np.searchsorted(doc, np.arange(count + 1))
-    known = np.diff(bounds) > 0
+    found = nearest(index, doc, term, _weights(doc, n, term, index["idf"]), count)
+    known = np.bincount(doc, minlength=count) > 0
     for i in np.flatnonzero(known):
-        some = slice(bounds[i], bounds[i + 1])
-        found, cosines = nearest(index, term[some], weight[some], ids[i] if skip_self else None)
-        power = cosines * cosines * index["stands"][index["toxic"][found].astype(np.int64)]
-        votes[i] = (power @ index["toxic"][found] + PRIOR * index["prior"]) / (power.sum() + PRIOR)
-        evidence[i] = index["ids"][found[:EVIDENCE]].tolist()
+        at, cosines = found[i]
+        power = cosines * cosines * index["mass"][at]
+        votes[i] = (power @ index["toxic"][at] + PRIOR * index["prior"]) / (power.sum() + PRIOR)
+        evidence[i] = index["ids"][at[:EVIDENCE]].tolist()
     return votes, known, evidence
 
 
-def _score_batches(index, skip_self: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score_batches(index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch["doc_id"].to_pylist()
         for at, data, offsets in slices(batch["text"]):
-            count = len(offsets) - 1
-            votes, known, evidence = _score(index.value, skip_self, data, offsets, ids[at : at + count])
-            columns = [batch["doc_id"].slice(at, count), pa.array(votes), pa.array(known), pa.array(evidence, pa.list_(pa.int64()))]
+            votes, known, evidence = _score(index.value, data, offsets)
+            columns = [batch["doc_id"].slice(at, len(votes)), pa.array(votes), pa.array(known), pa.array(evidence, pa.list_(pa.int64()))]
             yield pa.record_batch(columns, names=["doc_id", "raw", "known", "evidence"])
 
 
@@ -286,9 +334,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, dict]:
     draw = F.xxhash64("doc_id"), F.col("doc_id")
     marks = written(marks.withColumn("toxic", (F.col("toxic") > 0).cast("int")))
     every = dict(marks.groupBy("toxic").count().collect())
-    chosen = written(marks.filter("toxic = 1").orderBy(*draw).limit(FIT_ROWS).union(marks.filter("toxic = 0").orderBy(*draw).limit(FIT_ROWS)))
-    stands = class_weights(tuple(min(every.get(c, 0), FIT_ROWS) for c in (0, 1)), tuple(every.get(c, 0) for c in (0, 1)))
-    fitted = written(docs.join(F.broadcast(chosen), "doc_id"))  # at most 2 * FIT_ROWS narrow rows
+    taken = [marks.filter(F.col("toxic") == c).orderBy(*draw).limit(most) for c, most in enumerate(FIT_ROWS)]
+    fitted = written(docs.join(F.broadcast(written(taken[0].union(taken[1]))), "doc_id"))  # at most FIT_ROWS of each class and their copies
+    size = F.sum(F.octet_length("text")).over(W.partitionBy("toxic").orderBy(*draw, "text").rowsBetween(W.unboundedPreceding, -1))
+    fitted = written(fitted.withColumn("_before", F.coalesce(size, F.lit(0))).filter(F.col("_before") < FIT_BYTES).drop("_before"))
+    kept = dict(fitted.groupBy("toxic").agg(F.count_distinct("doc_id")).collect())
+    stands = class_weights(tuple(kept.get(c, 0) for c in (0, 1)), tuple(every.get(c, 0) for c in (0, 1)))
 
     rows, toxic = fitted.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     some = fitted if 0 < toxic < rows else fitted.limit(0)
@@ -313,7 +364,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, dict]:
     terms.destroy()
     weighs.destroy()
     index = docs.sparkSession.sparkContext.broadcast(model)
-    votes = fitted.join(fitted.mapInArrow(partial(_score_batches, index, True), SCORED), "doc_id").filter("known").select("raw", "toxic").collect()
+    votes = fitted.join(fitted.mapInArrow(partial(_score_batches, index), SCORED), "doc_id").filter("known").select("raw", "toxic").collect()
     raw, label = (np.array([r[i] for r in votes], np.float64) for i in (0, 1))
     steps, shares = rising_steps(raw, label, stands) if len(raw) else (np.zeros(1), np.array([model["prior"]]))
     return index, {"steps": steps, "shares": shares, "empty": model["empty"], "prior": model["prior"]}
@@ -325,7 +376,7 @@ def calibrated(model: dict, votes: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _calibrate(index, model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _score_batches(index, False, batches):
+    for batch in _score_batches(index, batches):
         score = calibrated(model, batch["raw"].to_numpy(), batch["known"].to_numpy(zero_copy_only=False))
         yield pa.record_batch([batch["doc_id"], pa.array(score), batch["evidence"]], names=["doc_id", "score", "evidence"])
 
@@ -333,20 +384,20 @@ def _calibrate(index, model: dict, batches: Iterator[pa.RecordBatch]) -> Iterato
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of docs.
 
-    Terms are words of lower-cased letters and digits and their first 4 and 5
-    bytes; the vector space holds all of the fitted rows, weighed by TF-IDF with
-    document counts over all documents, and by the label's odds with a term: plain
-    TF-IDF lets long texts' chance words outweigh a toxic phrase.  A text's 15 nearest examples by cosine vote with their squared
-    similarity; votes are turned into shares of toxic rows on the examples
-    themselves, each judged without itself.  evidence lists the nearest
-    examples.  predicted is 1 from a score of 0.3.
-
-    Labels are learnt only from rows whose crc32(doc_id as text) mod 4 is not
-    2, at most 8,000 of each class (FIT_ROWS); the index is bounded by that and
-    broadcast.  Both classes are counted over all these labels, and every fitted
-    row weighs as many of them as it stands for, so shares and votes keep the
-    class mix of all labels.  Scoring is one map over the texts, without a
-    shuffle.
+    Terms are words of lower-cased letters and digits.  The vector space holds all
+    of the fitted rows, weighed by TF-IDF with document counts over all documents
+    and by the label's odds with a term.  A text's 15 nearest examples by cosine vote
+    with their squared similarity; votes are turned into shares of toxic rows on the
+    examples themselves.  evidence lists the nearest examples.  predicted is 1 from
+    a score of 0.3.  An example with the text's own vector never votes, so a fitted
+    row is not judged by its own label, nor is a copy of it.
+
+    Labels are learnt only from rows whose crc32(doc_id as text) mod 4 is not 2, at
+    most 3,000 clean and 1,000 toxic ones (FIT_ROWS) with at most 24 MB of text for
+    each class (FIT_BYTES); the index is bounded by that and broadcast.  Both classes
+    are counted over all these labels, and every fitted row weighs as many of them as
+    it stands for, so shares and votes keep the class mix of all labels.  Scoring is
+    one map over the texts, which are taken whole, without a shuffle.
 
     A text without a known term (null and empty texts too) gets the share of
     toxic rows among such examples.  Null labels are not learnt, a doc_id
@@ -370,6 +421,6 @@ def _keep_clean(index, model: dict, text: pa.Array, columns: list[pa.Array]) ->
     keep = np.ones(len(text), bool)
     for at, data, offsets in slices(text):
         count = len(offsets) - 1
-        votes, known, _ = _score(index.value, False, data, offsets, [None] * count)
+        votes, known, _ = _score(index.value, data, offsets)
         keep[at : at + count] = calibrated(model, votes, known) < REJECT
     return [c.filter(pa.array(keep)) for c in columns]
