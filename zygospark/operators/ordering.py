@@ -26,7 +26,7 @@ def with_contig_order(calls: DataFrame, by: str = "kit") -> DataFrame:
         calls.filter(contig_ord("chrom").isNull())
         .groupBy(by, "chrom")
         .agg(F.min("src_ord").alias("_seen"))
-        .withColumn("_n", (F.row_number().over(W.partitionBy(by).orderBy("_seen")) + len(PRIMARY_CHROMS)).cast("int"))
+        .withColumn("_n", (F.row_number().over(W.partitionBy(by).orderBy("_seen", "chrom")) + len(PRIMARY_CHROMS)).cast("int"))
     )
     seen = written(seen)  # a bounded list of names; its file size lets the join broadcast it
     out = calls.drop("contig_ord").join(seen.select(by, "chrom", "_n"), [by, "chrom"], "left")

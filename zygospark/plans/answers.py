@@ -68,9 +68,9 @@ def counted_kits(spark, calls):
     return D.kits(spark, summary.kit_counts(calls))
 
 
-def place_queries(calls: DataFrame, source: str, targets: list[str], build: str | None) -> DataFrame:
-    """Every place of one kit asked of other kits."""
-    q = calls.filter(F.col("kit") == source).select("chrom", "pos")
+def place_queries(calls: DataFrame, targets: list[str], build: str | None) -> DataFrame:
+    """Every place where some kit has a call, asked of the target kits."""
+    q = calls.select("chrom", "pos").distinct()
     q = q.withColumn("kit", F.explode(F.array(*[F.lit(t) for t in targets])))
     return q.select(
         F.concat_ws(":", "kit", "chrom", F.col("pos").cast("string")).alias("qid"), "kit", "chrom", "pos",
@@ -78,12 +78,12 @@ def place_queries(calls: DataFrame, source: str, targets: list[str], build: str
     )
 
 
-def place_sites_sql(source: str, targets: list[str]) -> str:
+def place_sites_sql(targets: list[str]) -> str:
     kits = ", ".join(f"('{t}')" for t in targets)
     return f"""
 places AS (
   SELECT t.kit || ':' || c.chrom || ':' || c.pos AS sid, t.kit, c.chrom, c.pos, k.build, k.ref_calls
-  FROM g_calls c, (VALUES {kits}) AS t(kit) JOIN g_kits k ON k.kit = t.kit WHERE c.kit = '{source}'),
+  FROM (SELECT DISTINCT chrom, pos FROM g_calls) c, (VALUES {kits}) AS t(kit) JOIN g_kits k ON k.kit = t.kit),
 sites AS (
   SELECT p.*, n.rsid AS q_rsid, n.ref AS ref_hint, n.alt AS alt_hint, NULL::VARCHAR AS from_build, NULL::BIGINT AS from_pos
   FROM places p LEFT JOIN named n ON n.build = p.build AND n.chrom = p.chrom AND n.pos = p.pos)"""
@@ -92,23 +92,23 @@ sites AS (
 BASE = (V.CALLS, V.KITS, V.COORDS, CURATED, NAMED, ENRICHED)
 
 
-@query("q_lookup_exact", f"{V.with_views(*BASE, place_sites_sql('k1', ['k2']), answer_sql('sites'))} {ANSWER_SELECT}")
+@query("q_lookup_exact", f"{V.with_views(*BASE, place_sites_sql(['k2']), answer_sql('sites'))} {ANSWER_SELECT}")
 def lookup_exact(spark, sf):
     calls = D.stored_calls(spark, sf)
-    q = place_queries(calls, "k1", ["k2"], None)
+    q = place_queries(calls, ["k2"], None)
     return flat(lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf)))
 
 
-@query("q_lookup_spanning", f"{V.with_views(*BASE, place_sites_sql('k2', ['k3']), answer_sql('sites'))} {ANSWER_SELECT}")
+@query("q_lookup_spanning", f"{V.with_views(*BASE, place_sites_sql(['k3']), answer_sql('sites'))} {ANSWER_SELECT}")
 def lookup_spanning(spark, sf):
     calls = D.stored_calls(spark, sf)
-    q = place_queries(calls, "k2", ["k3"], None)
+    q = place_queries(calls, ["k3"], None)
     return flat(lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf)))
 
 
 CROSS_SITES = f"""
 asked AS (SELECT t.kit || ':' || c.chrom || ':' || c.pos AS pid, t.kit, c.chrom, c.pos
-          FROM g_calls c, (VALUES ('k2'), ('k3')) AS t(kit) WHERE c.kit = 'k1'),
+          FROM (SELECT DISTINCT chrom, pos FROM g_calls) c, (VALUES ('k2'), ('k3')) AS t(kit)),
 {V.lift("asked", "moved")},
 sites AS (
   SELECT m.pid AS sid, m.kit, m.lifted_chrom AS chrom, m.lifted_pos AS pos, k.build, k.ref_calls, n.rsid AS q_rsid, n.ref AS ref_hint,
@@ -125,7 +125,7 @@ FROM moved WHERE lifted_pos IS NULL""",
 )
 def lookup_crossbuild(spark, sf):
     calls = D.stored_calls(spark, sf)
-    q = place_queries(calls, "k1", ["k2", "k3"], GRCH37)
+    q = place_queries(calls, ["k2", "k3"], GRCH37)
     kits = counted_kits(spark, calls)
     return flat(lookup.lookup_positions(calls, kits, q, D.rsid_coords(spark, sf), D.chain_blocks(spark, sf)))
 
@@ -156,7 +156,7 @@ UNION ALL SELECT qid, kit, rsid, NULL, NULL, build, NULL, NULL, NULL, 'no_call',
 FROM rest WHERE qid NOT IN (SELECT sid FROM sites)"""
 CALL_IDS = """
 asked AS (SELECT t.kit || ':' || c.rsid AS qid, t.kit, c.rsid
-  FROM (SELECT DISTINCT rsid FROM g_calls WHERE kit = 'k1' AND rsid IS NOT NULL) c, (VALUES ('k3'), ('k4')) AS t(kit))"""
+  FROM (SELECT DISTINCT rsid FROM g_calls WHERE rsid IS NOT NULL) c, (VALUES ('k3'), ('k4')) AS t(kit))"""
 TABLE_IDS = """
 asked AS (SELECT k.kit || ':' || q.qid AS qid, k.kit, q.rsid FROM queries q, g_kits k)"""
 
@@ -172,7 +172,7 @@ def both_ways(spark, sf):
 )
 def lookup_rsid(spark, sf):
     calls = D.stored_calls(spark, sf)
-    ids = calls.filter("kit = 'k1' and rsid is not null").select("rsid").distinct()
+    ids = calls.filter("rsid is not null").select("rsid").distinct()
     q = ids.withColumn("kit", F.explode(F.array(F.lit("k3"), F.lit("k4"))))
     q = q.select(F.concat_ws(":", "kit", "rsid").alias("qid"), "kit", "rsid")
     return flat(lookup.lookup_rsids(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf), both_ways(spark, sf)))
@@ -192,12 +192,12 @@ def lookup_rsid_table(spark, sf):
 
 @query(
     "q_infer_absent",
-    f"""{V.with_views(*BASE, place_sites_sql("k1", ["k2", "k3", "k4"]), answer_sql("sites"))}
+    f"""{V.with_views(*BASE, place_sites_sql(["k2", "k3", "k4"]), answer_sql("sites"))}
 SELECT kit, call_source, zygosity, count(*) AS n, count(ref) AS with_ref, count(genotype) AS with_genotype FROM answers GROUP BY 1, 2, 3""",
 )
 def infer_absent(spark, sf):
     calls = D.stored_calls(spark, sf)
-    q = place_queries(calls, "k1", ["k2", "k3", "k4"], None)
+    q = place_queries(calls, ["k2", "k3", "k4"], None)
     out = lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf))
     return out.groupBy("kit", "call_source", "zygosity").agg(
         F.count("*").alias("n"), F.count("ref").alias("with_ref"), F.count("genotype").alias("with_genotype")
@@ -206,26 +206,26 @@ def infer_absent(spark, sf):
 
 @query(
     "q_lookup_warnings",
-    f"""{V.with_views(*BASE, place_sites_sql("k1", ["k2"]), answer_sql("sites"))}
+    f"""{V.with_views(*BASE, place_sites_sql(["k2"]), answer_sql("sites"))}
 SELECT DISTINCT chrom || ':' || pos || '{lookup.UNKNOWN_REFERENCE}' AS warning FROM answers WHERE call_source = 'inferred_ref' AND ref IS NULL
 UNION SELECT '{lookup.INFERRED_WARNING}' FROM answers WHERE call_source = 'inferred_ref'""",
 )
 def lookup_warnings(spark, sf):
     calls = D.stored_calls(spark, sf)
-    q = place_queries(calls, "k1", ["k2"], None)
+    q = place_queries(calls, ["k2"], None)
     out = lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf))
     return lookup.distinct_warnings(out, ["qid"])
 
 
 @query(
     "q_audit_details",
-    f"""{V.with_views(*BASE, place_sites_sql("k1", ["k2"]), answer_sql("sites"))}
+    f"""{V.with_views(*BASE, place_sites_sql(["k2"]), answer_sql("sites"))}
 SELECT count(*) AS answers, count(*) FILTER (call_source = 'observed') AS observed, count(*) FILTER (call_source = 'inferred_ref') AS inferred,
   count(*) FILTER (call_source = 'missing') AS missing FROM answers""",
 )
 def audit_details(spark, sf):
     calls = D.stored_calls(spark, sf)
-    q = place_queries(calls, "k1", ["k2"], None)
+    q = place_queries(calls, ["k2"], None)
     return lookup_details(lookup.lookup_positions(calls, counted_kits(spark, calls), q, D.rsid_coords(spark, sf)))
 
 

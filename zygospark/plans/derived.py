@@ -39,18 +39,16 @@ def contig(cm: Column) -> Column:
 
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Calls of four kits; one record per (kit, place), the earliest source row.
+    """Calls of four kits, one for each line item; a place of a kit can have several.
 
-    The source order packs (order, line) into one number, so the choice is a
-    plain hash-aggregated minimum over three numeric keys.
+    The source order packs (order, line) into one number.
     """
-    li = table(spark, sf, "lineitem").select(
+    d = table(spark, sf, "lineitem").select(
         (F.col("l_suppkey") % 4 + 1).alias("kn"),
         F.col("l_partkey").alias("pk"),
         F.col("l_quantity").cast("bigint").alias("q"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("src_ord"),
     )
-    d = li.groupBy("kn", "pk", "q").agg(F.min("src_ord").alias("src_ord"))
     kn, pk, q = F.col("kn"), F.col("pk"), F.col("q")
     cm = (pk % 27).cast("int")
     ok, ln = int_div(F.col("src_ord"), 10), F.col("src_ord") % 10
@@ -179,11 +177,11 @@ def chain_blocks(spark: SparkSession, sf: str, from_build: str = GRCH37, to_buil
 
 
 def rsid_coords(spark: SparkSession, sf: str) -> DataFrame:
-    """dbSNP-like coordinates: every third part in GRCh38, the next in GRCh37."""
+    """dbSNP-like coordinates of the parts on primary contigs: every third in GRCh38, the others in GRCh37."""
     pk = F.col("p_partkey")
     cm = (pk % 27).cast("int")
     number = pk * 100 + 25
-    p = table(spark, sf, "part").filter((pk % 3 < 2) & cm.between(1, 25))
+    p = table(spark, sf, "part").filter(cm.between(1, 25))
     return p.select(
         F.when(pk % 3 == 0, F.lit(GRCH38)).otherwise(F.lit(GRCH37)).alias("build"),
         number.alias("rs_num"),

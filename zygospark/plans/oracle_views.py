@@ -26,8 +26,7 @@ g_rows AS (
     substr('ACGT', CAST((pk + q + 1 + pk % 3) % 4 + 1 AS INT), 1) AS a,
     CASE WHEN (ok + ln) % 10 < 4 THEN '0/1' WHEN (ok + ln) % 10 < 6 THEN '1/1' WHEN (ok + ln) % 10 < 8 THEN '0/0'
          WHEN (ok + ln) % 10 = 8 THEN './.' ELSE '1' END AS gt,
-    CASE WHEN ok % 7 = 0 THEN 'LowQual' ELSE 'PASS' END AS filter, CAST(ln * 10 AS FLOAT) AS quality, q + ln AS depth,
-    kn, row_number() OVER (PARTITION BY kn, pk % 27, (pk - pk % 27) // 27, q ORDER BY ok, ln) AS rn
+    CASE WHEN ok % 7 = 0 THEN 'LowQual' ELSE 'PASS' END AS filter, CAST(ln * 10 AS FLOAT) AS quality, q + ln AS depth, kn
   FROM g_base),
 g_calls AS (
   SELECT kit, src_ord, chrom, contig_ord, pos,
@@ -40,7 +39,7 @@ g_calls AS (
          WHEN gt = '1/1' THEN 'hom_alt' ELSE 'hom_ref' END AS zygosity,
     CASE WHEN kn = 1 THEN NULL ELSE filter END AS filter, CASE WHEN kn = 1 THEN NULL ELSE quality END AS quality,
     CASE WHEN kn = 1 THEN NULL ELSE depth END AS depth, COALESCE(kn = 3 AND gt = '0/0', FALSE) AS ref_block
-  FROM g_rows WHERE rn = 1)"""
+  FROM g_rows)"""
 
 KITS = """
 g_kits AS (
@@ -72,7 +71,7 @@ g_coords AS (
          1 + (p_partkey - p_partkey % 27) // 27 * 40000 + 2500 AS pos,
          substr('ACGT', CAST((p_partkey + 25) % 4 + 1 AS INT), 1) AS ref,
          substr('ACGT', CAST((p_partkey + 26 + p_partkey % 3) % 4 + 1 AS INT), 1) AS alt
-  FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 27 BETWEEN 1 AND 25)"""
+  FROM part WHERE p_partkey % 27 BETWEEN 1 AND 25)"""
 
 
 def lift(points: str, name: str) -> str:

@@ -152,7 +152,7 @@ def ref_calls(spark, sf):
 @query(
     "q_contig_order",
     f"""{V.with_views(V.CALLS)},
-others AS (SELECT kit, chrom, 25 + row_number() OVER (PARTITION BY kit ORDER BY min(src_ord)) AS n
+others AS (SELECT kit, chrom, 25 + row_number() OVER (PARTITION BY kit ORDER BY min(src_ord), chrom) AS n
            FROM g_calls WHERE contig_ord IS NULL GROUP BY kit, chrom)
 SELECT c.kit, c.chrom, coalesce(c.contig_ord, o.n)::INT AS contig_ord, count(*) AS n, min(c.pos) AS first_pos
 FROM g_calls c LEFT JOIN others o ON o.kit = c.kit AND o.chrom = c.chrom GROUP BY 1, 2, 3""",

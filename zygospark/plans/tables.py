@@ -42,7 +42,7 @@ def export_vcf_lines(spark, sf):
 @query(
     "q_export_vcf_header",
     f"""{V.with_views(V.CALLS)},
-others AS (SELECT chrom, 25 + row_number() OVER (ORDER BY min(src_ord)) AS n FROM g_calls WHERE kit = 'k2' AND contig_ord IS NULL GROUP BY chrom),
+others AS (SELECT chrom, 25 + row_number() OVER (ORDER BY min(src_ord), chrom) AS n FROM g_calls WHERE kit = 'k2' AND contig_ord IS NULL GROUP BY chrom),
 contigs AS (SELECT chrom, min(contig_ord) AS n FROM g_calls WHERE kit = 'k2' AND contig_ord IS NOT NULL GROUP BY chrom
   UNION ALL SELECT * FROM others),
 lines AS (
@@ -106,7 +106,7 @@ def export_region_calls(spark, sf):
 @query(
     "q_export_page",
     f"""{V.with_views(V.CALLS)},
-others AS (SELECT chrom, 25 + row_number() OVER (ORDER BY min(src_ord)) AS n FROM g_calls WHERE kit = 'k2' AND contig_ord IS NULL GROUP BY chrom)
+others AS (SELECT chrom, 25 + row_number() OVER (ORDER BY min(src_ord), chrom) AS n FROM g_calls WHERE kit = 'k2' AND contig_ord IS NULL GROUP BY chrom)
 SELECT chrom, pos, genotype FROM (
   SELECT c.chrom, pos, genotype FROM g_calls c LEFT JOIN others o USING (chrom) WHERE kit = 'k2'
   ORDER BY coalesce(contig_ord, o.n), pos, end_pos, src_ord LIMIT 500 OFFSET 1000)""",
@@ -119,7 +119,7 @@ def export_page(spark, sf):
 @query(
     "q_export_deep_page",
     f"""{V.with_views(V.CALLS)},
-others AS (SELECT chrom, 25 + row_number() OVER (ORDER BY min(src_ord)) AS n FROM g_calls WHERE kit = 'k2' AND contig_ord IS NULL GROUP BY chrom)
+others AS (SELECT chrom, 25 + row_number() OVER (ORDER BY min(src_ord), chrom) AS n FROM g_calls WHERE kit = 'k2' AND contig_ord IS NULL GROUP BY chrom)
 SELECT chrom, pos, genotype, n AS row_no FROM (
   SELECT c.chrom, pos, genotype, row_number() OVER (ORDER BY coalesce(contig_ord, o.n), pos, end_pos, src_ord) - 1 AS n
   FROM g_calls c LEFT JOIN others o USING (chrom) WHERE kit = 'k2') WHERE n >= 200""",
