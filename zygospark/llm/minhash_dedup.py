@@ -21,6 +21,8 @@ BIN_BITS = 12  # a sketch holds one sample (the smallest hash) of each of 4096 b
 SKETCH_BITS = 4096
 DEVIATIONS = 6.0  # a candidate is dropped when its sketches share that much less than pairs at the threshold do
 TILE = 256  # members of a band's bucket that are compared with as many others in one row
+TILE_ITEMS = 1 << 17  # shingles of either side of a tile, about
+COMPARED = 64  # sets compared at once
 
 _seeds = np.random.Generator(np.random.PCG64(71)).integers(1, 1 << 63, (2, SAMPLES), dtype=np.uint64)
 _XOR, _MULTIPLY = _seeds[0], _seeds[1] * np.uint64(2) + np.uint64(1)
@@ -155,37 +157,61 @@ def _greatest(a, b) -> Column:
     return F.greatest(a, F.lit(b) if isinstance(b, float) else b)
 
 
-def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in one tile whose sketches pass."""
+def tile_links(ids, labels, side, n, m, sketch, items, begins) -> list[tuple[int, int]]:
+    """Links between members of one tile: side 1 against side 0, at most one for each two components that they join.
+
+    Sketches choose the pairs whose sets are compared; a component that a link has
+    joined is not compared with again, so the links are a forest.
+    """
+    labels = labels.copy()
+    every = np.flatnonzero(side == 0)
+    out = []
+    for a in np.flatnonzero(side == 1):
+        near = every[labels[every] != labels[a]]
+        if not len(near):
+            continue
+        apart = np.bitwise_count(sketch[a] ^ sketch[near]).sum(1, dtype=np.int64)
+        near = near[may_be_similar(apart, n[a], n[near], m[a], m[near], np.exp, np.log, np.sqrt, np.maximum, np.minimum)]
+        own = items[begins[a] : begins[a + 1]]
+        for at in range(0, len(near), COMPARED):
+            some = near[at : at + COMPARED]
+            some = some[labels[some] != labels[a]]
+            if not len(some):
+                continue
+            sizes = begins[some + 1] - begins[some]
+            heads = np.cumsum(sizes) - sizes
+            flat = items[np.arange(sizes.sum()) + np.repeat(begins[some] - heads, sizes)]
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            both = np.add.reduceat(own[place] == flat, heads, dtype=np.int64)
+            for b in some[both * 100 >= (len(own) + sizes - both) * PERCENT]:
+                if labels[b] != labels[a]:
+                    out.append((int(ids[a]), int(ids[b])))
+                    labels[labels == labels[b]] = labels[a]
+    return out
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[np.ndarray] = []
-        lists = batch["members"]
-        flat = lists.flatten()
-        ids, labels, side, n, m = (np.asarray(flat.field(k)) for k in range(5))
-        sketch = np.asarray(flat.field(5).flatten()).view(np.uint64).reshape(len(ids), -1)
-        ends = np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
-        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-            rows = np.arange(lo, hi)
-            left = rows[side[rows] == 0]
-            right = rows[side[rows] == 1] if side[rows].any() else left
-            for at in range(0, len(left), 64):
-                a, b = left[at : at + 64, None], right[None, :]
-                apart = np.bitwise_count(sketch[left[at : at + 64]][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64)
-                passed = may_be_similar(apart, n[a], n[b], m[a], m[b], np.exp, np.log, np.sqrt, np.maximum, np.minimum)
-                i, j = np.nonzero(passed & (labels[a] != labels[b]))
-                out.append(np.stack((ids[left[at + i]], ids[right[j]])))
-        pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-        pairs = np.unique(np.stack((pairs.min(0), pairs.max(0))), axis=1) if pairs.size else pairs
-        yield pa.record_batch([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+        out: list[tuple[int, int]] = []
+        for tile in batch["members"]:
+            flat = tile.values
+            ids, labels, side, n, m = (np.asarray(flat.field(k)) for k in range(5))
+            sketch = np.asarray(flat.field(5).flatten()).view(np.uint64).reshape(len(ids), -1)
+            begins = np.concatenate(([0], np.cumsum(np.asarray(flat.field(6).value_lengths()))))
+            out += tile_links(ids, labels, side, n, m, sketch, np.asarray(flat.field(6).flatten()).view(np.uint64), begins)
+        yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _sets_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, items): full shingle sets of the asked documents."""
+    return written(docs.join(asked, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>"))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough."""
     pairs = written(pairs)
     ends = [pairs.select(F.col(k).alias("doc_id")).distinct() for k in ("a", "b")]
-    asked = written(ends[0].union(ends[1]).distinct())
-    sets = docs.join(asked, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>")
-    sets = written(sets)
+    sets = _sets_of(docs, written(ends[0].union(ends[1]).distinct()))
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -203,10 +229,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Method: equal sets are one class, named by its smallest doc_id, so copies
     never meet each other.  Class representatives are put into MinHash bands.
     First each bucket links its members with one of them, drawn anew in every
-    band (a star, not all pairs); the links that hold give components.  Then buckets that still
-    hold several components are compared in tiles of bounded size by odd
-    sketches, and only pairs of different components whose sketches pass are
-    confirmed.  Sets are 64-bit shingle hashes: two different shingles of one
+    band (a star, not all pairs); the links that hold give components.  Then, in
+    buckets that still hold several components, members outside the largest one
+    are compared with all in tiles of bounded size: odd sketches choose the pairs of
+    different components whose full sets are compared in the tile, and a tile
+    gives at most one link for each two components it joins.  Sets are 64-bit shingle hashes: two different shingles of one
     pair of texts collide with probability below 1e-10 for 20,000 words.
 
     Fewer than five words are one shingle; null, empty and wordless texts have
@@ -239,17 +266,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     labelled = reps.join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("label"), "bands", "n_shingles", "samples", "odd")
     labelled = written(labelled)
-    entries = labelled.select("doc_id", "label", F.explode("bands").alias("band"))
-    mixed = entries.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"))
-    mixed = mixed.filter("lo < hi").select("band", F.ceil(F.col("m") / TILE).cast("int").alias("g"))
-    inside = entries.join(mixed, "band").select("doc_id", "label", "band", "g", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int").alias("c"))
-    inside = inside.join(labelled.select("doc_id", "n_shingles", "samples", "odd"), "doc_id")
-    tiles = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    side = F.when(F.col("c") > F.col("o"), 1).otherwise(0).alias("side")
-    tiles = tiles.select("band", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.struct("doc_id", "label", side, "n_shingles", "samples", "odd").alias("member"))
-    tiles = tiles.groupBy("band", "i", "j").agg(F.collect_list("member").alias("members"))
-    more = tiles.select("members").mapInArrow(_tile_pairs, "a long, b long").distinct()
-    links = written(links.union(_confirmed(docs, more)).distinct())
+    entries = labelled.select("doc_id", "label", "n_shingles", F.explode("bands").alias("band"))
+    hashes = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
+    buckets = entries.groupBy("band").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), *[F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(hashes)]
+    )
+    buckets = buckets.filter("lo < hi and m > 2")  # of two members, the star was the only pair
+    buckets = written(buckets.groupBy("m", "h0", "h1").agg(F.min("band").alias("band")).select("band"))  # one of those with the same members
+    mixing = written(entries.join(buckets, "band"))
+    parts = mixing.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    mixed = parts.groupBy("band").agg(F.max_by(F.struct("label", "n", "s"), F.struct("n", "label")).alias("main"), F.sum("n").alias("m"), F.sum("s").alias("s"))
+    tiles = lambda n, s: F.ceil(F.greatest(n / TILE, s / TILE_ITEMS)).cast("int")
+    mixed = mixed.select("band", F.col("main.label").alias("main"), tiles(F.col("m"), F.col("s")).alias("gm"), tiles(F.col("m") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("go"))
+    inside = written(mixing.drop("n_shingles").join(mixed, "band"))
+    sets = _sets_of(docs, inside.select("doc_id").distinct())
+    inside = inside.join(labelled.select("doc_id", "n_shingles", "samples", "odd"), "doc_id").join(sets.dropDuplicates(["doc_id"]), "doc_id")
+    chunk = lambda seed, g: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(g)).cast("int")
+    upto = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
+    every = inside.select("*", chunk(1, "gm").alias("i"), upto("go").alias("j"), F.lit(0).alias("side"))
+    others = inside.filter("label <> main").select("*", upto("gm").alias("i"), chunk(2, "go").alias("j"), F.lit(1).alias("side"))
+    one = F.struct("doc_id", "label", "side", "n_shingles", "samples", "odd", "items")
+    tiles = every.union(others).groupBy("band", "i", "j").agg(F.collect_list(one).alias("members"))
+    more = tiles.select("members").mapInArrow(_tile_links, "a long, b long").distinct()
+    links = written(links.union(more).distinct())
     labels = connected_components(links).select(F.col("id").alias("rep"), "component")
 
     named = member.join(labels, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
