@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from zygospark.functions.common import int_div
 from zygospark.functions.naming import lane_of, mate_name
+from zygospark.sources.files import read_heads
 from zygospark.sources.text import line_numbers, read_lines
 
 
@@ -74,8 +75,9 @@ def read_pairs(lines: DataFrame, lanes: DataFrame, max_pairs: int | None = None)
 
 
 def read_fastq_pairs(spark: SparkSession, paths: list[str], max_pairs: int | None = None) -> DataFrame:
-    lines = read_lines(spark, paths)
-    lanes = lane_manifest(lines.select("file"))
+    heads = read_heads(spark, paths)
+    lines = read_lines(spark, paths, heads)
+    lanes = lane_manifest(heads.select("file").distinct())  # file names, without a scan of the reads
     lonely = [r.r1 for r in lanes.filter("problem is not null").select("r1").limit(5).collect()]
     if lonely:
         raise ValueError(f"cannot pair with an R2 file: {', '.join(lonely)}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +13,7 @@ from zygospark.sources.importer import SAME_SOURCE, Options, import_files
 
 
 REJECTED = "file string, reason string"
+FOUND = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _import_or_reject(spark: SparkSession, root: str, files: list[str], options: Options | None) -> None:
@@ -36,13 +39,14 @@ def ingest_folder(
     Files that cannot be imported are set aside with the reason in the table
     `rejected` of the store, and do not hold up the others.
     """
-    lines = spark.readStream.format("text").load(landing).select(F.col("_metadata.file_path").alias("file"))
+    # Only names are taken: a file's content column is never read here.
+    found = spark.readStream.format("binaryFile").schema(FOUND).load(landing).select(F.col("_metadata.file_path").alias("file"))
 
     def run(batch: DataFrame, _: int) -> None:
-        files = [r.file for r in batch.distinct().collect()]  # new file names of one batch
+        files = [unquote(r.file) for r in batch.distinct().collect()]  # new file names of one batch
         if files:
             _import_or_reject(batch.sparkSession, root, sorted(files), options)
 
     return (
-        lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        found.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
