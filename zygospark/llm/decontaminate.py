@@ -15,7 +15,7 @@ from zygospark.llm.rows import long_id, map_rows, written
 from zygospark.llm.text import ALNUM, Words, covered, find_words, slices, words_of
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 32 << 20  # test texts whose words are sent to the executors at once
 
 SPANS = "array<struct<item_id:long,item_start:int,doc_start:int,length:int>>"
@@ -180,14 +180,20 @@ def _spans(index: dict | Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterat
             )
 
 
-def _blocks(items: DataFrame, window: int) -> Iterator[Broadcast]:
-    """Indexes of the test items, in blocks of bounded size."""
+def _block_count(items: DataFrame) -> int:
+    size = items.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return -(-size // BLOCK_BYTES) or 1
+
+
+def _blocks(items: DataFrame, blocks: int, window: int) -> Iterator[Broadcast]:
+    """Indexes of the test items, in blocks of bounded size; one is alive at a time."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield items.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in own.collect()], window))
+        index = items.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in own.collect()], window))
+        yield index
+        if blocks > 1:  # the only one is used by the caller's own run
+            index.destroy()
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -210,11 +216,11 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
     """
     docs = long_id(docs)
     schema = f"doc_id long, n_words long, n_hit long, spans {SPANS}"
-    first, *more = _blocks(items, window)
-    if not more:
-        return docs.mapInArrow(partial(_spans, first), schema)
+    blocks = _block_count(items)
+    if blocks == 1:
+        return docs.mapInArrow(partial(_spans, next(_blocks(items, 1, window))), schema)
     found = docs.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "spans": F.array().cast(SPANS)})
-    for index in (first, *more):
+    for index in _blocks(items, blocks, window):
         found = written(found.mapInArrow(partial(_more_spans, index), f"doc_id long, text string, n_words long, n_hit long, spans {SPANS}"))
     return found.drop("text")
 
@@ -256,7 +262,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without a benchmark window, all columns kept."""
-    for index in _blocks(items, window):
+    for index in _blocks(items, _block_count(items), window):
         docs = written(map_rows(docs, "text", partial(_clean, index)))
     return docs
 

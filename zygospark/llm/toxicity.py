@@ -33,6 +33,7 @@ SHRINK = 4.0  # rows of the fitted class mix that every term is given beside its
 COMMON, MOST_COMMON = 12, 1024  # a term that one in so many examples holds is frequent, and how many of these are at most
 CENTRES = 16  # examples that others are put beside
 TOGETHER = 64  # texts compared at once
+SCORED_TOGETHER = 512  # texts that are put into groups
 SLACK = 1e-4  # more than sums of narrow products can be off
 
 HELD = {"at": np.int64, "n": np.int64}
@@ -200,6 +201,9 @@ def with_postings(index: dict) -> dict:
     blocks = -(-n // BLOCK)
     dense = np.zeros((len(frequent), blocks * BLOCK))
     dense[:, :n] = rows[:, order]
+    del rows
+    for name in ("terms", "weights", "first"):  # they are in the lists from here on
+        index.pop(name)
     rare = ~of_frequent
     by_term = np.argsort(terms[rare], kind="stable")
     index.update(
@@ -291,7 +295,11 @@ def _score(index: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     count = len(offsets) - 1
     votes, evidence = np.full(count, index["empty"]), [[] for _ in range(count)]
     doc, term, n = _vectors(data, offsets, index["known"])
-    found = nearest(index, doc, term, _weights(doc, n, term, index["idf"]), count)
+    weight = _weights(doc, n, term, index["idf"])
+    found = []
+    for lo in range(0, count, SCORED_TOGETHER):  # short texts are many in a slice
+        some = slice(*np.searchsorted(doc, (lo, lo + SCORED_TOGETHER)))
+        found += nearest(index, doc[some] - lo, term[some], weight[some], min(SCORED_TOGETHER, count - lo))
     known = np.bincount(doc, minlength=count) > 0
     for i in np.flatnonzero(known):
         at, cosines = found[i]
